@@ -53,3 +53,17 @@ def test_small_files_and_full_cache(spark, odd_docs, monkeypatch):
     rows = m.orderBy("start").collect()
     assert rows[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
     assert sum(r.n_docs for r in rows) == odd_docs.count()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAzZ09'.,<|>#-_éÉßñ×÷“…İΣ\u0301\u00a0\x85\x1c \n\t") | st.characters(codec="utf-8"), max_size=40) | st.sampled_from(["<|endoftext|>", "it's", "don'T x", "a<|startoftext|>b"]), max_size=6))
+def test_pieces_encode_as_whole_texts_do(texts):
+    import pyarrow as pa
+
+    from tracksift.llm import words as W
+
+    e = T.WordEncoder.of(Q.tokenizer_path())
+    ids, size = e(*W.buffers(pa.array(texts, pa.string())))
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert size.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]

@@ -105,14 +105,35 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> by
     return b"".join([MAGIC, np.uint32(head_bytes).tobytes(), np.array(head, np.uint64).tobytes(), doc_ids.astype(np.int64).tobytes(), starts.tobytes(), *blob])
 
 
+#: Classes of bytes inside a word: a letter, a digit, another printable ASCII character, anything else.
+_LETTER, _DIGIT, _OTHER, _UNSURE = range(4)
+_CLASS = np.full(256, _UNSURE, np.uint8)
+_CLASS[33:127] = _OTHER
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[ord("'")] = _UNSURE  # may open a contraction
+
+
 class WordEncoder:
-    """Ids of whole texts, through a cache of the tokenizer's ids for each word.
+    """Ids of whole texts, through a cache of the tokenizer's ids for each piece of a word.
 
-    Fit for tokenizers whose pre-tokeniser parts and drops white space: a text's ids are then its
-    words' ids, one after another. Words are encoded by the tokenizer itself, each once a cache.
+    Fit for tokenizers that lower-case, drop white space and part words into runs of letters, single
+    digits and runs of other characters: a text's ids are then its pieces' ids, one after another.
+    Pieces of ASCII go to the tokenizer's model, pieces with Latin-1 letters to the whole tokenizer.
+    Words with any other character, an apostrophe or a special token's text go to it whole. Each piece is
+    encoded once while the cache holds it; workers keep their cache from task to task.
     """
 
-    CACHE = 400_000
+    CACHE = 1_200_000
+    AT_ONCE = 2048
+    RECENT = 60_000
+    _kept: dict[str, WordEncoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -121,37 +142,102 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known, self.recent = none, none
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], x: np.ndarray, slot: np.ndarray) -> None:
+        keys, slots = table
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+            hit = keys[at] == x
+            slot[hit] = slots[at[hit]]
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, slots = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], slots[order]
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        tokenize, out, rest = self.tokenizer.model.tokenize, [], []
+        for i, p in enumerate(pieces):
+            if p.isascii() and (p.isalnum() or b"'" not in p and p.translate(None, _PLAIN) == b"" and b"<|" not in p):
+                out.append([t.id for t in tokenize(p.decode().lower())])
+            else:
+                out.append([])
+                rest.append(i)
+        if rest:
+            for i, x in zip(rest, self.tokenizer.encode_batch([pieces[i].decode() for i in rest], add_special_tokens=False), strict=True):
+                out[i] = x.ids
+        return out
+
     def learn(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> None:
-        raw = data.tobytes()
-        got = [x.ids for x in self.tokenizer.encode_batch([raw[i:j].decode() for i, j in zip(start, end, strict=True)], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(size.sum()))
+        raw, sizes, flats = data.tobytes(), [], []
+        for lo in range(0, len(h), self.AT_ONCE):  # the library's results are far larger than the ids
+            part = slice(lo, lo + self.AT_ONCE)
+            got = self.encode([raw[i:j] for i, j in zip(start[part].tolist(), end[part].tolist(), strict=True)])
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flats.append(np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes[-1].sum())))
+        size, flat = np.concatenate(sizes), np.concatenate(flats)
         first = len(self.flat) + np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
-        slot = np.arange(len(self.first), len(self.first) + len(got))
+        slot = np.arange(len(self.first), len(self.first) + len(h))
         self.flat, self.first, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.first, first]), np.concatenate([self.size, size])
-        known, slots = np.concatenate([self.known, h]), np.concatenate([self.slot, slot])
-        order = np.argsort(known)
-        self.known, self.slot = known[order], slots[order]
+        order = np.argsort(h)
+        self.recent = self._merged(self.recent, (h[order], slot[order]))
+        if len(self.recent[0]) > self.RECENT:
+            self.known, self.recent = self._merged(self.known, self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def __call__(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block, and how many each row has."""
-        w = W.words(off, data)
-        unique, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) > self.CACHE:
+        start, end = pieces(off, data)
+        h = W.span_hash(W.LOWER[data], start, end)
+        unique, at, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.first) > self.CACHE:
             self.clear()
-        new = np.ones(len(unique), bool)
-        if len(self.known):
-            new = self.known[np.minimum(np.searchsorted(self.known, unique), len(self.known) - 1)] != unique
+        slot = np.full(len(unique), -1, np.int64)
+        self._find(self.known, unique, slot)
+        self._find(self.recent, unique, slot)
+        new = slot < 0
         if new.any():
-            self.learn(unique[new], w.start[at[new]], w.end[at[new]], data)
-        slot = self.slot[np.searchsorted(self.known, unique)][back] if len(unique) else np.zeros(0, np.int64)
+            slot[new] = np.arange(len(self.first), len(self.first) + int(new.sum()))
+            self.learn(unique[new], start[at[new]], end[at[new]], data)
+        slot = slot[back]
         size = self.size[slot]
         ids = self.flat[W.ragged(self.first[slot], size)]
         total = np.concatenate([[0], np.cumsum(size)])
-        return ids, np.diff(total[w.first])
+        return ids, np.diff(total[np.searchsorted(start, off)])
+
+
+_PLAIN = bytes(range(33, 127))
+
+
+def pieces(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the pieces of words: runs of letters, single digits, runs of other characters; unsure words whole."""
+    start, end = W.spans(off, data)
+    if not len(start):
+        return start, end
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF: letters but for the multiplication and division signs
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    unsure = np.concatenate([[0], np.cumsum((kind == _UNSURE) & ~W.SPACE[data])])
+    pipes = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))  # as special tokens open
+    whole = unsure[end] > unsure[start]
+    whole[np.searchsorted(start, pipes, side="right") - 1] = True
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start[~whole]] += 1
+    edge[end[~whole]] -= 1
+    cut &= np.cumsum(edge[:-1], dtype=np.int8) > 0
+    cut[start] = True
+    begin = np.flatnonzero(cut)
+    # a piece ends where the next begins or its word ends
+    word = np.searchsorted(start, begin, side="right") - 1
+    stop = np.minimum(np.append(begin[1:], len(data)), end[word])
+    return begin, stop
 
 
 def write(docs: DataFrame, path: str, encoder: Callable[[], Callable], id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -198,7 +284,7 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], Callable], id_col: s
 
     ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.col(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(n, "id", "text").sortWithinPartitions("id", "text")
+    ordered = ordered.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     ordered.mapInArrow(pack, "value string").write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +326,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, path: str | None = No
     """Write docs with a word tokenizer, read the files back: doc_id, start (over all files), n_tokens, ids_crc32."""
     spark = docs.sparkSession
     path = path or scratch(spark, "dac")
-    manifest = write(docs, path, lambda: WordEncoder(tokenizer_path))
+    manifest = write(docs, path, lambda: WordEncoder.of(tokenizer_path))
     back = read(spark, path).join(manifest.select("shard", F.col("start").alias("base")), "shard")
     doc_id = F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id"))
     return back.select(doc_id.alias("doc_id"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

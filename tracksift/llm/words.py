@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -75,7 +75,7 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        m = max(n, BLOCK_BYTES + (1 << 18))
+        m = max(n, BLOCK_BYTES + (1 << 17))
         up, down = np.full(m, _BASE), np.full(m, _INVERSE)
         up[0] = down[0] = 1
         _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
