@@ -114,7 +114,7 @@ def test_weighted_samples_estimate_similarity():
         s = np.uint64(salt * 7919 + 1)
         a, b = W.mix(ha ^ s), W.mix(hb ^ s)
         x, y = np.argsort(a), np.argsort(b)
-        _, keys = N.sketch(row, np.concatenate([a[x], b[y]]), np.concatenate([wa[x], wb[y]]), 2)
+        _, keys, _ = N.sketch(row, np.concatenate([a[x], b[y]]), np.concatenate([wa[x], wb[y]]))
         hits += (keys[0] == keys[1]).mean()
     exact = N.similarity(ha, wa, hb, wb)
     assert abs(hits / 60 - exact**N.ROWS) < 0.03

@@ -7,15 +7,17 @@ while groups of thousands of copies still compare as copies.
 
 Steps: (1) equal word sequences fold into one node; (2) each node gets SAMPLES consistent weighted samples
 and, from eight of them each, BANDS bucket keys: at a similarity of 0.8 a pair shares a bucket in about
-99 of 100 cases, at 0.3 (documents that share a passage) in 3 of 1000; (3) in each bucket every node is verified against one leader,
-the member that shares the most buckets with others, by exact weighted Jaccard; (4) links become
-classes; (5) where a bucket still holds several classes, all pairs between them whose total weights
-allow the similarity are verified, so no link between candidates is lost while a homogeneous bucket
-costs one comparison a member.
+99 of 100 cases, at 0.3 (documents that share a passage) in 3 of 1000; (3) in each bucket every node
+is verified against one leader by exact weighted Jaccard: first the member that shares the most buckets
+with others, then, for members in other classes, three more drawn by a hash; (4) links become classes;
+(5) where a bucket still holds several classes, all pairs between them whose total weights allow the
+similarity are verified, so no link between candidates is lost, while a large group of copies, even of
+copies that differ from each other, costs a few comparisons a member.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ SIMILARITY = 0.8
 SAMPLES, ROWS, ROUNDS = 64, 8, 5
 #: Each round parts all samples into bands of ROWS by another permutation, so bands share samples.
 BANDS = ROUNDS * SAMPLES // ROWS
+#: Rounds in which a bucket's members are compared with one leader.
+LEADERS = 4
 IDF_SLOTS = 1 << 17
 _TABLE = 1 << 16
 
@@ -98,11 +102,11 @@ def _tables() -> tuple[np.ndarray, ...]:
     return _samples
 
 
-def sketch(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have shingles, and their BANDS bucket keys: in each sample the shingle and level that win (Ioffe's ICWS)."""
+def sketch(row: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that have shingles, their BANDS bucket keys, and a byte of each sample: the shingle and level that win (Ioffe's ICWS)."""
     at = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
     if not len(at):
-        return np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64)
+        return np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64), np.zeros((0, SAMPLES), np.uint8)
     size = np.diff(np.append(at, len(row)))
     gamma, ln_c, beta = _tables()
     ln_s, mask = np.log(weight), np.uint64(_TABLE - 1)
@@ -127,7 +131,7 @@ def sketch(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int) -> t
             for k in order:
                 key = W.mix(key ^ won[k])
             keys[:, band] = key
-    return row[at], keys
+    return row[at], keys, np.ascontiguousarray(won.T.astype(np.uint8))
 
 
 def _ids(batch: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
@@ -143,22 +147,36 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
     return low / high if high > 0 else 0.0
 
 
+def _hopeful(pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose samples agree as pairs at the threshold do but for one in a million."""
+    least = next(k for k in range(SAMPLES) if sum(math.comb(SAMPLES, i) * threshold**i * (1 - threshold) ** (SAMPLES - i) for i in range(k + 1)) > 1e-6)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SAMPLES) for i in (2, 3))
+            at = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    left, right = (sig.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+
+
 def _verified(pairs: DataFrame, vec: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b), those whose weighted Jaccard reaches the threshold."""
 
+    def vector(raw: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(raw.as_buffer(), np.uint8)
+        n = len(x) // 6
+        return x[: 4 * n].view(np.uint32), x[4 * n :].view(np.float16).astype(np.float32)
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, va, vb = (batch.column(i) for i in range(4))
-            keep = []
-            for i in range(len(a)):
-                x, y = np.frombuffer(va[i].as_buffer(), np.uint8), np.frombuffer(vb[i].as_buffer(), np.uint8)
-                n, m = len(x) // 12, len(y) // 12
-                keep.append(similarity(x[: 8 * n].view(np.uint64), x[8 * n :].view(np.float32), y[: 8 * m].view(np.uint64), y[8 * m :].view(np.float32)) >= threshold)
+            keep = [similarity(*vector(va[i]), *vector(vb[i])) >= threshold for i in range(len(a))]
             at = pa.array(np.flatnonzero(keep))
             yield pa.record_batch([a.take(at), b.take(at)], ["a", "b"])
 
-    left = vec.select(F.col("node").alias("a"), F.col("v").alias("va"))
-    right = vec.select(F.col("node").alias("b"), F.col("v").alias("vb"))
+    left, right = (vec.select(F.col("node").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb").mapInArrow(test, "a long, b long")
 
 
@@ -180,62 +198,90 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for lo, hi, off, data in W.blocks(batch.column(1)):
                 w, row, h, weight = vectors(off, data, idf.value)
                 a, b = W.fold(w.hash, w.first)
-                at, keys = sketch(row, h, weight, hi - lo)
+                at, keys, sig = sketch(row, h, weight)
                 total = np.bincount(row, weight, minlength=hi - lo)
                 lists = np.zeros(hi - lo, np.int64)
                 lists[at] = BANDS
                 offsets = np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), W.longs(keys.reshape(-1)))
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), W.longs(a), W.longs(b), bands, pa.array(total)], ["id", "h1", "h2", "bands", "weight"])
+                sigs = np.concatenate([[0], np.cumsum(lists // BANDS * SAMPLES)]).astype(np.int32)
+                sig = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(sigs), pa.py_buffer(sig)])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), W.longs(a), W.longs(b), bands, sig, pa.array(total)], ["id", "h1", "h2", "bands", "sig", "weight"])
 
-    scanned = cut(docs.mapInArrow(scan, "id long, h1 long, h2 long, bands array<long>, weight double"), "near-scan")
+    scanned = cut(docs.mapInArrow(scan, "id long, h1 long, h2 long, bands array<long>, sig binary, weight double"), "near-scan")
     rows = scanned.select("id", "h1", "h2")
     # equal word sequences; a hot group is folded map-side
     known = scanned.where("id is not null")
-    nodes = known.where("size(bands) > 0").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
+    nodes = known.where("size(bands) > 0").groupBy("h1", "h2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("bands", "sig", "weight")])
     nodes = cut(nodes, "near-nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = cut(banded.join(sizes, "key").select("key", "node", "n"), "near-member")
     popular = member.groupBy("node").agg(F.sum("n").alias("pop"))
     member2 = cut(member.join(popular, "node").select("key", "node", "pop"), "near-popular")
-    leaders = member2.groupBy("key").agg(F.min(F.struct((-F.col("pop")).alias("pop"), "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
-    star = member2.join(leaders, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    star = cut(star.distinct(), "near-star")
-
-    def vec(wanted: DataFrame) -> DataFrame:
-        def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, off, data in W.blocks(batch.column(1)):
-                    _, row, h, weight = vectors(off, data, idf.value)
-                    first = np.searchsorted(row, np.arange(hi - lo + 1))
-                    out = [h[i:j].tobytes() + weight[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                    yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["node", "v"])
-
-        own = docs.join(wanted, docs.id == wanted.node, "left_semi")
-        return own.mapInArrow(blob, "node long, v binary").dropDuplicates(["node"])
-
-    ends = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
-    links = cut(_verified(star, vec(ends), threshold), "near-links")
-    label = components(links)
-    # buckets that still hold several classes: every pair between classes
-    held = member2.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("class"))
-    mixed = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    # a link needs weights within the threshold's ratio, so it joins equal or neighbouring steps of log weight
-    step = F.floor(F.log("weight") / float(np.log(1 / threshold)))
-    held = held.join(mixed, "key").join(nodes.select("node", "weight", step.alias("step")), "node")
-    held = cut(held, "near-mixed")
-    near = held.withColumn("step", F.explode(F.array("step", F.col("step") + 1)))
-    x, y = held.alias("x"), near.alias("y")
-    order = (F.col("y.weight") < F.col("x.weight")) | ((F.col("y.weight") == F.col("x.weight")) & (F.col("y.node") < F.col("x.node")))
-    fits = (F.col("y.weight") >= (threshold - 1e-6) * F.col("x.weight")) & (F.col("x.class") != F.col("y.class"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.step") == F.col("y.step")) & order & fits)
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = cut(rest, "near-rest")
-    if not rest.isEmpty():
-        ends = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
-        links = links.unionByName(cut(_verified(rest, vec(ends), threshold), "near-links"))
+    def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, off, data in W.blocks(batch.column(1)):
+                _, row, h, weight = vectors(off, data, idf.value)
+                # 32 bits tell the shingles of two documents apart; sorted by them
+                h = (h >> np.uint64(32)).astype(np.uint32)
+                first = np.searchsorted(row, np.arange(hi - lo + 1))
+                weight = np.minimum(weight, 60000).astype(np.float16)
+                out = [h[i:j].tobytes() + weight[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["node", "v"])
+
+    # vectors of the nodes that share a bucket, once
+    wanted = member2.select("node").distinct()
+    vec = cut(docs.join(wanted, docs.id == wanted.node, "left_semi").mapInArrow(blob, "node long, v binary").dropDuplicates(["node"]), "near-vectors")
+    sig = nodes.select("node", "sig")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        return cut(_verified(cut(_hopeful(pairs, sig, threshold), "near-hopeful"), vec, threshold), "near-links")
+
+    def mixed(label: DataFrame | None) -> DataFrame:
+        """Members of the buckets that hold several classes yet."""
+        held = member2
+        if label is None:
+            return held.withColumn("class", F.col("node"))
+        held = held.join(label, "node", "left").select("key", "node", "pop", F.coalesce("label", "node").alias("class"))
+        several = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+        return held.join(several, "key")
+
+    pair = F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+    label = links = done = None
+    for turn in range(LEADERS):
+        held = cut(mixed(label), "near-held")
+        # at first the member that shares the most buckets with others, then one by chance in each bucket
+        rank = -F.col("pop") if turn == 0 else F.xxhash64(F.lit(turn), "key", "node")
+        lead = held.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "class")).alias("top"))
+        lead = lead.select("key", F.col("top.node").alias("leader"), F.col("top.class").alias("own"))
+        pairs = held.join(lead, "key").where("class <> own").select(*pair).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "near-star")
+        if pairs.isEmpty():
+            break
+        found = tested(pairs)
+        links = found if links is None else links.unionByName(found)
+        done = pairs if done is None else done.unionByName(pairs)
         label = components(links)
+    # buckets that still hold several classes: every pair between classes whose weights are within the
+    # threshold's ratio, so it joins equal or neighbouring steps of log weight
+    if label is not None:
+        step = F.floor(F.log("weight") / float(np.log(1 / threshold)))
+        held = cut(mixed(label).join(nodes.select("node", "weight", step.alias("step")), "node"), "near-mixed")
+        near = held.withColumn("step", F.explode(F.array("step", F.col("step") + 1)))
+        x, y = held.alias("x"), near.alias("y")
+        order = (F.col("y.weight") < F.col("x.weight")) | ((F.col("y.weight") == F.col("x.weight")) & (F.col("y.node") < F.col("x.node")))
+        fits = (F.col("y.weight") >= (threshold - 1e-6) * F.col("x.weight")) & (F.col("x.class") != F.col("y.class"))
+        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.step") == F.col("y.step")) & order & fits)
+        rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        rest = cut(rest, "near-rest")
+        if not rest.isEmpty():
+            links = links.unionByName(tested(rest))
+            label = components(links)
+    else:
+        label = nodes.select("node", F.col("node").alias("label")).limit(0)
     named = nodes.select("h1", "h2", "node").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     out = rows.join(named, ["h1", "h2"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     # rows that share an id with different texts: the least class of the id
