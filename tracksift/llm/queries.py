@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracksift.llm import html_text, mixing, near_dup, quality, token_file, toxicity
+from tracksift.llm import decontaminate, html_text, mixing, near_dup, quality, token_file, toxicity
 from tracksift.session import table
 
 
@@ -36,6 +36,10 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
