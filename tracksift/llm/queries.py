@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracksift.llm import decontaminate, html_text, mixing, near_dup, passages, quality, token_file, toxicity
+from tracksift.llm import decontaminate, html_text, mixing, near_dup, passages, pii, quality, token_file, toxicity
 from tracksift.session import table
 
 
@@ -20,6 +20,10 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "kinds", "text")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
