@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracksift.llm import decontaminate, html_text, mixing, near_dup, passages, pii, quality, token_file, toxicity
+from tracksift.llm import decontaminate, html_text, line_dedup, mixing, near_dup, passages, pii, quality, token_file, toxicity
 from tracksift.session import table
 
 
@@ -16,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,4 +63,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL}
+
+
+#: Runs of two lines or more: each pair of neighbouring lines that stood before is deleted.
+OP1_SQL = """
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM cut),
+w AS (SELECT doc_id, no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY no) AS nxt FROM l),
+f AS (SELECT doc_id, no, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, no) AS k FROM w WHERE nxt IS NOT NULL),
+hit AS (SELECT doc_id, no FROM f WHERE k > 1 UNION SELECT doc_id, no + 1 FROM f WHERE k > 1),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(hit.no) AS n_removed,
+  coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE hit.no IS NULL), '') AS t
+  FROM l LEFT JOIN hit ON l.doc_id = hit.doc_id AND l.no = hit.no GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_removed, length(t) AS n_chars, md5(t) AS text_md5 FROM kept
+"""
