@@ -82,7 +82,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = later_copies(docs, id_col, text_col, min_lines).groupBy(*_DOC).agg(F.collect_list(F.struct("start", "end")).alias("_runs"), F.sum("n_lines").alias("_gone"))
     runs = cut(runs, "line-runs")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.join(runs, docs[id_col].cast("long").eqNullSafe(runs["doc"]) & (F.xxhash64(docs[text_col]) == runs["th"]), "left")
+    # runs grow with the documents: never broadcast
+    joined = docs.join(runs.hint("merge"), docs[id_col].cast("long").eqNullSafe(runs["doc"]) & (F.xxhash64(docs[text_col]) == runs["th"]), "left")
     split = F.split(docs[text_col], "\n", -1)
     kept = F.filter(split, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
     text = F.when(F.col("_runs").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
