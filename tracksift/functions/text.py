@@ -20,7 +20,7 @@ TIME = r"\d{1,2}:\d{2}(?::\d{2})?"
 DECORATION = r"~*#>+\-–—•·‣\s"
 WORD = r"\p{L}\p{N}_"
 LEAD_TIME = rf"^\s*[~*#>+\-–—•·‣\[\(\s]*(?:{TIME})[\]\)]?\s*[-|~>*]*\s*"
-PAIR = r".+\s[-–—|/:~_]\s.+"
+PAIR = r".\s[-–—|/:~_]\s."
 
 
 def any_of(words: list[str]) -> str:
@@ -175,12 +175,20 @@ def compact_length(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.array_except(F.filter(F.split(match_text(c), " "), lambda x: x != ""), F.array(*[F.lit(w) for w in L.STOPWORDS]))
+    return tokens_of_normal(match_text(c))
+
+
+def tokens_of_normal(c: Column) -> Column:
+    """Distinct tokens of a normal form, without stop words."""
+    return F.array_except(F.filter(F.split(c, " "), lambda x: x != ""), F.array(*[F.lit(w) for w in L.STOPWORDS]))
 
 
 def token_overlap(a: Column, b: Column) -> Column:
+    return overlap_of_tokens(tokens(a), tokens(b))
+
+
+def overlap_of_tokens(x: Column, y: Column) -> Column:
     """Shared tokens over the larger set's size, 4 places; 0 where a side has none."""
-    x, y = tokens(a), tokens(b)
     return F.when((F.size(x) < 1) | (F.size(y) < 1), F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)), 4))
 
 
@@ -191,8 +199,12 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def quick_similarity(a: Column, b: Column) -> Column:
-    """The branches of similarity() that need no sequence matching; null where it would."""
-    x, y, p, q = match_text(a), match_text(b), match_key(a), match_key(b)
+    return quick_similarity_of_normal(match_text(a), match_text(b))
+
+
+def quick_similarity_of_normal(x: Column, y: Column) -> Column:
+    """The branches of similarity() that need no sequence matching, from normal forms; null where it would."""
+    p, q = F.replace(x, F.lit(" "), F.lit("")), F.replace(y, F.lit(" "), F.lit(""))
     within = F.contains(q, p) | F.contains(p, q)
     short = F.when(p == q, 1.0).when(within, F.when(has_hangul(F.concat(p, q)), 0.55).otherwise(0.75)).otherwise(0.0)
     return (
@@ -334,10 +346,14 @@ def sentence(c: Column) -> Column:
 
 def with_valid(rows: DataFrame, line: str = "line", into: str = "valid") -> DataFrame:
     """rows with whether each line may hold a song (false for null); the cleaned line is computed once."""
-    c, n = F.col(line), F.col("_clean")
-    bad = not_music(c) | not_music(n) | playlist_title(n) | (section_word(n) & ~has_separator(n)) | left_is_metadata(n) | sentence(n)
-    own = rows.withColumn("_clean", clean_text(c))
-    return own.withColumn(into, F.coalesce((F.length(F.trim(c)) >= 2) & (n != "") & ~bad, F.lit(False))).drop("_clean")
+    c = F.col(line)
+
+    def good(n: Column) -> Column:
+        bad = not_music(c) | not_music(n) | playlist_title(n) | (section_word(n) & ~has_separator(n)) | left_is_metadata(n) | sentence(n)
+        return (F.length(F.trim(c)) >= 2) & (n != "") & ~bad
+
+    # the lambda binds the cleaned line, so a filter that is pushed down carries its cleaning once
+    return rows.withColumn(into, F.coalesce(F.get(F.transform(F.array(clean_text(c)), good), F.lit(0)), F.lit(False)))
 
 
 def meaningful(c: Column) -> Column:

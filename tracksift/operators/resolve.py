@@ -26,32 +26,48 @@ def blocks(title: Column, artist: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (F.length(k) > 2)))
 
 
+def _normal(rows: DataFrame, title: str, artist: str, by: str) -> DataFrame:
+    """rows with normal forms and tokens of both names, once a row rather than once a pair."""
+    own = rows.withColumns({f"{by}_title": X.match_text(F.col(title)), f"{by}_artist": X.match_text(F.col(artist))})
+    return own.withColumns({f"{by}_tokens": X.tokens_of_normal(F.col(f"{by}_title")), f"{by}_names": X.tokens_of_normal(F.col(f"{by}_artist"))})
+
+
 def candidates(songs: DataFrame, catalog: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The first `limit` tracks of each song by token overlap of titles and artists; api_rank from 1."""
-    left = songs.select("song_id", "title", "artist", F.explode(blocks(F.col("title"), F.col("artist"))).alias("block"))
-    right = catalog.select("track_id", "name", "artist_name", "popularity", "has_image", F.explode(blocks(F.col("name"), F.col("artist_name"))).alias("block"))
-    pairs = left.join(right, "block").drop("block").distinct()
-    score = X.token_overlap(F.col("title"), F.col("name")) + F.coalesce(X.token_overlap(F.col("artist"), F.col("artist_name")), F.lit(0.0))
+    """The first `limit` tracks of each song by token overlap of titles and artists; api_rank from 1.
+
+    Pairs carry ids only; names and tokens join back on them.
+    """
+    s, c = _normal(songs, "title", "artist", "s"), _normal(catalog, "name", "artist_name", "c")
+    left = s.select("song_id", F.explode(blocks(F.col("title"), F.col("artist"))).alias("block"))
+    right = c.select("track_id", F.explode(blocks(F.col("name"), F.col("artist_name"))).alias("block"))
+    pairs = left.join(right, "block").select("song_id", "track_id").distinct().join(s, "song_id").join(c, "track_id")
+    score = X.overlap_of_tokens(F.col("s_tokens"), F.col("c_tokens")) + F.coalesce(X.overlap_of_tokens(F.col("s_names"), F.col("c_names")), F.lit(0.0))
     w = Window.partitionBy("song_id").orderBy(F.col("block_score").desc(), F.col("popularity").desc(), "track_id")
     return pairs.withColumn("block_score", F.round(score, 4)).withColumn("api_rank", F.row_number().over(w)).where(F.col("api_rank") <= limit)
 
 
-def plain_score(a: Column, b: Column) -> Column:
-    """Similarity without sequence matching: the exact, contained and overlap branches."""
-    return F.coalesce(X.quick_similarity(a, b), X.token_overlap(a, b))
+def plain_score(x: Column, y: Column, overlap: Column) -> Column:
+    """Similarity of normal forms without sequence matching: the exact, contained and overlap branches."""
+    return F.coalesce(X.quick_similarity_of_normal(x, y), overlap)
+
+
+def full_score(x: Column, y: Column, overlap: Column) -> Column:
+    """Similarity of normal forms with sequence matching."""
+    return F.coalesce(X.quick_similarity_of_normal(x, y), F.greatest(overlap, F.round(X.sequence_ratio(x, y) * 0.82, 4)))
 
 
-def scored(rows: DataFrame, similarity=X.similarity) -> DataFrame:
-    """title_score, artist_score, token_overlap and the weighted score (4 places)."""
-    t = F.round(similarity(F.col("title"), F.col("name")), 4)
-    a = F.when(F.col("artist").isNotNull(), F.round(similarity(F.col("artist"), F.col("artist_name")), 4)).otherwise(0.0)
-    own = rows.withColumn("title_score", t).withColumn("artist_score", a).withColumn("overlap", X.token_overlap(F.col("title"), F.col("name")))
-    return own.withColumn("score", weighted_score()).withColumn("suspicious", suspicious())
+def scored(rows: DataFrame, similarity=full_score) -> DataFrame:
+    """title_score, artist_score, overlap, suspicious and the weighted score (4 places) of candidates()."""
+    own = rows.withColumns({"overlap": X.overlap_of_tokens(F.col("s_tokens"), F.col("c_tokens")), "_names": X.overlap_of_tokens(F.col("s_names"), F.col("c_names"))})
+    t = F.round(similarity(F.col("s_title"), F.col("c_title"), F.col("overlap")), 4)
+    a = F.when(F.col("artist").isNotNull(), F.round(similarity(F.col("s_artist"), F.col("c_artist"), F.col("_names")), 4)).otherwise(0.0)
+    own = own.withColumn("title_score", t).withColumn("artist_score", a).withColumn("suspicious", suspicious())
+    return own.withColumn("score", weighted_score())
 
 
 def suspicious() -> Column:
     """Words of a cover or version that only the candidate has."""
-    have, own = X.match_text(F.col("name")), X.match_text(F.col("title"))
+    have, own = F.col("c_title"), F.col("s_title")
     out = F.lit(0)
     for w in L.SUSPICIOUS_WORDS:
         p = rf"\b{w}\b"
@@ -63,9 +79,10 @@ def weighted_score() -> Column:
     """Fixed weights of titles, artists, tokens and popularity, less penalties; 0 to 1, 4 places."""
     t, a, o = F.col("title_score"), F.col("artist_score"), F.col("overlap")
     pop = F.least(F.coalesce("popularity", F.lit(0)) / 1000, F.lit(0.03))
-    exact_t, exact_a = X.match_key(F.col("title")) == X.match_key(F.col("name")), X.match_key(F.col("artist")) == X.match_key(F.col("artist_name"))
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    exact_t, exact_a = bare("s_title") == bare("c_title"), bare("s_artist") == bare("c_artist")
     gap = F.when(a < 0.15, 0.14).when(a < 0.35, 0.07).otherwise(0.0)
-    version = F.least(0.08 * suspicious(), F.lit(0.24))
+    version = F.least(0.08 * F.col("suspicious"), F.lit(0.24))
     both = 0.45 * t + 0.35 * a + 0.05 * t + 0.05 * a + 0.10 * o + F.when(exact_t, 0.04).otherwise(0.0) + F.when(exact_a, 0.03).otherwise(0.0) - gap
     alone = 0.72 * t + 0.12 * t + 0.10 * o + F.when(exact_t, 0.04).otherwise(0.0)
     s = F.when(F.col("artist").isNotNull(), both).otherwise(alone) + pop - version
@@ -76,7 +93,7 @@ def weighted_score() -> Column:
 def tags() -> Column:
     """Pattern tags in a fixed order, joined by commas."""
     t, a, given = F.col("title_score"), F.col("artist_score"), F.col("artist").isNotNull()
-    short = (F.size(X.tokens(F.col("title"))) <= 2) & (t >= 0.8) & (F.size(X.tokens(F.col("name"))) >= F.size(X.tokens(F.col("title"))) + 3) & (a < 0.45)
+    short = (F.size("s_tokens") <= 2) & (t >= 0.8) & (F.size("c_tokens") >= F.size("s_tokens") + 3) & (a < 0.45)
     out = F.array(
         F.when((t >= 0.95) & (~given | (a >= 0.85)), F.lit("exact")), F.when((t >= 0.9) | (a >= 0.9), F.lit("notation_difference")), F.when(F.col("suspicious") > 0, F.lit("version_candidate")),
         F.when((a >= 0.85) & (t < 0.55), F.lit("artist_only_overconfidence")), F.when((t >= 0.85) & (a < 0.45), F.lit("title_only_overconfidence")), F.when(short, F.lit("short_title_false_positive")),
