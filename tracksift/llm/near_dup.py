@@ -10,9 +10,10 @@ and, from eight of them each, BANDS bucket keys: at a similarity of 0.8 a pair s
 99 of 100 cases, at 0.3 (documents that share a passage) in 3 of 1000; (3) in each bucket every node
 is verified against one leader by exact weighted Jaccard: first the member that shares the most buckets
 with others, then, for members in other classes, three more drawn by a hash; (4) links become classes;
-(5) where a bucket still holds several classes, all pairs between them whose total weights allow the
-similarity are verified, so no link between candidates is lost, while a large group of copies, even of
-copies that differ from each other, costs a few comparisons a member.
+(5) where a bucket still holds several classes, all pairs between them that may be similar enough are
+verified, so no link between candidates is lost. What may be is bounded by total weights and by overlaps
+with the leader: two members share at most what one shares with it and what the other has besides it. So
+a large group of copies, even of copies that differ from each other, costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -147,22 +148,31 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
     return low / high if high > 0 else 0.0
 
 
-def _hopeful(pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose samples agree as pairs at the threshold do but for one in a million."""
-    least = next(k for k in range(SAMPLES) if sum(math.comb(SAMPLES, i) * threshold**i * (1 - threshold) ** (SAMPLES - i) for i in range(k + 1)) > 1e-6)
+def _most_similar(agree: int) -> float:
+    """The similarity at which so few samples agree once in a million."""
+    lo, hi = agree / SAMPLES, 1.0
+    for _ in range(40):
+        p = (lo + hi) / 2
+        tail = sum(math.comb(SAMPLES, i) * p**i * (1 - p) ** (SAMPLES - i) for i in range(agree + 1))
+        lo, hi = (p, hi) if tail > 1e-6 else (lo, p)
+    return hi
+
+
+def _compared(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """Pairs (a, b) with most: the similarity that their samples allow, but for one in a million."""
+    table = np.array([_most_similar(k) for k in range(SAMPLES + 1)])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SAMPLES) for i in (2, 3))
-            at = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(table[(x == y).sum(axis=1)])], ["a", "b", "most"])
 
     left, right = (sig.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, most double")
 
 
-def _verified(pairs: DataFrame, vec: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b), those whose weighted Jaccard reaches the threshold."""
+def _verified(pairs: DataFrame, vec: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their weighted Jaccard similarity."""
 
     def vector(raw: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
         x = np.frombuffer(raw.as_buffer(), np.uint8)
@@ -172,12 +182,11 @@ def _verified(pairs: DataFrame, vec: DataFrame, threshold: float) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, va, vb = (batch.column(i) for i in range(4))
-            keep = [similarity(*vector(va[i]), *vector(vb[i])) >= threshold for i in range(len(a))]
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.record_batch([a.take(at), b.take(at)], ["a", "b"])
+            same = [similarity(*vector(va[i]), *vector(vb[i])) for i in range(len(a))]
+            yield pa.record_batch([a, b, pa.array(same, pa.float64())], ["a", "b", "same"])
 
     left, right = (vec.select(F.col("node").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb").mapInArrow(test, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb").mapInArrow(test, "a long, b long, same double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -235,8 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vec = cut(docs.join(wanted, docs.id == wanted.node, "left_semi").mapInArrow(blob, "node long, v binary").dropDuplicates(["node"]), "near-vectors")
     sig = nodes.select("node", "sig")
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        return cut(_verified(cut(_hopeful(pairs, sig, threshold), "near-hopeful"), vec, threshold), "near-links")
+    def tested(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links, and for every pair the bounds (least, most) of its similarity."""
+        by_samples = cut(_compared(pairs, sig), "near-compared")
+        exact = cut(_verified(by_samples.where(F.col("most") >= threshold).select("a", "b"), vec), "near-exact")
+        bounds = exact.select("a", "b", F.col("same").alias("least"), F.col("same").alias("most"))
+        bounds = bounds.unionByName(by_samples.where(F.col("most") < threshold).select("a", "b", F.lit(0.0).alias("least"), "most"))
+        return exact.where(F.col("same") >= threshold).select("a", "b"), bounds
 
     def mixed(label: DataFrame | None) -> DataFrame:
         """Members of the buckets that hold several classes yet."""
@@ -248,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return held.join(several, "key")
 
     pair = F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
-    label = links = done = None
+    label = links = done = bounds = first = None
     for turn in range(LEADERS):
         held = cut(mixed(label), "near-held")
         # at first the member that shares the most buckets with others, then one by chance in each bucket
@@ -261,24 +275,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = cut(pairs, "near-star")
         if pairs.isEmpty():
             break
-        found = tested(pairs)
+        found, near = tested(pairs)
+        if turn == 0:
+            bounds, first = near, lead.select("key", "leader")
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         label = components(links)
-    # buckets that still hold several classes: every pair between classes whose weights are within the
-    # threshold's ratio, so it joins equal or neighbouring steps of log weight
+    # buckets that still hold several classes: every pair between classes that may reach the threshold
     if label is not None:
+        held = cut(mixed(label), "near-mixed")
+        # each node's weight and its overlap with the bucket's first leader, from bounds on their similarity
+        size = nodes.select("node", "weight")
+        held = held.select("key", "node", "class").join(first, "key").join(size, "node").join(size.select(F.col("node").alias("leader"), F.col("weight").alias("lw")), "leader")
+        held = held.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(bounds, ["a", "b"], "left")
+        shared = lambda c, other: F.when(F.col("node") == F.col("leader"), F.col("weight")).otherwise(F.coalesce(F.col(c) * (F.col("weight") + F.col("lw")) / (1 + F.col(c)), other))
         step = F.floor(F.log("weight") / float(np.log(1 / threshold)))
-        held = cut(mixed(label).join(nodes.select("node", "weight", step.alias("step")), "node"), "near-mixed")
-        near = held.withColumn("step", F.explode(F.array("step", F.col("step") + 1)))
-        x, y = held.alias("x"), near.alias("y")
-        order = (F.col("y.weight") < F.col("x.weight")) | ((F.col("y.weight") == F.col("x.weight")) & (F.col("y.node") < F.col("x.node")))
-        fits = (F.col("y.weight") >= (threshold - 1e-6) * F.col("x.weight")) & (F.col("x.class") != F.col("y.class"))
-        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.step") == F.col("y.step")) & order & fits)
+        held = held.select("key", "node", "class", "weight", shared("least", F.lit(0.0)).alias("lo"), shared("most", F.least("weight", "lw")).alias("hi"), step.alias("step"))
+        keys = held.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        major = held.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("class", F.struct("n", (-F.col("class")).alias("c"))).alias("major"))
+        held = cut(held.join(keys, "node").join(major, "key"), "near-rest-sides")
+        # the members outside a bucket's largest class against all; weights in equal or neighbouring steps
+        x = held.where(F.col("class") != F.col("major")).withColumn("step", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1))).alias("x")
+        y = held.alias("y")
+        c = lambda n: F.col(n)
+        once = (c("y.class") == c("y.major")) | (c("x.node") < c("y.node"))
+        # overlap of two nodes: no more than what one shares with the leader and what the other has besides it
+        top = F.least(c("x.hi") + c("y.weight") - c("y.lo"), c("y.hi") + c("x.weight") - c("x.lo"), c("x.weight"), c("y.weight"))
+        may = top >= (threshold - 0.003) * (c("x.weight") + c("y.weight") - top)
+        here = F.array_min(F.array_intersect(c("x.keys"), c("y.keys"))) == c("x.key")  # a pair is met in one of its buckets
+        rest = x.join(y, (c("x.key") == c("y.key")) & (c("x.step") == c("y.step")) & (c("x.class") != c("y.class")) & once & may & here)
         rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         rest = cut(rest, "near-rest")
         if not rest.isEmpty():
-            links = links.unionByName(tested(rest))
+            links = links.unionByName(tested(rest)[0])
             label = components(links)
     else:
         label = nodes.select("node", F.col("node").alias("label")).limit(0)
