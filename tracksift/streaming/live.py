@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """With a watermark; times without a zone count as the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def per_window(events: DataFrame, ts: str = "ts", key: str = "event_type", size: str = "1 minute", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and key; rows later than `late` are left out."""
     win = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return events.withWatermark(ts, late).groupBy(win.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
+    return _timed(events, ts, late).groupBy(win.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 
 def first_seen(events: DataFrame, ids: list[str], ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Each id once within the watermark."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(ids)
+    return _timed(events, ts, late).dropDuplicatesWithinWatermark(ids)
 
 
 def sessions(events: DataFrame, ts: str = "ts", key: str = "user_id", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of a key that end after `gap` without rows."""
-    out = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"))
+    out = _timed(events, ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
