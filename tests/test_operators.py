@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracksift.functions import text as X
-from tracksift.operators import dedup, feedback, media, playlist, resolve, songs
+from tracksift.operators import context, dedup, feedback, media, playlist, resolve, songs
 from tracksift.sources import landed, targets
 from tracksift.streaming import live
 
@@ -131,3 +131,17 @@ def test_streams_end_as_batches_do(spark, tmp_path):
     want = batch.groupBy(F.window("ts", "1 day").alias("w"), "event_type").count()
     assert spark.table("live_windows").agg(F.sum("n")).first()[0] == want.agg(F.sum("count")).first()[0]
     assert spark.table("live_windows").count() == want.count()
+
+
+def test_context(spark):
+    assert one(spark, "wave to earth 노래모음", context.artist_of_title) == "wave to earth"
+    assert one(spark, "IU playlist", context.artist_of_title) == "IU"
+    assert one(spark, "playlist", context.artist_of_title) is None
+    song = spark.createDataFrame([(1, "IU", "Ditto", "1:00 IU - Ditto"), (1, "X", "Y", "not there")], "doc_id long, artist string, title string, raw_line string")
+    lines = spark.createDataFrame([(1, 4, "1:00 IU - Ditto"), (1, 5, "other")], "doc_id long, line_no int, line string")
+    got = {r.title: (r.line_index, r.evidence_type, r.confidence) for r in context.with_evidence_type(song, lines).collect()}
+    assert got == {"Ditto": (4, "timestamp_pair", "high"), "Y": (None, "other", "low")}
+    cases = spark.createDataFrame([(1, 0, 0.8, 1), (1, 1, 0.82, 1), (2, 0, 0.5, 1), (2, 1, 0.9, 1)], "song_id long, case int, evidence_score double, popularity int")
+    assert {(r.song_id, r.case) for r in context.best_case(cases).collect()} == {(1, 0), (2, 1)}
+    cover = spark.createDataFrame([(["IU", "Suga"], ["iu"])], "a array<string>, b array<string>").select(context.artist_coverage(F.col("a"), F.col("b")).alias("r"))
+    assert cover.first().r == 0.5

@@ -118,6 +118,13 @@ SELECT *, CAST(position // 100 AS INTEGER) AS chunk FROM n""",
     "result_dedup": f"WITH {MATCH} SELECT song_id, track_id, evidence_score FROM best QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY evidence_score DESC, song_id) = 1",
     "batch_enrich": f"WITH {MATCH} SELECT song_id, name AS display_title, artist_name AS display_artist FROM best",
     "cube_matches": f"WITH {MATCH} SELECT pattern, confidence_label, count(*) AS n FROM best GROUP BY CUBE (pattern, confidence_label)",
+    "multi_artist_override": """WITH s AS (SELECT p_partkey // 3 AS doc_id, p_partkey AS line_no, p_type AS artist FROM part), g AS (SELECT doc_id, artist, count(*) AS n, min(line_no) AS f FROM s GROUP BY 1, 2),
+t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS named, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rk FROM g), c AS (SELECT doc_id, count(DISTINCT artist) AS artists FROM s WHERE line_no % 3 <> 1 GROUP BY 1)
+SELECT doc_id, CASE WHEN coalesce(artists, 0) < 2 THEN artist END AS artist, coalesce(artists, 0) AS artists, CASE WHEN coalesce(artists, 0) >= 2 THEN 'music_section_multi_artist_override' ELSE '' END AS reason FROM t LEFT JOIN c USING (doc_id) WHERE rk = 1 AND named >= 2 AND n / named::DOUBLE >= 0.7""",
+    "ocr_policy": f"""WITH {MATCH}, k AS (SELECT *, a < 0.5 OR artist IS NULL AS weak FROM best WHERE NOT (a < 0.3 AND len(string_split(title, ' ')) <= 2 AND evidence_score < 0.8)),
+p AS (SELECT CASE WHEN weak AND status = 'matched' THEN 'review_needed' ELSE status END AS status, weak, t, CASE WHEN a = 0 THEN least(evidence_score, 0.79) WHEN weak THEN least(evidence_score, 0.6) ELSE evidence_score END AS cap FROM k)
+SELECT status, count(*) AS n, max(round(CASE WHEN weak AND t >= 0.8 THEN greatest(cap, 0.55) ELSE cap END, 4))::DOUBLE AS top FROM p GROUP BY status""",
+    "source_quality": f"WITH {SONGS} SELECT doc_id, CASE WHEN line_no % 2 = 0 THEN 'description' ELSE 'comments' END AS source, count(*) AS songs, count(*) AS complete, 1.0::DOUBLE AS avg_completeness FROM songs GROUP BY 1, 2",
     "audio_plan": """WITH m AS (SELECT o_orderkey AS doc_id, 60 + o_orderkey % 7200 AS d FROM orders), s AS (SELECT *, greatest(30, least(180, CAST(ceil(d / 30.0) AS INTEGER))) AS step FROM m), g AS (SELECT doc_id, d, step * i AS start_s FROM s, range(30) t(i))
 SELECT doc_id, count(*) AS segments, CAST(max(start_s) AS INTEGER) AS last_start FROM g WHERE start_s < d GROUP BY doc_id""",
     "frame_plan": """WITH m AS (SELECT o_orderkey AS doc_id, 60 + o_orderkey % 7200 AS d FROM orders), f AS (SELECT doc_id, unnest(range(0, d, 40)) AS s FROM m UNION SELECT doc_id, unnest(range(0, least(d - 1, 90) + 1, 15)) FROM m UNION SELECT doc_id, unnest(range(greatest(d - 90, 0), d, 15)) FROM m)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracksift.functions import lexicon as L
 from tracksift.functions import text as X
-from tracksift.operators import dedup, direction, feedback, media, playlist, resolve, songs
+from tracksift.operators import context, dedup, direction, feedback, media, playlist, resolve, songs
 from tracksift.session import table
 from tracksift.sources import landed, targets
 
@@ -382,6 +382,26 @@ def supplement(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.supplement(all_songs(spark, sf).select("doc_id", "line_no", "artist", "title"), _cards(spark, sf))
 
 
+# context
+
+
+@query
+def multi_artist_override(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 3).cast("long").alias("doc_id"), F.col("p_partkey").alias("line_no"), F.col("p_type").alias("artist"))
+    return context.override_single(songs.mode_artist(own), own.where(F.col("line_no") % 3 != 1))
+
+
+@query
+def ocr_policy(spark: SparkSession, sf: str) -> DataFrame:
+    return context.ocr_policy(matches(spark, sf)).groupBy("status").agg(F.count("*").alias("n"), F.max("evidence_score").alias("top"))
+
+
+@query
+def source_quality(spark: SparkSession, sf: str) -> DataFrame:
+    own = all_songs(spark, sf).withColumn("source", F.when(F.col("line_no") % 2 == 0, "description").otherwise("comments"))
+    return context.source_quality(own)
+
+
 # media
 
 
