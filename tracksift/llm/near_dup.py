@@ -11,7 +11,7 @@ and, from eight of them each, BANDS bucket keys: at a similarity of 0.8 a pair s
 is verified against one leader by exact weighted Jaccard: first the member that shares the most buckets
 with others, then, for members in other classes, three more drawn by a hash; (4) links become classes;
 (5) where a bucket still holds several classes, all pairs between them that may be similar enough are
-verified, so no link between candidates is lost. What may be is bounded by total weights and by overlaps
+verified, block against block, so no link between candidates is lost. What may be is bounded by total weights and by overlaps
 with the leader: two members share at most what one shares with it and what the other has besides it. So
 a large group of copies, even of copies that differ from each other, costs a few comparisons a member.
 """
@@ -37,6 +37,8 @@ SAMPLES, ROWS, ROUNDS = 64, 8, 5
 BANDS = ROUNDS * SAMPLES // ROWS
 #: Rounds in which a bucket's members are compared with one leader.
 LEADERS = 4
+#: Members of a block of the last step.
+BLOCK = 256
 IDF_SLOTS = 1 << 17
 _TABLE = 1 << 16
 
@@ -174,21 +176,54 @@ def _compared(pairs: DataFrame, sig: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, vec: DataFrame) -> DataFrame:
     """Pairs (a, b) with their weighted Jaccard similarity."""
 
-    def vector(raw: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        x = np.frombuffer(raw.as_buffer(), np.uint8)
-        n = len(x) // 6
-        return x[: 4 * n].view(np.uint32), x[4 * n :].view(np.float16).astype(np.float32)
-
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, va, vb = (batch.column(i) for i in range(4))
-            same = [similarity(*vector(va[i]), *vector(vb[i])) for i in range(len(a))]
+            same = [similarity(*_vector(va[i].as_buffer()), *_vector(vb[i].as_buffer())) for i in range(len(a))]
             yield pa.record_batch([a, b, pa.array(same, pa.float64())], ["a", "b", "same"])
 
     left, right = (vec.select(F.col("node").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb").mapInArrow(test, "a long, b long, same double")
 
 
+_SIDE = ("key", "node", "class", "major", "weight", "lo", "hi", "keys", "v")
+
+
+def _block_links(threshold: float):
+    """Of one bucket's two blocks of members, the links between classes that aren't met in another bucket first."""
+
+    def run(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        xs, ys = [r for r in rows if r["is_x"]], [r for r in rows if not r["is_x"]]
+        out: list[tuple[int, int]] = []
+        if xs and ys:
+            part = {k: np.array([r[k] for r in ys]) for k in ("node", "class", "weight", "lo", "hi")}
+            vectors_ = [_vector(r["v"]) for r in ys]
+            keys = [set(r["keys"]) for r in ys]
+            for x in xs:
+                once = (part["class"] == x["major"]) | (part["node"] > x["node"])
+                both = x["weight"] + part["weight"]
+                # overlap of two: no more than what one shares with the leader and what the other has besides it
+                top = np.minimum.reduce([x["hi"] + part["weight"] - part["lo"], part["hi"] + x["weight"] - x["lo"], part["weight"], np.full(len(ys), x["weight"])])
+                at = np.flatnonzero((part["class"] != x["class"]) & once & (top >= (threshold - 0.003) * (both - top)))
+                if not len(at):
+                    continue
+                own, mine = _vector(x["v"]), set(x["keys"])
+                for i in at:
+                    if min(mine & keys[i]) == x["key"] and similarity(*own, *vectors_[i]) >= threshold:
+                        out.append((min(x["node"], int(part["node"][i])), max(x["node"], int(part["node"][i]))))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _vector(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(raw, np.uint8)
+    n = len(x) // 6
+    return x[: 4 * n].view(np.uint32), x[4 * n :].view(np.float16).astype(np.float32)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: its id, class_id (the least id of its class) and class_size (rows).
 
@@ -289,25 +324,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = held.select("key", "node", "class").join(first, "key").join(size, "node").join(size.select(F.col("node").alias("leader"), F.col("weight").alias("lw")), "leader")
         held = held.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(bounds, ["a", "b"], "left")
         shared = lambda c, other: F.when(F.col("node") == F.col("leader"), F.col("weight")).otherwise(F.coalesce(F.col(c) * (F.col("weight") + F.col("lw")) / (1 + F.col(c)), other))
-        step = F.floor(F.log("weight") / float(np.log(1 / threshold)))
-        held = held.select("key", "node", "class", "weight", shared("least", F.lit(0.0)).alias("lo"), shared("most", F.least("weight", "lw")).alias("hi"), step.alias("step"))
+        held = held.select("key", "node", "class", "weight", shared("least", F.lit(0.0)).alias("lo"), shared("most", F.least("weight", "lw")).alias("hi"))
         keys = held.groupBy("node").agg(F.collect_set("key").alias("keys"))
-        major = held.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("class", F.struct("n", (-F.col("class")).alias("c"))).alias("major"))
+        major = held.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("class", F.struct("n", (-F.col("class")).alias("c"))).alias("major"), F.sum("n").alias("members"))
         held = cut(held.join(keys, "node").join(major, "key"), "near-rest-sides")
-        # the members outside a bucket's largest class against all; weights in equal or neighbouring steps
-        x = held.where(F.col("class") != F.col("major")).withColumn("step", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1))).alias("x")
-        y = held.alias("y")
-        c = lambda n: F.col(n)
-        once = (c("y.class") == c("y.major")) | (c("x.node") < c("y.node"))
-        # overlap of two nodes: no more than what one shares with the leader and what the other has besides it
-        top = F.least(c("x.hi") + c("y.weight") - c("y.lo"), c("y.hi") + c("x.weight") - c("x.lo"), c("x.weight"), c("y.weight"))
-        may = top >= (threshold - 0.003) * (c("x.weight") + c("y.weight") - top)
-        here = F.array_min(F.array_intersect(c("x.keys"), c("y.keys"))) == c("x.key")  # a pair is met in one of its buckets
-        rest = x.join(y, (c("x.key") == c("y.key")) & (c("x.step") == c("y.step")) & (c("x.class") != c("y.class")) & once & may & here)
-        rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        rest = cut(rest, "near-rest")
-        if not rest.isEmpty():
-            links = links.unionByName(tested(rest)[0])
+        # the members outside a bucket's largest class against all, in blocks: a task gets two blocks and their
+        # vectors, not pairs, and gives back links; a hot bucket is many tasks
+        bins = F.ceil(F.col("members") / BLOCK).cast("long")
+        held = held.join(vec, "node").withColumns({"minor": F.col("class") != F.col("major"), "bins": bins, "bin": F.pmod(F.xxhash64("node"), bins)})
+        span = F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)
+        x = held.where("minor").select(*_SIDE, F.col("bin").alias("i"), F.explode(span).alias("j"), F.lit(True).alias("is_x"))
+        y = held.select(*_SIDE, F.explode(span).alias("i"), F.col("bin").alias("j"), F.lit(False).alias("is_x"))
+        # blocks without a minor member on the left have nothing to compare
+        live = held.where("minor").select("key", F.col("bin").alias("i")).distinct()
+        sides = x.unionByName(y.join(live, ["key", "i"], "left_semi"))
+        more = sides.groupBy("key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long").distinct()
+        more = cut(more, "near-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
             label = components(links)
     else:
         label = nodes.select("node", F.col("node").alias("label")).limit(0)
