@@ -9,7 +9,7 @@ Steps: (1) equal word sequences fold into one node; (2) each node gets SAMPLES c
 and, from eight of them each, BANDS bucket keys: at a similarity of 0.8 a pair shares a bucket in about
 99 of 100 cases, at 0.3 (documents that share a passage) in 3 of 1000; (3) in each bucket every node
 is verified against one leader by exact weighted Jaccard: first the member that shares the most buckets
-with others, then, for members in other classes, three more drawn by a hash; (4) links become classes;
+with others, then, for members in other classes, one drawn by a hash; (4) links become classes;
 (5) where a bucket still holds several classes, all pairs between them that may be similar enough are
 verified, block against block, so no link between candidates is lost. What may be is bounded by total weights and by overlaps
 with the leader: two members share at most what one shares with it and what the other has besides it. So
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tracksift.llm import words as W
 from tracksift.llm.components import components
-from tracksift.session import cut, ship
+from tracksift.session import cut, drop_paths, ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -36,9 +36,9 @@ SAMPLES, ROWS, ROUNDS = 64, 8, 5
 #: Each round parts all samples into bands of ROWS by another permutation, so bands share samples.
 BANDS = ROUNDS * SAMPLES // ROWS
 #: Rounds in which a bucket's members are compared with one leader.
-LEADERS = 4
+LEADERS = 2
 #: Members of a block of the last step.
-BLOCK = 256
+BLOCK = 512
 IDF_SLOTS = 1 << 17
 _TABLE = 1 << 16
 
@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = cut(banded.join(sizes, "key").select("key", "node", "n"), "near-member")
     popular = member.groupBy("node").agg(F.sum("n").alias("pop"))
     member2 = cut(member.join(popular, "node").select("key", "node", "pop"), "near-popular")
+    drop_paths(member)
     def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, off, data in W.blocks(batch.column(1)):
@@ -312,7 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         found, near = tested(pairs)
         if turn == 0:
-            bounds, first = near, lead.select("key", "leader")
+            bounds, first = near, cut(lead.select("key", "leader"), "near-first")
+        drop_paths(held)
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         label = components(links)
