@@ -61,3 +61,31 @@ def test_odd_rows(spark):
     assert H.extract(df.limit(0)).collect() == []
     long = "<article>" + "<p>word word</p>" * 30000 + "</article>"
     assert H.main_texts(H.default_weights(), [long])[0].count("word") == 60000
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<html><head><title>T</title><meta charset=utf-8><body><article><p>{}</p></article></body></html>",
+        "<head><title>T</title><p>{}</p>",
+        "<article><svg width='1'/><p>{}</p></article>",
+        "<article><iframe src='x'/><p>{}</p></article>",
+        "<article><svg><p>{}</p></article>",
+        "<article><svg><title>no</title><path/></svg><p>{}</p><canvas></article>",
+        "{}",
+    ],
+)
+def test_open_and_self_closed_elements_lose_no_text(html):
+    body = "The valley was quiet that winter and nobody came. It snowed for days, and the road was closed."
+    assert H.main_texts(H.default_weights(), [html.format(body)]) == [body]
+
+
+def test_many_open_elements_take_linear_time():
+    body = "The valley was quiet that winter and nobody came."
+    page = "<article>" + "<svg>" * 50_000 + f"<p>{body}</p></article>"
+    assert H.main_texts(H.default_weights(), [page]) == [body]
+
+
+def test_columns_with_any_name(spark):
+    df = spark.createDataFrame([(1, "<p>x</p>", "a", "b")], "page_id long, html string, `_html` string, `odd name` string")
+    assert H.extract(df).columns == ["page_id", "_html", "odd name", "text", "n_chars"]

@@ -20,17 +20,20 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracksift.llm import words as W
 from tracksift.session import ship
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|head)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+#: Elements whose insides are no text, and how each ends.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "noscript", "template", "svg", "iframe", "canvas")}
+#: Of these, the ones whose insides are no markup: without an end tag they reach to the page's end, and "/>" doesn't close them.
+_OPEN_ENDED = frozenset(("script", "style"))
 _ATTR = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLANK = re.compile(r"\s+")
@@ -75,10 +78,13 @@ class Node:
 def parse(html: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
     """Nodes in page order (the first is the page), and pieces of text: node, block, decoded text.
 
-    Pieces of one block follow each other without a gap; scripts, styles, heads, comments and markup give no text.
+    Pieces of one block follow each other without a gap; scripts, styles, titles, drawings, comments and markup
+    give no text. A head needs no end tag: what it holds gives no text anyway. An element whose insides are passed
+    over ends with its own tag if that is closed by "/>" or no end tag follows (scripts and styles reach to the end).
     """
     nodes = [Node(-1, "#page", "", 0, 0)]
     stack, pieces, block, at = [0], [], 0, 0
+    unclosed: set[str] = set()
 
     def text(raw: str) -> None:
         if raw:
@@ -97,16 +103,26 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
                 block += 1
         del stack[i:]
 
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         text(html[at : m.start()])
         at = m.end()
-        tag = m[3]
-        if not tag:
-            if m[1]:
-                block += 1
+        tag = (m[2] or "").lower()
+        if not tag or tag == "head":
+            block += tag == "head"
+            continue
+        if tag in _RAW and not m[1]:
+            block += 1
+            if tag in unclosed or (tag not in _OPEN_ENDED and m[3].endswith("/")):
+                continue
+            end = _RAW[tag].search(html, at)
+            if end:
+                at = end.end()
+            elif tag in _OPEN_ENDED:
+                at = len(html)
+            else:
+                unclosed.add(tag)
             continue
-        tag = tag.lower()
-        if m[2]:
+        if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if nodes[stack[i]].tag == tag:
                     pop_to(i)
@@ -135,8 +151,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
                 break
         if tag not in INLINE:
             block += 1
-        nodes.append(Node(stack[-1], tag, m[4] or "", len(stack), block))
-        if not (m[4] or "").endswith("/") or tag not in VOID:
+        nodes.append(Node(stack[-1], tag, m[3] or "", len(stack), block))
+        if tag != "math" or not m[3].endswith("/"):
             stack.append(len(nodes) - 1)
     text(html[at:])
     return nodes, pieces
@@ -338,7 +354,8 @@ def main_texts(w: Weights, htmls: list[str]) -> list[str]:
         blocks: list[str] = []
         last = -1
         for node, block, text in pieces:
-            if p[base + node] >= 0.5:
+            # a page without elements is all text
+            if len(nodes) == 1 or p[base + node] >= 0.5:
                 if block == last:
                     blocks[-1] += text
                 else:
@@ -352,8 +369,8 @@ def main_texts(w: Weights, htmls: list[str]) -> list[str]:
 def extract(pages: DataFrame, html_col: str = "html", weights: Weights | None = None) -> DataFrame:
     """Every row of pages with its other columns, text (its main text; empty if none) and n_chars (code points).
 
-    Null html is empty. Broken markup is read as far as it goes: open elements end with the page, stray
-    end tags are passed over, an open comment or script reaches to the end. Columns named text or n_chars
+    Null html is empty; html without any element is all text. Broken markup is read as far as it goes: open
+    elements end with the page, stray end tags are passed over, an open comment or script reaches to the end. Columns named text or n_chars
     are replaced. An empty table gives no rows; rows that repeat are read each.
     """
     spark = pages.sparkSession
@@ -368,6 +385,6 @@ def extract(pages: DataFrame, html_col: str = "html", weights: Weights | None =
                 cols = [c.slice(lo, hi - lo) for c in batch.columns[1:]]
                 yield pa.record_batch([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names[1:], "text", "n_chars"])
 
-    own = pages.select(F.col(html_col).alias("_html"), *other)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]), "text string, n_chars long"])
+    own = pages.select(html_col, *other)
+    schema = T.StructType([*own.schema.fields[1:], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return own.mapInArrow(scan, schema)
