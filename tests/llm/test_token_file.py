@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 
 from tracksift.llm import queries as Q
 from tracksift.llm import token_file as T
+from pyspark.sql import functions as F
+
 from tests.llm.conftest import SF
 
 
@@ -55,6 +57,24 @@ def test_small_files_and_full_cache(spark, odd_docs, monkeypatch):
     assert sum(r.n_docs for r in rows) == odd_docs.count()
 
 
+def test_over_a_thousand_files_a_task(spark):
+    df = spark.range(1300).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text")).coalesce(1)
+    path = T.scratch(spark, "dac-test")
+    enc = Q.tokenizer_path()
+    # a batch of one row a file, all in one task
+    own = {"spark.sql.shuffle.partitions": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+    old = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        rows = T.write(df, path, lambda: T.WordEncoder(enc), file_tokens=1).orderBy("first_id").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 1300 and rows[0].start == 0 and max(r.no for r in rows) >= 1000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aAzZ09'.,<|>#-_éÉßñ×÷“…İΣ\u0301\u00a0\x85\x1c \n\t") | st.characters(codec="utf-8"), max_size=40) | st.sampled_from(["<|endoftext|>", "it's", "don'T x", "a<|startoftext|>b"]), max_size=6))
 def test_pieces_encode_as_whole_texts_do(texts):

@@ -283,43 +283,50 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], Callable], id_col: s
             yield flush()
 
     ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.col(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many tasks as the input has, so a task's part doesn't grow with the input
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     ordered = ordered.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     ordered.mapInArrow(pack, "value string").write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, no, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
                 d = Dac(np.frombuffer(raw.as_buffer(), np.uint8))
-                yield pa.record_batch([[shard], [int(d.ids[0])], [d.documents], [d.tokens]], names=["shard", "first_id", "n_docs", "n_tokens"])
+                yield pa.record_batch([[part], [no], [int(d.ids[0])], [d.documents], [d.tokens]], names=["part", "no", "first_id", "n_docs", "n_tokens"])
 
-    schema = "shard string, first_id long, n_docs long, n_tokens long"
+    schema = "part long, no long, first_id long, n_docs long, n_tokens long"
     manifest = cut(files(spark, path).mapInArrow(heads, schema), "dac-manifest")
-    # file names hold partition and file number, so their order is the order of ids
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+    # partition and file number as numbers: their order is the order of ids. Two levels: only one sum a
+    # partition is ordered in one place
+    earlier = (Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("no").rowsBetween(*earlier)), F.lit(0))
+    return manifest.withColumn("inside", inside).join(parts, "part").withColumn("start", (F.col("base") + F.col("inside")).cast("long")).drop("base", "inside")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """shard (from the file's name) and content of the files below path; Spark's empty files are passed over."""
+    """part and no (the task's and its file's number, from the file's name) and content of the files below path; Spark's empty files are passed over."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 8")
     # part-<partition>-<job>-c<file>.txt
-    return df.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^part-(\d+)-.*-c(\d+)\.txt$", "$1-$2").alias("shard"), "content")
+    number = lambda p: F.regexp_extract(F.element_at(F.split("path", "/"), -1), p, 1).cast("long")
+    return df.select(number(r"^part-(\d+)-").alias("part"), number(r"-c(\d+)\.txt$").alias("no"), "content")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """shard, pos (in the file), doc_id, start (in the file), n_tokens, ids_crc32 of every document in the files."""
+    """part, no (see files()), doc_id, start (in the file), n_tokens, ids_crc32 of every document in the files."""
     ship(spark)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, no, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
                 d = Dac(np.frombuffer(raw.as_buffer(), np.uint8))
                 flat = d.all().astype("<u4")
                 crc = [zlib.crc32(flat[i:j]) for i, j in zip(d.starts[:-1], d.starts[1:], strict=True)]
-                yield pa.record_batch([pa.array([shard] * d.documents), pa.array(d.ids), pa.array(d.starts[:-1]), pa.array(np.diff(d.starts)), pa.array(crc, pa.int64())], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
+                own = [pa.array(np.full(d.documents, x, np.int64)) for x in (part, no)]
+                yield pa.record_batch([*own, pa.array(d.ids), pa.array(d.starts[:-1]), pa.array(np.diff(d.starts)), pa.array(crc, pa.int64())], ["part", "no", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files(spark, path).mapInArrow(unpack, "shard string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files(spark, path).mapInArrow(unpack, "part long, no long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
@@ -327,6 +334,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, path: str | None = No
     spark = docs.sparkSession
     path = path or scratch(spark, "dac")
     manifest = write(docs, path, lambda: WordEncoder.of(tokenizer_path))
-    back = read(spark, path).join(manifest.select("shard", F.col("start").alias("base")), "shard")
+    back = read(spark, path).join(manifest.select("part", "no", F.col("start").alias("base")), ["part", "no"])
     doc_id = F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id"))
     return back.select(doc_id.alias("doc_id"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
