@@ -47,10 +47,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all is local (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = f"/tmp/checkpoints/{os.getpid()}"
     os.makedirs(path, exist_ok=True)
     return f"file://{path}"
@@ -61,11 +63,22 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tracksift/{what}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
+    """Write a frame to the shared folder and read it back: lineage is cut, and a lost executor costs nothing.
+
+    The shuffle files behind the frame go as soon as it is written, not when the driver next collects garbage.
+    """
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
