@@ -74,8 +74,49 @@ def test_items_in_blocks(spark, odd_docs, monkeypatch):
     items = [(1, " ".join(long.split()[100:130])), (2, None), (None, "a b c d e f"), (3, "one two"), (4, "zz " * 9), (5, " ".join(long.split()[-40:])), (1, " ".join(long.split()[:25]))]
     b = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.edits) for r in D.contaminated(odd_docs, b).collect())
-    assert got == [(6, 1, 0), (6, 5, 0)]
-    assert 6 not in {r.doc_id for r in D.clean(odd_docs, b).collect()}
+    assert got == [(6, 1, 0), (6, 5, 0), (7, 3, 0), (8, 3, 0)]
+    assert not {6, 7, 8} & {r.doc_id for r in D.clean(odd_docs, b).collect()}
+
+
+def edited(rng, x, n):
+    x = list(x)
+    for _ in range(n):
+        at, kind = rng.randrange(len(x)), rng.randrange(3)
+        x[at : at + (kind > 0)] = [f"n{rng.randrange(999)}"] * (kind < 2)
+    return x
+
+
+def test_index_recall_at_the_full_edit_rate():
+    """Windows found through the index, against all windows that are near enough."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    for lengths, least in (((5, 7), 0.97), ((8, 11), 0.99), ((12, 20), 0.99), ((21, 60), 0.99)):
+        texts = [rng.choices(vocab, k=rng.randint(*lengths)) for _ in range(300)]
+        items = D.items_of(list(range(300)), [" ".join(x) for x in texts])
+        hit = n = 0
+        for k, x in enumerate(texts):
+            y = rng.choices(vocab, k=30) + edited(rng, x, len(x) // 5) + rng.choices(vocab, k=30)
+            h = np.array(tokens_of(" ".join(y)), np.uint64)
+            if brute(tokens_of(" ".join(x)), h.tolist()) <= len(x) // 5:
+                n += 1
+                hit += k in {i for _, i, _, _ in D.search(items, h, np.array([0, len(h)]))}
+        assert n == 300 and hit >= least * n, (lengths, hit)
+
+
+def test_tiny_and_huge_items(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(900)]
+    huge = rng.choices(vocab, k=3000)
+    docs = [(1, "say alpha now"), (2, "say alpha beta gamma now"), (3, " ".join([*rng.choices(vocab, k=20), *edited(rng, huge, 500)])), (4, "alpha x gamma")]
+    items = [(1, "Alpha"), (2, "alpha beta gamma"), (3, " ".join(huge)), (4, "?!")]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (4, 1), (2, 2), (3, 3)}
+
+
+def test_clean_judges_each_row(spark):
+    docs = spark.createDataFrame([(None, "say alpha beta gamma delta omega now", "x"), (None, "nothing here", "y"), (1, "alpha beta gamma delta omega", "z"), (1, "fine", "w")], "doc_id long, text string, th string")
+    b = spark.createDataFrame([(1, "alpha beta gamma delta omega")], "item_id long, text string")
+    assert sorted(r.th for r in D.clean(docs, b).collect()) == ["w", "y"]
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
