@@ -33,6 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that the frame doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, once for each context."""
     sc = spark.sparkContext
@@ -58,9 +66,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tracksift/{what}-{uuid.uuid4().hex}"
+    """A new path below the application's part of the shared folder, which goes when the application ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/tracksift/{sc.applicationId}"
+    if getattr(sc, "_tracksift_scratch", None) != root:
+        _filesystem(spark, root).deleteOnExit(sc._jvm.org.apache.hadoop.fs.Path(root))
+        sc._tracksift_scratch = root
+    _made.append(f"{root}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _filesystem(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    return sc._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch paths that nothing needs any more."""
+    for p in paths:
+        _filesystem(spark, p).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p), True)
+        _made.remove(p)
+
+
+def scratch_paths() -> list[str]:
+    """The scratch paths that are there, oldest first."""
+    return list(_made)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -84,9 +118,6 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
 def drop_paths(df: DataFrame) -> None:
     """Delete the files behind a frame made by cut(), once nothing needs it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        if "/tracksift/" in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(conf).delete(p, True)
+    # a scratch path ends in a name of its own
+    names = {f.split("/")[-2] for f in df.inputFiles()}
+    drop(df.sparkSession, *(p for p in scratch_paths() if p.rpartition("/")[2] in names))
