@@ -4,9 +4,9 @@ An entity's characters fall into classes (digits, hex digits, vowels and consona
 case); the string of that pattern is a number below the product of the class sizes, and a keyed
 Feistel permutation of that range gives the surrogate. So surrogates keep length, case, script and
 separators, the same entity gets the same surrogate in every document (coreference), and different
-entities of one pattern get different ones (distinctness). Given names of the lexicon permute within
-their gender; a surname maps by itself, so "Mr Smith" follows "John Smith". Cards keep a valid check
-digit, addresses stay addresses.
+entities of one pattern get different ones (distinctness). Given names of the lexicon become, one to one,
+names of their gender from a second lexicon; a surname maps by itself, so "Mr Smith" follows "John Smith". Cards keep a valid check
+digit and account numbers their check digits, addresses stay addresses.
 
 Collision check: a surrogate must not be another real entity of the corpus. The distinct entities of all
 documents are joined with their own surrogates; where one hits, the entity draws again from another
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracksift.llm import words as W
-from tracksift.session import cut, ship
+from tracksift.session import cut, ship, unused
 
 MAX_OVERRIDES = 100_000
 MOST_TURNS = 40
@@ -37,6 +37,9 @@ KEY = b"tracksift surrogate key; pass another"
 #: Fixed lexicon of given names by gender.
 MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Kevin Brian George Hans Peter Klaus Jürgen Stefan Wolfgang Pierre Jean Luc Michel Jacques Antoine José Juan Carlos Miguel Luis Javier Pedro Diego Ivan Sergei Dmitri".split()
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Emily Anna Laura Emma Olivia Helen Julia Rachel Ursula Sabine Monika Petra Heike Claudia Marie Sophie Camille Claire Juliette Chantal María Carmen Ana Isabel Lucía Elena Pilar Rosa Olga Natalia Svetlana".split()
+#: What given names become, of the same gender and as many: none of them is in the lexicon, so a surrogate is no other person's name.
+TO_MALE = "Adrian Alfred Armin Arthur Axel Barnaby Bastian Bruno Cedric Clemens Conrad Cyril Damian Duncan Edgar Edmund Elias Felix Gideon Gregor Gustav Harold Hector Hugo Ivo Jasper Jonas Julius Kilian Leander Linus Lorenz Magnus Marius Nestor Oscar Otto Percy Quentin Rufus Silas Tobias Victor Walter Xaver Yann Zeno".split()
+TO_FEMALE = "Adela Agatha Alma Astrid Beatrice Bianca Celia Clara Daphne Delia Dorothea Edith Eleonora Elvira Esther Felicia Flora Frieda Greta Hanna Hedwig Ida Irma Isolde Jana Josefa Judith Katja Leonie Lydia Magda Mathilda Mira Nadia Nora Ottilie Paula Regina Rita Ruth Selma Silvia Tamara Thea Ulrike Verena Wilma Yvonne Zita".split()
 TITLES_M = "Mr Herr Monsieur Señor Sr".split()
 TITLES_F = "Mrs Ms Miss Frau Madame Mme Señora Sra".split()
 TITLES_N = "Dr Prof Doctor Professor".split()
@@ -78,7 +81,7 @@ _HINT = re.compile(r"@|\d[\d. ()-]{5}|[0-9a-f]{32}|AKIA|gh[pousr]_|password|pass
 _CUE = re.compile(rf"\b(?:{'|'.join([*TITLES_M, *TITLES_F, *TITLES_N, *_GIVEN])})\b")
 
 #: Fixed character classes; a character of none stays.
-_CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "çñß", "ÇÑ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ")
+_CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöüőűåæøœãõýÿ", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜŐŰÅÆØŒÃÕÝŸ", "çñßłńśźżćčďđěğřšşťžņ", "ÇÑŁŃŚŹŻĆČĎĐĚĞŘŠŞŤŽŅ", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩΆΈΉΊΌΎΏ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ")
 _CLASS_OF = {c: k for k in _CLASSES for c in k}
 _HEX = "0123456789abcdef"
 _ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -127,6 +130,11 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def iban_check(country: str, body: str) -> str:
+    """The two check digits of an account number."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
+
+
 def normal(kind: str, text: str) -> str:
     """What is the same entity: letters' case and separators apart, where the kind has none of its own."""
     if kind == "email":
@@ -163,7 +171,11 @@ def once(kind: str, entity: str, key: bytes) -> str:
         head, tail = entity[:-7], entity[-7:]
         return head + by_pattern(tail, ["0123456789" if c.isdigit() else None for c in tail], key, kind + head)
     if kind == "iban":
-        return entity[:2] + by_pattern(entity[2:], ["0123456789" if c.isdigit() else _ALNUM[10:] for c in entity[2:]], key, kind + entity[:2])
+        classes = ["0123456789" if c.isdigit() else _ALNUM[10:] for c in entity]
+        if iban_check(entity[:2], entity[4:]) == entity[2:4]:
+            body = by_pattern(entity[4:], classes[4:], key, kind + entity[:2])
+            return entity[:2] + iban_check(entity[:2], body) + body
+        return entity[:2] + by_pattern(entity[2:], classes[2:], key, "no " + kind + entity[:2])
     if kind == "secret":
         if entity.startswith("AKIA"):
             return "AKIA" + by_pattern(entity[4:], [_ALNUM] * (len(entity) - 4), key, "akia")
@@ -172,8 +184,8 @@ def once(kind: str, entity: str, key: bytes) -> str:
         head = entity[:4] if re.match(r"gh[pousr]_", entity) else ""
         return head + by_pattern(entity[len(head) :], [_CLASS_OF.get(c) for c in entity[len(head) :]], key, kind + head)
     if kind.startswith("given_"):
-        names = MALE if kind == "given_m" else FEMALE
-        return names[permute(names.index(entity), len(names), key, kind.encode())]
+        names, to = (MALE, TO_MALE) if kind == "given_m" else (FEMALE, TO_FEMALE)
+        return to[permute(names.index(entity), len(names), key, kind.encode())]
     return by_pattern(entity, [_CLASS_OF.get(c) for c in entity], key, kind)
 
 
@@ -225,7 +237,7 @@ def _entities(own: DataFrame, key: bytes, with_id: bool) -> DataFrame:
 def overrides_of(own: DataFrame, key: bytes) -> DataFrame:
     """kind, entity, surrogate of the entities whose first surrogate is itself a real entity."""
     spark = own.sparkSession
-    # given names permute within their own lexicon, where every surrogate is a real name: they aren't checked
+    # given names become names outside their lexicon, so they never meet one that is found: they aren't checked
     real = cut(_entities(own, key, False).where("kind not like 'given%'").groupBy("kind", "entity").agg(F.first("surrogate").alias("surrogate")), "pii-entities")
     def same(other: DataFrame) -> tuple[DataFrame, F.Column]:
         return other, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("s"))
@@ -266,16 +278,16 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
     over = cut(overrides_of(own, key), "pii-overrides")
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    at = names.index(text_col)
+    at, extra, key_col = names.index(text_col), unused(docs, "over"), unused(docs, "of")
     small = over.limit(MAX_OVERRIDES + 1).count() <= MAX_OVERRIDES
     if small:
         table = spark.sparkContext.broadcast({(r.kind, r.entity): r.surrogate for r in over.collect()})
-        joined = docs.select(*names, F.lit(None).cast("array<struct<kind:string,entity:string,surrogate:string>>").alias("_over"))
+        joined = docs.select(*names, F.lit(None).cast("array<struct<kind:string,entity:string,surrogate:string>>").alias(extra))
     else:
         table = spark.sparkContext.broadcast({})
         held = _entities(own, key, True).join(over.withColumnRenamed("surrogate", "to"), ["kind", "entity"])
-        held = held.groupBy("id").agg(F.collect_set(F.struct("kind", "entity", F.col("to").alias("surrogate"))).alias("_over"))
-        joined = docs.join(held, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) == held["id"], "left").select(*[docs[c] for c in names], "_over")
+        held = held.groupBy(F.col("id").alias(key_col)).agg(F.collect_set(F.struct("kind", "entity", F.col("to").alias("surrogate"))).alias(extra))
+        joined = docs.join(held, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) == held[key_col], "left").select(*[docs[c] for c in names], held[extra])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
