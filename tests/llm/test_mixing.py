@@ -85,3 +85,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert M.mixture(no_docs).collect() == []
     one = spark.createDataFrame([(1, "a b c", None)], "doc_id long, text string, source string")
     assert [r.copies for r in M.mix(one).collect()][0] in (1, 2)
+
+
+def test_mixture_is_the_mix(spark):
+    rng = random.Random(5)
+    docs = [(None if i % 5 == 0 else i // 3, prose(rng, 1 + i % 9), f"s{i % 4}") for i in range(300)] + [(7, "same text", "s1")] * 5
+    df = spark.createDataFrame([(*d, i, "x") for i, d in enumerate(docs)], "doc_id long, text string, source string, `row` int, copies string")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in M.mix(df).collect():
+        want[r.doc_id, r["size"]] += r.taken
+    out = M.mixture(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        n = len(r.text.split())
+        got[r.doc_id, n] += n
+    assert got == {k: n for k, n in want.items() if n}
