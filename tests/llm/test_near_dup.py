@@ -103,6 +103,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 7, 9, None]))
 
 
+def test_rows_that_share_an_id_are_judged_each(spark):
+    rng = random.Random(6)
+    a, b = prose(rng, 200, 5000), prose(rng, 200, 5000)
+    rows = [(1, a, "x"), (1, b, "y"), (2, a + " more", "z"), (1, "", "e"), (1, None, "n"), (None, a, "q"), (1, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, turn string")
+    assert sorted(r.turn for r in N.keep_one(df).collect()) == ["e", "n", "q", "x", "y"]
+
+
 def test_weighted_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     h = W.mix(np.arange(900, dtype=np.uint64))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksift.llm import words as W
@@ -225,12 +225,20 @@ def _vector(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: its id, class_id (the least id of its class) and class_size (rows).
+    """One row for each row of docs: its id (a long), class_id (the least id of its class) and class_size (rows).
 
     Words are compared with ASCII letters folded. Equal word sequences are of one class; rows without
-    words (null, empty, white space) each stay alone. Rows that share an id share its class; a null id
-    has a null class and size 1. An empty table gives no rows; other columns are not read.
+    words (null, empty, white space) each stay alone. Rows that share an id are judged each by its text; a null
+    id has a null class and size 1. An empty table gives no rows; other columns are not read.
     """
+    out = _classes(docs, id_col, text_col, threshold)
+    count = out.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1")
+    out = out.join(count, "class_id", "left")
+    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """id, th (the text's hash), class_id and has_words of each row."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -250,10 +258,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 bands = pa.ListArray.from_arrays(pa.array(offsets), W.longs(keys.reshape(-1)))
                 sigs = np.concatenate([[0], np.cumsum(lists // BANDS * SAMPLES)]).astype(np.int32)
                 sig = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(sigs), pa.py_buffer(sig)])
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), W.longs(a), W.longs(b), bands, sig, pa.array(total)], ["id", "h1", "h2", "bands", "sig", "weight"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), W.longs(a), W.longs(b), bands, sig, pa.array(total)], ["id", "th", "h1", "h2", "bands", "sig", "weight"])
 
-    scanned = cut(docs.mapInArrow(scan, "id long, h1 long, h2 long, bands array<long>, sig binary, weight double"), "near-scan")
-    rows = scanned.select("id", "h1", "h2")
+    scanned = cut(docs.withColumn("th", F.xxhash64("text")).mapInArrow(scan, "id long, th long, h1 long, h2 long, bands array<long>, sig binary, weight double"), "near-scan")
+    rows = scanned.select("id", "th", "h1", "h2")
     # equal word sequences; a hot group is folded map-side
     known = scanned.where("id is not null")
     nodes = known.where("size(bands) > 0").groupBy("h1", "h2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("bands", "sig", "weight")])
@@ -348,19 +356,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         label = nodes.select("node", F.col("node").alias("label")).limit(0)
     named = nodes.select("h1", "h2", "node").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
-    out = rows.join(named, ["h1", "h2"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    # rows that share an id with different texts: the least class of the id
-    least = out.groupBy("id").agg(F.min("class_id").alias("c"), F.max("class_id").alias("d")).where("c < d").select("id", "c")
-    out = out.join(least, "id", "left").select("id", F.coalesce("c", "class_id").alias("class_id"))
-    count = out.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1")
-    out = out.join(count, "class_id", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return rows.join(named, ["h1", "h2"], "left").select("id", "th", F.coalesce("class_id", "id").alias("class_id"), ((F.col("h1") != 0) | (F.col("h2") != 0)).alias("has_words"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """docs without the rows whose class has a row of a lesser id; of rows with one id, one stays. Null ids stay."""
-    classes = near_duplicates(docs, id_col, text_col, threshold)
-    gone = classes.where(F.col("class_id") < F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    known, unknown = kept.where(F.col(id_col).isNotNull()), kept.where(F.col(id_col).isNull())
-    return known.dropDuplicates([id_col]).unionByName(unknown)
+    """One row of each class: that with the least id (of those with one id, the least hash of the text); rows with null ids stay.
+
+    Rows equal in id and text are one; the one with the least hash of its other columns stays.
+    """
+    rows = _classes(docs, id_col, text_col, threshold).where("id is not null")
+    # texts without words are of no class
+    first = rows.groupBy("class_id", F.when(~F.col("has_words"), F.col("th"))).agg(F.min(F.struct("id", "th")).alias("f"))
+    kept = first.select(F.col("f.id").alias("id"), F.col("f.th").alias("th"))
+    mine = (docs[id_col].cast("long") == kept["id"]) & (F.xxhash64(docs[text_col]) == kept["th"])
+    # one exchange of the texts: the rest works on the partitioning of the join
+    own = docs.join(kept, mine, "left_semi")
+    key = [F.col(id_col).cast("long"), F.xxhash64(text_col)]
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))
+    struct = own.select(F.struct(*docs.columns).alias("row"), turn.alias("turn")).where("turn = 1").select("row.*")
+    return struct.unionByName(docs.where(docs[id_col].isNull()))
