@@ -14,8 +14,7 @@ found where some run of the document is within floor(EDIT_RATE * L) edits of it.
    item-sized window that leads there; each is looked up once for all of them. A key in the index gives the item
    and, by its place in it, the window. A pair at the full edit rate shares a key in more than 99 of 100 cases
    (measured against brute force by the tests). Items under LEAST tokens allow no edits and are looked up whole.
-4. LSH again on the windows found: each of BANDS bands samples SAMPLES places of one of CHECKS embeddings of the whole
-   window; a window goes on if it agrees with its item in one band (0.9998 of cases with half of the places alike).
+4. A window goes on if its region lacks no more of the item's tokens than edits are allowed, which loses nothing.
 5. Exact edit distance of the item against the region around the window (Myers' bit vectors).
 """
 
@@ -38,12 +37,9 @@ LEAST = 5
 WALKS, PHASES = 4, 4
 #: Steps from a sample's first place to its others; those of items under SHORT tokens reach less far.
 GAPS, SHORT_GAPS, SHORT = ((2, 4, 6),), ((2, 4),), 12
-CHECKS, BANDS, SAMPLES = 4, 64, 3
 #: Items searched for in one pass over the documents; what is broadcast is bounded by this many items.
 ITEMS_AT_ONCE = 20_000
 _FILTER = 1 << 20
-#: Tokens of windows that are embedded at once.
-_AT_ONCE = 80_000
 
 
 def tokens(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,31 +143,6 @@ def windows(items: Items, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return found[0], found[1], found[2]
 
 
-def embed(x: np.ndarray, walk: int) -> np.ndarray:
-    """CGK: each row of token hashes (n, L) becomes 3 L places; past its end a row gives 0."""
-    n, size = x.shape
-    padded = np.concatenate([x, np.zeros((n, 1), np.uint64)], axis=1)
-    out = np.zeros((n, 3 * size), np.uint64)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    for j in range(3 * size):
-        c = padded[rows, at]
-        out[:, j] = c
-        step = W.mix(c ^ np.uint64((walk << 32) + j + 1)) & np.uint64(1)
-        at = np.minimum(at + step.astype(np.int64), size)
-    return out
-
-
-def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of windows a and items b, both (n, L), agree in a whole band of sampled places."""
-    ok = np.zeros(len(a), bool)
-    for walk in range(CHECKS):
-        same = embed(a, walk) == embed(b, walk)
-        places = np.random.default_rng(walk).integers(0, same.shape[1], (BANDS // CHECKS, SAMPLES))
-        for band in places:
-            ok |= same[:, band].all(axis=1)
-    return ok
-
-
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edits between the item and any run of text, and where that run ends."""
     m = len(item)
@@ -197,28 +168,23 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def search(items: Items, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(row, item, start, edits) of each row and item that match: the place with the fewest edits."""
-    row, start, item = windows(items, h, first)
-    n_row = np.diff(first)
-    lo = np.clip(start, 0, n_row[row])
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for size in np.unique(items.size[item]):
-        at = np.flatnonzero(items.size[item] == size)
-        steps = np.arange(size)
-        for part in np.array_split(at, -(-len(at) * int(size) // _AT_ONCE)):
-            inside = lo[part][:, None] + steps < n_row[row[part]][:, None]
-            where = np.minimum(first[row[part]][:, None] + lo[part][:, None] + steps, max(len(h) - 1, 0))
-            a = np.where(inside, h[where], np.uint64(0))
-            b = items.tokens[items.first[item[part]][:, None] + steps]
-            for i in part if size < LEAST else part[agree(a, b)]:
-                r, k, d = int(row[i]), int(item[i]), int(items.edits[item[i]])
-                old = best.get((r, k))
-                if old and old[1] == 0:
-                    continue
-                begin = max(0, int(start[i]) - d)
-                region = h[first[r] + begin : first[r] + min(int(n_row[r]), int(start[i]) + int(size) + d)]
-                e, end = edit_distance(items.tokens[items.first[k] : items.first[k] + size], region)
-                if e <= d and (old is None or e < old[1]):
-                    best[r, k] = begin + max(0, end - int(size)), e
+    own: dict[int, list[int]] = {}
+    for r, at, k in zip(*(x.tolist() for x in windows(items, h, first)), strict=True):
+        old = best.get((r, k))
+        if old and old[1] == 0:
+            continue
+        size, d, lo = int(items.size[k]), int(items.edits[k]), int(first[r])
+        begin = max(0, at - d)
+        region = h[lo + begin : min(int(first[r + 1]), lo + at + size + d)]
+        if k not in own:
+            own[k] = items.tokens[items.first[k] : items.first[k] + size].tolist()
+        have = set(region.tolist())
+        if sum(x not in have for x in own[k]) > d:
+            continue
+        e, end = edit_distance(items.tokens[items.first[k] : items.first[k] + size], region)
+        if e <= d and (old is None or e < old[1]):
+            best[r, k] = begin + max(0, end - size), e
     return [(r, k, s, e) for (r, k), (s, e) in best.items()]
 
 
