@@ -8,8 +8,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracksift.plans import queries as Q
-from tracksift.plans.oracle import oracle_sql
+from tracksift.plans import more, oracle, queries
+
+QUERIES, ORACLES = queries.queries() | more.queries(), oracle.oracle_sql() | more.SQL
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,11 +33,11 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, con, name):
-    got = Q.queries()[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     names = sorted(got.columns)
-    cur = con.execute(oracle_sql()[name])
+    cur = con.execute(ORACLES[name])
     have = [d[0] for d in cur.description]
     assert sorted(have) == names
     order = [have.index(n) for n in names]
@@ -47,6 +48,6 @@ def test_query_equals_oracle(spark, con, name):
     assert rows or name == "hashtag_terms"  # the tables hold no hashtags
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert Q.queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0

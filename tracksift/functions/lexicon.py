@@ -69,3 +69,9 @@ STOPWORDS = ["official", "audio", "mv", "m v", "music", "video", "lyrics", "lyri
 
 # Fixed values. Words that mark generated content.
 AI_WORDS = ["ai 음악", "ai음악", "인공지능 음악", "인공지능음악", "ai로 만든", "ai가 만든", "ai 커버", "ai커버", "ai 생성", "ai생성", "ai 제작", "ai제작", "ai 노래", "ai노래", "ai generated", "ai-generated", "ai music", "ai cover", "ai song", "suno", "udio", "artificial intelligence music"]
+
+# Fixed values. Words of other versions, and words that a catalogue adds to names.
+VERSION_WORDS = ["live", "concert", "remix", "remastered", "remaster", "instrumental", "inst", "acoustic", "sped up", "slowed", "karaoke", "nightcore", "8d", "version", "ver", "cover", "radio edit", "edit"]
+
+# Fixed values. Messages for people by reason.
+MODE_ALIASES = {"": "text", "text": "text", "ocr": "ocr", "video": "ocr", "vision": "ocr", "acr": "acr", "audio": "acr"}

@@ -8,6 +8,8 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -160,6 +162,12 @@ def has_latin(c: Column) -> Column:
     return c.rlike("[A-Za-z]")
 
 
+def upper_latin(c: Column) -> Column:
+    """Three Latin letters or more, all capitals."""
+    letters = F.regexp_replace(c, "[^A-Za-z]", "")
+    return (F.length(letters) >= 3) & (letters == F.upper(letters))
+
+
 def hangul_only(c: Column) -> Column:
     return F.replace(clean_text(c), F.lit(" "), F.lit("")).rlike("^[가-힣]+$")
 
@@ -198,6 +206,31 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def similar(x: str, y: str) -> float:
+    """similarity() of two normal forms, for use in tasks."""
+    if not x or not y:
+        return 0.0
+    p, q = x.replace(" ", ""), y.replace(" ", "")
+    if len(p) <= 2 or len(q) <= 2:
+        if p == q:
+            return 1.0
+        return (0.55 if re.search("[가-힣]", p + q) else 0.75) if p in q or q in p else 0.0
+    if x == y or p == q:
+        return 1.0
+    if x in y or y in x:
+        return 0.92
+    a, b = set(x.split()) - set(L.STOPWORDS), set(y.split()) - set(L.STOPWORDS)
+    overlap = round(len(a & b) / max(len(a), len(b)), 4) if a and b else 0.0
+    return max(overlap, round(difflib.SequenceMatcher(None, x, y).ratio() * 0.82, 4))
+
+
+@F.pandas_udf(T.DoubleType())
+def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The highest similarity between two arrays of normal forms; 0 if one is empty, null if one is null."""
+    best = [None if x is None or y is None else max((similar(i, j) for i in x for j in y), default=0.0) for x, y in zip(a, b, strict=True)]
+    return pd.Series(best, dtype="float64")
+
+
 def quick_similarity(a: Column, b: Column) -> Column:
     return quick_similarity_of_normal(match_text(a), match_text(b))
 
@@ -271,6 +304,25 @@ def line_format(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, rf"\[({TIME})\]", "$1"), "ㅣ｜", "||")
 
 
+def mask_brackets(c: Column) -> Column:
+    """What stands in brackets, and the brackets, as a private mark for each; unmask_brackets() puts them back."""
+    spans = bracket_spans(c)
+    return F.aggregate(F.transform(spans, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), c, lambda acc, e: F.replace(acc, e.x, mark(e.i)))
+
+
+def bracket_spans(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\})"), F.lit(1)))
+
+
+def mark(i: Column) -> Column:
+    return F.concat(F.lit("\ue000"), i.cast("string"), F.lit("\ue001"))
+
+
+def unmask_brackets(c: Column, of: Column) -> Column:
+    """c, a part of the masked text `of`, with its brackets again."""
+    return F.aggregate(F.transform(bracket_spans(of), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), c, lambda acc, e: F.replace(acc, mark(e.i), e.x))
+
+
 def match_id(title: Column, artist: Column) -> Column:
     return F.concat_ws("|||", F.lower(F.trim(title)), F.lower(F.trim(artist)))
 
@@ -306,7 +358,11 @@ def not_music(c: Column) -> Column:
 
 
 def section_word(c: Column) -> Column:
-    return F.lower(c).rlike(any_of([w.lower() for w in L.SECTION_WORDS]))
+    words = {w.lower() for w in L.SECTION_WORDS}
+    # a word that holds another one needs no test; each test stops at the first byte that differs
+    least = [w for w in sorted(words) if not any(o != w and o in w for o in words)]
+    low = F.lower(c)
+    return reduce(or_, [F.contains(low, F.lit(w)) for w in least])
 
 
 def _hits(c: Column, words: list[str]) -> Column:

@@ -19,8 +19,12 @@ SECTION_RATIO = 0.8
 
 
 def fuzzy_dedup(songs: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
-    """Songs without those whose title is within one edit of an earlier kept one of the same artist; for documents of FUZZY_MIN_ROWS songs or more."""
-    own = songs.withColumn("_t", X.match_text(F.col("title"))).withColumn("_a", F.coalesce(X.match_text(F.col("artist")), F.lit("")))
+    """Songs without those whose title is within one edit of an earlier kept one of the same artist; for documents of FUZZY_MIN_ROWS songs or more.
+
+    Titles and artists are compared trimmed and in lower case, brackets and all; songs without a title go.
+    """
+    fold = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    own = songs.withColumn("_t", fold("title")).withColumn("_a", fold("artist")).where("_t <> ''")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -81,11 +85,23 @@ def near_duplicates(songs: DataFrame, key: str = "doc_id", order: str = "line_no
     return songs.groupBy(key).applyInPandas(greedy, f"{fields}, n_variants long")
 
 
-def section_join(songs: DataFrame, cards: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each song with the card it is: equal, contained, then the best ratio of SECTION_RATIO; each card once; equal leftovers by position.
+def with_title_keys(rows: DataFrame, titles: DataFrame | None, into: str = "_keys") -> DataFrame:
+    """rows with the title's other names (of its alias groups; titles: canonical, alias), in lower case."""
+    if titles is None:
+        return rows.withColumn(into, F.array().cast("array<string>"))
+    every = titles.select("canonical", "alias").union(titles.select("canonical", F.col("canonical").alias("alias"))).select("canonical", F.lower(F.trim("alias")).alias("a")).distinct()
+    group = every.groupBy("canonical").agg(F.collect_set("a").alias("own"))
+    names = every.join(group, "canonical").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias(into))
+    return rows.withColumn("a", F.lower(F.trim("title"))).join(names, "a", "left").drop("a").withColumn(into, F.coalesce(into, F.array().cast("array<string>")))
+
+
+def section_join(songs: DataFrame, cards: DataFrame, key: str = "doc_id", titles: DataFrame | None = None) -> DataFrame:
+    """Each song with the card it is: equal, contained or a known other title, then the best ratio of SECTION_RATIO; each card once; equal leftovers by position.
 
     Songs: key, line_no, artist, title. Cards: key, section_index, title, artist. Adds section_index, card_artist, how.
     """
+    columns, schema = songs.columns, songs.schema
+    songs, cards = with_title_keys(songs, titles), with_title_keys(cards, titles)
 
     def match(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("line_no", kind="stable"), right.sort_values("section_index", kind="stable")
@@ -98,7 +114,7 @@ def section_join(songs: DataFrame, cards: DataFrame, key: str = "doc_id") -> Dat
 
         for r in rows:
             t = (r["title"] or "").lower().strip()
-            hit = next((c for c in free if t and _same_title(t, (c["title"] or "").lower().strip())), None)
+            hit = next((c for c in free if t and (_same_title(t, (c["title"] or "").lower().strip()) or set(r["_keys"]) & set(c["_keys"]))), None)
             if hit is None and t and free:
                 score, hit = max(((_ratio(t, (c["title"] or "").lower()), c) for c in free), key=lambda x: x[0])
                 hit = hit if score >= SECTION_RATIO else None
@@ -108,9 +124,9 @@ def section_join(songs: DataFrame, cards: DataFrame, key: str = "doc_id") -> Dat
         if left_over and len(left_over) == len(free) and len(left_over) < len(rows):
             for r, c in zip(left_over, list(free), strict=True):
                 take(r, c, "position")
-        return pd.DataFrame(rows, columns=[*left.columns, "section_index", "card_artist", "how"])
+        return pd.DataFrame(rows, columns=[*columns, "section_index", "card_artist", "how"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in songs.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return songs.groupBy(key).cogroup(cards.groupBy(key)).applyInPandas(match, f"{fields}, section_index int, card_artist string, how string")
 
 
@@ -124,21 +140,97 @@ def section_extras(cards: DataFrame, joined: DataFrame, key: str = "doc_id") ->
     return cards.join(used, [key, "section_index"], "left_anti")
 
 
-def supplement(songs: DataFrame, extras: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Extras with the decision on each: added, or why not. An added one may keep a later one out."""
+def drop_swapped(joined: DataFrame, key: str = "doc_id") -> DataFrame:
+    """joined without songs that are a confirmed song with artist and title changed places."""
+    fold = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    own = joined.withColumns({"_t": fold("title"), "_a": fold("artist")})
+    sure = own.where("section_index is not null and _t <> '' and _a <> ''").select(F.col(key).alias("_key"), F.col("_t").alias("_ct"), F.col("_a").alias("_ca")).distinct()
+    other = F.col("section_index").isNull() & (F.col(key) == F.col("_key")) & (F.col("_a") == F.col("_ct")) & (F.col("_t") == F.col("_ca"))
+    return own.join(sure, other, "left_anti").drop("_t", "_a")
+
+
+def _same_artist(a: list[str], b: list[str]) -> bool:
+    return bool(set(a) & set(b)) or any(len(x) >= 4 and len(y) >= 4 and (x in y or y in x) for x in a for y in b)
+
+
+def supplement(songs: DataFrame, extras: DataFrame, key: str = "doc_id", groups: DataFrame | None = None) -> DataFrame:
+    """Extras with the decision on each: added, or why not. An added one may keep a later one out.
+
+    Out go extras without title or artist, those whose title stands with the same artist or under a confirmed song, and
+    those at whose place in the document a song by the same artist stands (a translated title). Songs may have section_index
+    (not null: confirmed) and confidence (only high ones hold their place); groups: match.alias_groups().
+    """
+    flag = lambda c, v: F.col(c).isNotNull() if c in songs.columns else F.lit(v)
+    sure = F.col("confidence") == "high" if "confidence" in songs.columns else F.lit(True)
+    left = _with_artist_keys(songs.select(key, "line_no", "title", "artist", flag("section_index", False).alias("confirmed"), F.coalesce(sure, F.lit(False)).alias("sure")), groups)
+    columns, schema = extras.columns, extras.schema
+    right = _with_artist_keys(extras, groups)
 
     def decide(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        have = {((r.title or "").lower(), (r.artist or "").lower()) for r in left.itertuples()}
-        titles = {t for t, _ in have}
+        low = lambda x: (x or "").lower().strip()
+        have = [(low(r["title"]), low(r["artist"]), list(r["_akeys"]), r["confirmed"], r["sure"]) for r in left.sort_values("line_no", kind="stable").to_dict("records")]
         out = []
         for r in right.sort_values("section_index", kind="stable").to_dict("records"):
-            t, a = (r["title"] or "").lower(), (r["artist"] or "").lower()
-            why = "blank" if not t else "duplicate_title_artist" if (t, a) in have else "duplicate_title" if t in titles else "added"
+            t, a, why = low(r["title"]), low(r["artist"]), "added"
+            if not t or not a:
+                why = "missing_title_or_artist"
+            for i, (ht, ha, keys, confirmed, sure) in enumerate(have if why == "added" else ()):
+                if not (ht and _same_title(ht, t)):
+                    if r["section_index"] == i and sure and _same_artist(keys, list(r["_akeys"])):
+                        why = "duplicate_music_section_artist_position"
+                        break
+                elif ha == a:
+                    why = "duplicate_title_artist"
+                    break
+                elif confirmed:
+                    why = "duplicate_music_section_title"
+                    break
             if why == "added":
-                have.add((t, a))
-                titles.add(t)
-            out.append(r | {"decision": why})
-        return pd.DataFrame(out, columns=[*right.columns, "decision"])
+                have.append((t, a, list(r["_akeys"]), True, False))
+            out.append({c: r[c] for c in columns} | {"decision": why})
+        return pd.DataFrame(out, columns=[*columns, "decision"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(decide, f"{fields}, decision string")
+
+
+def _with_artist_keys(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    own = F.filter(F.transform(X.artist_parts(F.col("artist")), X.artist_key), lambda k: k != "")
+    rows = rows.withColumn("_akeys", F.coalesce(own, F.array().cast("array<string>")))
+    if groups is None:
+        return rows
+    # a name is looked up whole: cards and songs name one artist, or are told apart by their parts
+    one = rows.withColumn("alias_key", X.artist_key(F.col("artist"))).join(groups, "alias_key", "left")
+    return one.withColumn("_akeys", F.when(F.col("keys").isNotNull(), F.array_union("_akeys", "keys")).otherwise(F.col("_akeys"))).drop("alias_key", "keys")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extras.schema.fields)
-    return songs.groupBy(key).cogroup(extras.groupBy(key)).applyInPandas(decide, f"{fields}, decision string")
+
+def merge_audio_hits(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Near-equal audio hits of a document as one: the reading of the highest score (the first on ties), all its segments, how many, max_score.
+
+    Two hits are one song where artists are equal and titles at 0.86, or titles at 0.95, or titles at 0.80 with artists
+    at 0.35. Hits without a title go. hits: key, segment_index, title, artist, score.
+    """
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[dict] = []
+        for r in pdf.sort_values("segment_index", kind="stable").to_dict("records"):
+            t, a = (r["title"] or "").strip(), (r["artist"] or "").strip()
+            if not t:
+                continue
+            for k in kept:
+                rt, ra = _ratio(t.lower(), k["title"].lower()), _ratio(a.lower(), k["artist"].lower())
+                if (a.lower() == k["artist"].lower() and rt >= 0.86) or rt >= 0.95 or (rt >= 0.8 and ra >= 0.35):
+                    if r["score"] > k["max_score"]:
+                        k.update(title=t, artist=a, max_score=r["score"])
+                    if r["segment_index"] not in k["segments"]:
+                        k["segments"].append(r["segment_index"])
+                    break
+            else:
+                kept.append({key: r[key], "title": t, "artist": a, "max_score": r["score"], "segments": [r["segment_index"]]})
+        out = pd.DataFrame(kept, columns=[key, "title", "artist", "max_score", "segments"])
+        out["n"] = out["segments"].map(len).astype("int64") if len(out) else pd.Series(dtype="int64")
+        return out
+
+    own = hits.select(key, F.col("segment_index").cast("long"), "title", "artist", F.col("score").cast("long"))
+    kind = hits.schema[key].dataType.simpleString()
+    return own.groupBy(key).applyInPandas(greedy, f"`{key}` {kind}, title string, artist string, max_score long, segments array<long>, n long")

@@ -67,7 +67,7 @@ def _features(raw: Column, f: dict[str, Column], level: int) -> dict[str, Column
     known = f["known_group"] | f["alias"]
     title_phrase = (f["words"] >= 2) | f["joined"] | (f["title_shape"] & ~known)
     short = (clean != "") & (F.length(clean) <= 32) & (f["words"] <= 4) & (f["title_shape"] | ((f["words"] <= 3) & ~f["connector"]))
-    artist = _sum((f["artist_shape"], 1.0), (f["known_group"], 1.1), (f["korean_name"], 0.8), (f["english_artist"], 0.8), (f["alias"], 0.8), (f["connector"], 0.7), (f["title_shape"], -0.4)) - 0.4 * f["noise"]
+    artist = _sum((f["artist_shape"], 1.0), (f["known_group"], 1.1), (f["korean_name"], 0.8), (f["english_artist"], 0.8), (f["alias"], 0.8), (f["connector"], 0.7), (f["title_shape"], -0.4)) - F.when(f["noise"] > 0, 0.4).otherwise(0.0)
     title = _sum((f["title_shape"], 1.0), (f["korean_title"], 0.8), (f["english_title"], 0.8), (f["known_group"], -1.0), (f["korean_name"], -0.5), (f["english_artist"], -0.5), (f["connector"], -0.4))
     evidence = _sum((title_phrase, 1.6), (f["korean_title"], 1.2), (f["english_title"], 1.0), (short, 0.8), (f["strong"] > 0, -1.8))
     return {"known": known, "title_phrase": title_phrase, "short_title": short, "artist_like": F.round(artist, 3), "title_like": F.round(title, 3), "title_evidence": evidence}
@@ -112,12 +112,18 @@ def with_votes(rows: DataFrame, left: str = "left", right: str = "right", into:
 def document_votes(pairs: DataFrame, key: str = "doc_id", voted: str = "vote") -> DataFrame:
     """Votes of each document: counts, share of the leader, direction (per_line if none leads) and confidence."""
     own = pairs.groupBy(key).agg(F.count_if(F.col(voted) == "artist_title").alias("artist_title"), F.count_if(F.col(voted) == "title_artist").alias("title_artist"))
-    total = F.col("artist_title") + F.col("title_artist")
-    share = F.when(total > 0, F.greatest("artist_title", "title_artist") / total).otherwise(0.0)
+    share, direction, sure = direction_of(F.col("artist_title"), F.col("title_artist"))
+    return own.select(key, "artist_title", "title_artist", F.round(share, 4).alias("share"), direction.alias("direction"), sure.alias("confidence"))
+
+
+def direction_of(artist_title: Column, title_artist: Column) -> tuple[Column, Column, Column]:
+    """The leader's share of the votes, the direction and its confidence."""
+    total = artist_title + title_artist
+    share = F.when(total > 0, F.greatest(artist_title, title_artist) / total).otherwise(0.0)
     lead = share >= DOMINANT
-    direction = F.when(lead & (F.col("artist_title") / total >= DOMINANT), "artist_title").when(lead, "title_artist").otherwise("per_line")
+    direction = F.when(lead & (artist_title / total >= DOMINANT), "artist_title").when(lead, "title_artist").otherwise("per_line")
     sure = F.when(~lead | (total == 0), "low").when((share >= 0.9) & (total >= 3), "high").when(total >= 2, "medium").otherwise("low")
-    return own.select(key, "artist_title", "title_artist", F.round(share, 4).alias("share"), direction.alias("direction"), sure.alias("confidence"))
+    return share, direction, sure
 
 
 def orient(left: Column, right: Column, direction: Column, own_vote: Column) -> tuple[Column, Column]:

@@ -75,6 +75,49 @@ def recognition(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     return own.withColumn("rate", rate).withColumn("reason", F.when(rate == 0, "not_in_db").when(rate < 0.35, "transition").otherwise(""))
 
 
+def representative(frames: DataFrame, key: str = "doc_id") -> DataFrame:
+    """frame, score, songs of each document's best frame that holds a song line: the highest score, then song lines, the first on ties."""
+    own = frames.where("songs > 0")
+    best = own.groupBy(key).agg(F.max(F.struct("score", "songs", (-F.col("frame")).alias("at"))).alias("b"))
+    return best.select(key, (-F.col("b.at")).alias("frame"), F.col("b.score").alias("score"), F.col("b.songs").alias("songs"))
+
+
+def merged_text(lines: DataFrame, frames: DataFrame, key: str = "doc_id") -> DataFrame:
+    """text: the song lines of frames that hold any, best frame first, each line once. lines: key, frame, line_no, line."""
+    own = lines.where(song_line(F.col("line"))).join(frames.select(key, "frame", "score"), [key, "frame"]).withColumn("k", X.match_key(F.col("line")))
+    best = Window.partitionBy(key, "k").orderBy(F.col("score").desc(), "frame", "line_no")
+    kept = own.withColumn("n", F.row_number().over(best)).where("n = 1")
+    item = F.struct((-F.col("score")).alias("by"), "frame", "line_no", F.trim("line").alias("line"))
+    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.line), "\n").alias("text"))
+
+
+def ocr_run(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row a document of read frames (key, frame, line_no, line): frames, frames_with_text, texts (different lines), text (merged, else all lines), best_frame, partial, failure_reason.
+
+    Short texts and few lines make it partial; without song lines the reason says what was missing.
+    """
+    inked = F.trim(F.coalesce("line", F.lit(""))) != ""
+    seen = lines.groupBy(key).agg(F.countDistinct("frame").alias("frames"), F.countDistinct(F.when(inked, F.col("frame"))).alias("frames_with_text"), F.countDistinct(F.when(inked, X.match_key(F.col("line")))).alias("texts"))
+    whole = lines.where(inked).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "line_no", "line"))), lambda x: x.line), "\n").alias("all_text"))
+    scores = frame_scores(lines.where(inked).withColumn("_f", F.struct(key, "frame")), "_f").select(F.col(f"_f.{key}").alias(key), F.col("_f.frame").alias("frame"), "score", "songs")
+    scores = scores.where("songs > 0")
+    best = representative(scores, key).select(key, F.col("frame").alias("best_frame"))
+    out = seen.join(whole, key, "left").join(merged_text(lines.where(inked), scores, key), key, "left").join(best, key, "left")
+    text = F.coalesce(F.nullif("text", F.lit("")), "all_text", F.lit(""))
+    thin = (F.length(text) < 100) | (F.col("texts") < 3)
+    found = F.col("best_frame").isNotNull()
+    why = F.when(found, "").when(F.col("frames") <= 0, "frame_selection_failed").when(F.col("texts") <= 0, "no_text_frame").when(F.length(text) < 100, "low_quality_frame").otherwise("ocr_noise_too_high")
+    return out.select(key, "frames", "frames_with_text", "texts", text.alias("text"), "best_frame", (found & thin).alias("partial"), why.alias("failure_reason"))
+
+
+def audio_run(hits: DataFrame, media: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """One row a document: segments, recognised, rate, success, failure_reason. media (key, duration_s): those too short for a segment are short_segment."""
+    own = recognition(hits, key)
+    if media is not None:
+        own = own.join(media.select(key, "duration_s"), key, "left").withColumn("reason", F.when((F.col("recognised") == 0) & (F.col("duration_s") < 10), "short_segment").otherwise(F.col("reason"))).drop("duration_s")
+    return own.select(key, "segments", "recognised", "rate", (F.col("recognised") > 0).alias("success"), F.col("reason").alias("failure_reason"))
+
+
 def merge_hits(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """Equal songs (normal title and artist) of a document's hits: count, best score, segments in order."""
     own = hits.where(F.col("score") > HIT_SCORE).withColumn("k", F.concat_ws("|", X.match_key(F.col("title")), X.match_key(F.col("artist"))))

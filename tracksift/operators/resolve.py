@@ -18,75 +18,121 @@ LIMIT = 5
 MATCHED, REVIEW, LOW, INVALID = "matched", "review_needed", "low_confidence", "invalid_candidate"
 
 
-def blocks(title: Column, artist: Column) -> Column:
-    """Blocking keys of a song or track: title key, artist key, first title token with the artist's first."""
-    t, a = X.match_key(title), X.artist_key(artist)
-    first = F.get(X.tokens(title), F.lit(0))
-    keys = F.array(F.concat(F.lit("t:"), t), F.concat(F.lit("a:"), a), F.concat(F.lit("f:"), first))
-    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (F.length(k) > 2)))
+def song_blocks(by: str) -> Column:
+    """Blocking keys: the title's key, its first two tokens, each artist with each title token, each artist."""
+    tokens, keys = F.col(f"{by}_tokens"), F.col(f"{by}_akeys")
+    title = F.replace(F.col(f"{by}_title"), F.lit(" "), F.lit(""))
+    two = F.when(F.size(tokens) > 1, F.array(F.concat(F.lit("p:"), F.array_join(F.sort_array(F.slice(tokens, 1, 2)), " "))))
+    both = F.flatten(F.transform(keys, lambda k: F.transform(tokens, lambda t: F.concat(F.lit("at:"), k, F.lit(":"), t))))
+    one = F.when(F.length(title) > 0, F.array(F.concat(F.lit("t:"), title)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(one, none), F.coalesce(two, none), F.coalesce(both, none)))
 
 
 def _normal(rows: DataFrame, title: str, artist: str, by: str) -> DataFrame:
-    """rows with normal forms and tokens of both names, once a row rather than once a pair."""
-    own = rows.withColumns({f"{by}_title": X.match_text(F.col(title)), f"{by}_artist": X.match_text(F.col(artist))})
-    return own.withColumns({f"{by}_tokens": X.tokens_of_normal(F.col(f"{by}_title")), f"{by}_names": X.tokens_of_normal(F.col(f"{by}_artist"))})
-
-
-def candidates(songs: DataFrame, catalog: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """rows with normal forms, tokens, spellings and artist keys of both names, once a row rather than once a pair."""
+    own = rows.withColumns({f"{by}_title": X.match_text(F.col(title)), f"{by}_artist": X.match_text(F.col(artist)), f"{by}_parts": X.artist_parts(F.col(artist))})
+    normal = lambda c: F.array_distinct(F.transform(c, X.match_text))
+    own = own.withColumns({
+        f"{by}_tokens": X.tokens_of_normal(F.col(f"{by}_title")), f"{by}_names": X.tokens_of_normal(F.col(f"{by}_artist")),
+        f"{by}_titles": normal(X.title_variants(F.col(title))), f"{by}_bare": X.match_text(X.title_noise_free(F.col(title))),
+        f"{by}_artists": F.array_distinct(F.concat(F.array(f"{by}_artist"), normal(F.col(f"{by}_parts")))),
+    })
+    return own.withColumn(f"{by}_akeys", F.coalesce(F.array_distinct(F.filter(F.transform(f"{by}_parts", X.artist_key), lambda k: k != "")), F.array().cast("array<string>"))).drop(f"{by}_parts")
+
+
+def candidates(songs: DataFrame, catalog: DataFrame, limit: int = LIMIT, groups: DataFrame | None = None) -> DataFrame:
     """The first `limit` tracks of each song by token overlap of titles and artists; api_rank from 1.
 
+    Blocks hold tracks that share a title, its first tokens, or an artist and a title token with a song. Tracks that
+    share only the artist are equal but for popularity, so only the artist's first `limit` are candidates: pairs
+    grow with songs, not with their square. groups (match.alias_groups) lets an artist's other names find tracks.
     Pairs carry ids only; names and tokens join back on them.
     """
     s, c = _normal(songs, "title", "artist", "s"), _normal(catalog, "name", "artist_name", "c")
-    left = s.select("song_id", F.explode(blocks(F.col("title"), F.col("artist"))).alias("block"))
-    right = c.select("track_id", F.explode(blocks(F.col("name"), F.col("artist_name"))).alias("block"))
+    if groups is not None:
+        s = with_group_keys(s, groups)
+    left = s.select("song_id", F.explode(F.concat(song_blocks("s"), F.transform("s_akeys", lambda k: F.concat(F.lit("a:"), k)))).alias("block"))
+    right = c.select("track_id", F.explode(song_blocks("c")).alias("block"))
+    each = c.select("track_id", "popularity", F.explode("c_akeys").alias("k"))
+    top = each.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.col("popularity").desc(), "track_id"))).where(F.col("n") <= limit)
+    right = right.unionByName(top.select("track_id", F.concat(F.lit("a:"), F.col("k")).alias("block")))
     pairs = left.join(right, "block").select("song_id", "track_id").distinct().join(s, "song_id").join(c, "track_id")
-    score = X.overlap_of_tokens(F.col("s_tokens"), F.col("c_tokens")) + F.coalesce(X.overlap_of_tokens(F.col("s_names"), F.col("c_names")), F.lit(0.0))
+    # an artist under another name is the artist
+    same = F.when(F.arrays_overlap("s_akeys", "c_akeys"), 1.0).otherwise(0.0)
+    score = X.overlap_of_tokens(F.col("s_tokens"), F.col("c_tokens")) + F.greatest(F.coalesce(X.overlap_of_tokens(F.col("s_names"), F.col("c_names")), F.lit(0.0)), same)
     w = Window.partitionBy("song_id").orderBy(F.col("block_score").desc(), F.col("popularity").desc(), "track_id")
     return pairs.withColumn("block_score", F.round(score, 4)).withColumn("api_rank", F.row_number().over(w)).where(F.col("api_rank") <= limit)
 
 
-def plain_score(x: Column, y: Column, overlap: Column) -> Column:
-    """Similarity of normal forms without sequence matching: the exact, contained and overlap branches."""
-    return F.coalesce(X.quick_similarity_of_normal(x, y), overlap)
-
+def with_group_keys(songs: DataFrame, groups: DataFrame) -> DataFrame:
+    """s_akeys with the keys of all other names of the song's artists."""
+    each = songs.select("song_id", F.explode("s_akeys").alias("alias_key")).join(groups, "alias_key")
+    more = each.groupBy("song_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("more"))
+    own = songs.join(more, "song_id", "left")
+    return own.withColumn("s_akeys", F.when(F.col("more").isNotNull(), F.array_union("s_akeys", "more")).otherwise(F.col("s_akeys"))).drop("more")
 
-def full_score(x: Column, y: Column, overlap: Column) -> Column:
-    """Similarity of normal forms with sequence matching."""
-    return F.coalesce(X.quick_similarity_of_normal(x, y), F.greatest(overlap, F.round(X.sequence_ratio(x, y) * 0.82, 4)))
 
+def scored(rows: DataFrame) -> DataFrame:
+    """title_score, artist_score, overlap, alias flags, version words and the weighted score (4 places) of candidates().
 
-def scored(rows: DataFrame, similarity=full_score) -> DataFrame:
-    """title_score, artist_score, overlap, suspicious and the weighted score (4 places) of candidates()."""
-    own = rows.withColumns({"overlap": X.overlap_of_tokens(F.col("s_tokens"), F.col("c_tokens")), "_names": X.overlap_of_tokens(F.col("s_names"), F.col("c_names"))})
-    t = F.round(similarity(F.col("s_title"), F.col("c_title"), F.col("overlap")), 4)
-    a = F.when(F.col("artist").isNotNull(), F.round(similarity(F.col("s_artist"), F.col("c_artist"), F.col("_names")), 4)).otherwise(0.0)
-    own = own.withColumn("title_score", t).withColumn("artist_score", a).withColumn("suspicious", suspicious())
-    return own.withColumn("score", weighted_score())
+    Titles and artists score by the best pair of their spellings; an artist that is the same under its key or a
+    known alias scores 1.
+    """
+    given = F.col("artist").isNotNull()
+    own = rows.withColumns({
+        "artist_alias": given & F.arrays_overlap("s_akeys", "c_akeys"), "title_alias": F.replace(F.col("s_title"), F.lit(" "), F.lit("")) == F.replace(F.col("c_title"), F.lit(" "), F.lit("")),
+        "best_title": X.best_similarity(F.col("s_titles"), F.col("c_titles")), "bare_score": X.best_similarity(F.array("s_bare"), F.array("c_bare")),
+        "best_artist": X.best_similarity(F.col("s_artists"), F.col("c_artists")),
+        "all_tokens": X.overlap_of_tokens(F.array_union(F.coalesce("s_names", F.array().cast("array<string>")), "s_tokens"), F.array_union(F.coalesce("c_names", F.array().cast("array<string>")), "c_tokens")),
+    })
+    own = own.withColumns({
+        "title_score": F.when(F.col("title_alias"), 1.0).otherwise(F.round("best_title", 4)),
+        "artist_score": F.when(~given, 0.0).when(F.col("artist_alias"), 1.0).otherwise(F.round("best_artist", 4)),
+        "overlap": F.greatest(X.overlap_of_tokens(F.col("s_tokens"), F.col("c_tokens")), F.col("all_tokens")),
+        "suspicious": suspicious(),
+    })
+    return own.withColumn("score", weighted_score()).drop("best_title", "best_artist", "all_tokens")
 
 
 def suspicious() -> Column:
     """Words of a cover or version that only the candidate has."""
-    have, own = F.col("c_title"), F.col("s_title")
-    out = F.lit(0)
-    for w in L.SUSPICIOUS_WORDS:
-        p = rf"\b{w}\b"
-        out = out + (have.rlike(p) & ~own.rlike(p)).cast("int")
-    return out
+    have, own = (F.split(F.col(c), " ") for c in ("c_title", "s_title"))
+    words = F.array(*[F.lit(w) for w in L.SUSPICIOUS_WORDS if " " not in w])
+    one = F.size(F.array_except(F.array_intersect(words, have), own))
+    phrases = [w for w in L.SUSPICIOUS_WORDS if " " in w]
+    return one + sum((F.contains("c_title", F.lit(w)) & ~F.contains("s_title", F.lit(w))).cast("int") for w in phrases)
+
+
+def _held(words: list[str], text: Column) -> Column:
+    """How many of the words a text holds, as a part of other words too."""
+    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)))
+
+
+def penalties() -> tuple[Column, Column]:
+    """For words of covers and noise in the candidate's names; for versions that only one of both titles names."""
+    names = F.concat_ws(" ", "c_title", "c_artist")
+    words = 0.08 * _held(L.SUSPICIOUS_WORDS, names) + 0.03 * _held(L.NOISE_WORDS, names)
+    mine, theirs = F.col("s_title"), F.col("c_title")
+    versions = F.array(*[F.lit(w) for w in L.VERSION_WORDS])
+    more = F.size(F.filter(versions, lambda w: F.contains(theirs, w) & ~F.contains(mine, w)))
+    less = F.size(F.filter(versions, lambda w: F.contains(mine, w) & ~F.contains(theirs, w)))
+    return F.least(words, F.lit(0.24)), F.least(0.04 * more + 0.02 * less, F.lit(0.18))
 
 
 def weighted_score() -> Column:
-    """Fixed weights of titles, artists, tokens and popularity, less penalties; 0 to 1, 4 places."""
-    t, a, o = F.col("title_score"), F.col("artist_score"), F.col("overlap")
+    """Fixed weights of titles, artists, tokens, aliases and popularity, less penalties; 0 to 1, 4 places."""
+    t, a, o, n, given = F.col("title_score"), F.col("artist_score"), F.col("overlap"), F.col("bare_score"), F.col("artist").isNotNull()
     pop = F.least(F.coalesce("popularity", F.lit(0)) / 1000, F.lit(0.03))
-    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    exact_t, exact_a = bare("s_title") == bare("c_title"), bare("s_artist") == bare("c_artist")
+    on = lambda c, x: F.when(c, x).otherwise(0.0)
+    words, versions = penalties()
+    alias = on(F.col("artist_alias"), 0.05) + on(F.col("title_alias"), 0.05)
+    exact = on(F.col("title_alias"), 0.04) + on(given & (a >= 0.999), 0.03)
     gap = F.when(a < 0.15, 0.14).when(a < 0.35, 0.07).otherwise(0.0)
-    version = F.least(0.08 * F.col("suspicious"), F.lit(0.24))
-    both = 0.45 * t + 0.35 * a + 0.05 * t + 0.05 * a + 0.10 * o + F.when(exact_t, 0.04).otherwise(0.0) + F.when(exact_a, 0.03).otherwise(0.0) - gap
-    alone = 0.72 * t + 0.12 * t + 0.10 * o + F.when(exact_t, 0.04).otherwise(0.0)
-    s = F.when(F.col("artist").isNotNull(), both).otherwise(alone) + pop - version
-    s = F.when(F.col("artist").isNotNull() & (t >= 0.85) & (a < 0.2), F.least(s, F.lit(0.64))).otherwise(s)
+    both = 0.45 * t + 0.35 * a + 0.05 * n + 0.05 * a + 0.10 * o + alias + exact - gap
+    alone = 0.72 * t + 0.12 * n + 0.10 * o + alias + exact
+    s = F.when(given, both).otherwise(alone) + pop - words - versions
+    s = F.when(given & (t >= 0.85) & (a < 0.2), F.least(s, F.lit(0.64))).otherwise(s)
     return F.round(F.greatest(F.least(s, F.lit(1.0)), F.lit(0.0)), 4)
 
 
@@ -105,10 +151,10 @@ def tags() -> Column:
 def with_evidence(rows: DataFrame) -> DataFrame:
     """pattern, status and evidence_score: the first row of the ordered table that holds.
 
-    Needs title_score, artist_score, overlap, api_rank, has_image, suspicious; alias (artist aliases meet) may be there.
+    Needs scored()'s columns and has_image.
     """
     t, a, rank = F.col("title_score"), F.col("artist_score"), F.col("api_rank")
-    alias = F.coalesce(F.col("alias"), F.lit(False)) if "alias" in rows.columns else F.lit(False)
+    alias = F.coalesce("artist_alias", F.lit(False))
     image, both = F.coalesce("has_image", F.lit(False)), F.col("artist").isNotNull() & F.col("title").isNotNull()
     hangul_to_latin = X.has_hangul(F.concat_ws(" ", "title", "artist")) & ~X.has_hangul(F.concat_ws(" ", "name", "artist_name"))
     official = (rank == 1) & both & hangul_to_latin & image
@@ -163,8 +209,13 @@ def best(rows: DataFrame) -> DataFrame:
 def alias_table(spark, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """canonical, alias_key: a small fixed dimension."""
     rows = [(k, n) for k, v in (aliases or L.ARTIST_ALIASES).items() for n in (k, *v)]
-    df = spark.createDataFrame(rows, "canonical string, alias string")
-    return df.select("canonical", X.artist_key(F.col("alias")).alias("alias_key")).distinct()
+    return alias_keys(spark.createDataFrame(rows, "canonical string, alias string"))
+
+
+def alias_keys(aliases: DataFrame) -> DataFrame:
+    """canonical, alias_key of a table of aliases (canonical, alias), the canonical names among them."""
+    every = aliases.select("canonical", "alias").union(aliases.select("canonical", F.col("canonical").alias("alias")))
+    return every.select("canonical", X.artist_key(F.col("alias")).alias("alias_key")).distinct()
 
 
 def canonical(rows: DataFrame, aliases: DataFrame, column: str = "artist") -> DataFrame:

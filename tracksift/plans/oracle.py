@@ -24,29 +24,58 @@ VERDICT = SONGS + """,
 sig AS (SELECT doc_id, sum(CASE WHEN line_no <> 50 AND line_no % 5 <> 4 THEN 1 ELSE 0 END) AS timestamp_count, 0 AS bare_timestamp_count,
   sum(CASE WHEN line_no <> 50 THEN 1 ELSE 0 END) AS pattern_count, sum(CASE WHEN line_no <> 50 THEN 1 ELSE 0 END) AS candidate_line_count, count(*) AS line_count FROM tl GROUP BY doc_id),
 met AS (SELECT doc_id, count(*) AS song_count, count(*) AS complete_song_count, 1.0::DOUBLE AS avg_completeness FROM songs GROUP BY doc_id)"""
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(_q(w) for w in words) + "]"
+
+
+#: The Ratcliff-Obershelp ratio of the pairs q(x, y): runs of equal characters by diagonal; in each segment the longest
+#: run, the earliest in x and then in y, is kept and parts the segment in two.
+RATIO = """
+ch AS (SELECT x, y, i, j FROM (SELECT x, y, unnest(range(length(x))) AS i FROM q) JOIN (SELECT x AS x2, y AS y2, unnest(range(length(y))) AS j FROM q) ON x = x2 AND y = y2 WHERE substr(x, i + 1, 1) = substr(y, j + 1, 1)),
+runs AS (SELECT x, y, min(i) AS i0, min(j) AS j0, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY x, y, i - j ORDER BY i) AS g FROM ch) GROUP BY x, y, i - j, g),
+seg(x, y, a0, a1, b0, b1, m) AS (SELECT x, y, 0::BIGINT, length(x)::BIGINT, 0::BIGINT, length(y)::BIGINT, 0::BIGINT FROM q UNION ALL
+  SELECT x, y, p.a0, p.a1, p.b0, p.b1, p.m FROM (SELECT x, y, unnest([{a0: a0, a1: -t.i, b0: b0, b1: -t.j, m: t.n}, {a0: t.n - t.i, a1: a1, b0: t.n - t.j, b1: b1, m: 0}]) AS p FROM (
+    SELECT x, y, a0, a1, b0, b1, max({n: hi - lo, i: -lo, j: -(lo + j0 - i0)}) AS t FROM (
+      SELECT s.*, r.i0, r.j0, greatest(r.i0, s.a0, s.b0 - r.j0 + r.i0) AS lo, least(r.i0 + r.n, s.a1, s.b1 - r.j0 + r.i0) AS hi FROM seg s JOIN runs r ON s.x = r.x AND s.y = r.y)
+    WHERE hi > lo GROUP BY x, y, a0, a1, b0, b1))),
+ro AS (SELECT x, y, 2.0 * sum(m) / (length(x) + length(y)) AS ratio FROM seg GROUP BY x, y)"""
+
+
+def _similar(x: str, y: str, ratio: str, over: str) -> str:
+    """Similarity of two normal forms of three letters or more."""
+    return f"CASE WHEN {x} = {y} OR replace({x}, ' ', '') = replace({y}, ' ', '') THEN 1.0 WHEN contains({x}, {y}) OR contains({y}, {x}) THEN 0.92 ELSE greatest({over}, round({ratio} * 0.82, 4)) END"
+
+
 MATCH = """
 cat AS (SELECT p_name AS name, p_brand AS artist_name, min(p_partkey) AS track_id, max(p_size) AS popularity FROM part GROUP BY 1, 2),
 own AS (SELECT p_name AS t0, p_brand AS brand, min(p_partkey) AS song_id FROM part GROUP BY 1, 2),
 song AS (SELECT song_id, CASE WHEN song_id % 5 = 0 THEN t0 || ' live' ELSE t0 END AS title, CASE WHEN song_id % 3 > 0 THEN brand END AS artist, t0 FROM own),
 st AS (SELECT *, string_split(t0, ' ') AS t_tok, string_split(replace(lower(artist), '#', ' '), ' ') AS a_tok FROM song),
 ct AS (SELECT *, string_split(name, ' ') AS n_tok, string_split(replace(lower(artist_name), '#', ' '), ' ') AS c_tok FROM cat),
-pairs AS (SELECT * FROM st JOIN ct ON replace(title, ' ', '') = replace(name, ' ', '') OR artist = artist_name OR t_tok[1] = n_tok[1]),
+cr AS (SELECT *, row_number() OVER (PARTITION BY artist_name ORDER BY popularity DESC, track_id) AS liked FROM ct),
+pairs AS (SELECT * FROM st JOIN cr ON replace(title, ' ', '') = replace(name, ' ', '') OR list_sort(t_tok) = list_sort(n_tok) OR (artist = artist_name AND (liked <= 5 OR len(list_intersect(t_tok, n_tok)) > 0))),
 ov AS (SELECT *, round(len(list_intersect(t_tok, n_tok)) / greatest(len(list_distinct(t_tok)), len(list_distinct(n_tok)))::DOUBLE, 4) AS overlap,
   coalesce(round(len(list_intersect(a_tok, c_tok)) / greatest(len(list_distinct(a_tok)), len(list_distinct(c_tok)))::DOUBLE, 4), 0) AS aov FROM pairs),
 cand AS (SELECT *, round(overlap + aov, 4) AS block_score, row_number() OVER (PARTITION BY song_id ORDER BY round(overlap + aov, 4) DESC, popularity DESC, track_id) AS api_rank FROM ov QUALIFY api_rank <= 5),
-sc0 AS (SELECT *, replace(title, ' ', '') AS tk, replace(name, ' ', '') AS nk, replace(lower(artist), '#', ' ') AS an, replace(lower(artist_name), '#', ' ') AS cn FROM cand),
-sc1 AS (SELECT *, round(CASE WHEN title = name OR tk = nk THEN 1.0 WHEN contains(title, name) OR contains(name, title) THEN 0.92 ELSE overlap END, 4) AS title_score,
-  CASE WHEN artist IS NULL THEN 0.0 ELSE round(CASE WHEN an = cn THEN 1.0 WHEN contains(an, cn) OR contains(cn, an) THEN 0.92 ELSE aov END, 4) END AS artist_score FROM sc0),
+sc0 AS (SELECT *, replace(title, ' ', '') AS tk, replace(name, ' ', '') AS nk, replace(lower(artist), '#', ' ') AS an, replace(lower(artist_name), '#', ' ') AS cn,
+  list_distinct(coalesce(a_tok, []) || t_tok) AS s_all, list_distinct(c_tok || n_tok) AS c_all FROM cand),
+q AS (SELECT DISTINCT title AS x, name AS y FROM sc0 UNION SELECT DISTINCT an, cn FROM sc0 WHERE an IS NOT NULL),""" + RATIO + """,
+sc1 AS (SELECT sc0.*, tk = nk AS t_alias, coalesce(an = cn, false) AS a_alias, """ + _similar("title", "name", "rt.ratio", "sc0.overlap") + """ AS bare,
+  """ + _similar("an", "cn", "ra.ratio", "aov") + """ AS asim, greatest(sc0.overlap, round(len(list_intersect(s_all, c_all)) / greatest(len(s_all), len(c_all))::DOUBLE, 4)) AS tokens
+  FROM sc0 JOIN ro rt ON rt.x = title AND rt.y = name LEFT JOIN ro ra ON ra.x = an AND ra.y = cn),
+sc2 AS (SELECT * EXCLUDE (overlap), tokens AS overlap, CASE WHEN t_alias THEN 1.0 ELSE round(bare, 4) END AS title_score, CASE WHEN artist IS NULL THEN 0.0 WHEN a_alias THEN 1.0 ELSE round(asim, 4) END AS artist_score,
+  least(0.08 * len(list_filter(""" + _list(L.SUSPICIOUS_WORDS) + """, lambda w: contains(name || ' ' || cn, w))) + 0.03 * len(list_filter(""" + _list(L.NOISE_WORDS) + """, lambda w: contains(name || ' ' || cn, w))), 0.24) AS p_words,
+  least(0.04 * len(list_filter(""" + _list(L.VERSION_WORDS) + """, lambda w: contains(name, w) AND NOT contains(title, w))) + 0.02 * len(list_filter(""" + _list(L.VERSION_WORDS) + """, lambda w: contains(title, w) AND NOT contains(name, w))), 0.18) AS p_versions FROM sc1),
 sc AS (SELECT *, 0 AS suspicious, round(greatest(least(CASE WHEN artist IS NOT NULL AND title_score >= 0.85 AND artist_score < 0.2 THEN least(raw, 0.64) ELSE raw END, 1.0), 0.0), 4) AS score FROM (
-  SELECT *, CASE WHEN artist IS NOT NULL THEN 0.45 * title_score + 0.35 * artist_score + 0.05 * title_score + 0.05 * artist_score + 0.10 * overlap + CASE WHEN tk = nk THEN 0.04 ELSE 0.0 END + CASE WHEN an = cn THEN 0.03 ELSE 0.0 END
-      - CASE WHEN artist_score < 0.15 THEN 0.14 WHEN artist_score < 0.35 THEN 0.07 ELSE 0.0 END
-    ELSE 0.72 * title_score + 0.12 * title_score + 0.10 * overlap + CASE WHEN tk = nk THEN 0.04 ELSE 0.0 END END + least(popularity / 1000.0, 0.03) AS raw FROM sc1)),
-ev0 AS (SELECT *, title_score AS t, artist_score AS a, popularity % 2 = 0 AS img, artist IS NOT NULL AS both_, artist_score >= 0.8 AS strong FROM sc),
-ev1 AS (SELECT *, CASE WHEN t >= 0.85 AND a >= 0.7 THEN 'EXACT_MATCH' WHEN strong AND t < 0.75 AND api_rank = 1 AND both_ THEN 'ARTIST_STRONG_TITLE_WEAK'
-  WHEN api_rank = 1 AND both_ AND img THEN 'SEARCH_ENGINE_CONFIDENT' WHEN t >= 0.8 AND a < 0.3 THEN 'TITLE_ONLY_MATCH' WHEN strong AND t < 0.3 AND api_rank >= 2 THEN 'ARTIST_ONLY_MATCH'
+  SELECT *, CASE WHEN artist IS NOT NULL THEN 0.45 * title_score + 0.35 * artist_score + 0.05 * bare + 0.05 * artist_score + 0.10 * overlap + CASE WHEN a_alias THEN 0.05 ELSE 0.0 END + CASE WHEN t_alias THEN 0.05 ELSE 0.0 END
+      + CASE WHEN t_alias THEN 0.04 ELSE 0.0 END + CASE WHEN artist_score >= 0.999 THEN 0.03 ELSE 0.0 END - CASE WHEN artist_score < 0.15 THEN 0.14 WHEN artist_score < 0.35 THEN 0.07 ELSE 0.0 END
+    ELSE 0.72 * title_score + 0.12 * bare + 0.10 * overlap + CASE WHEN t_alias THEN 0.05 ELSE 0.0 END + CASE WHEN t_alias THEN 0.04 ELSE 0.0 END END + least(popularity / 1000.0, 0.03) - p_words - p_versions AS raw FROM sc2)),
+ev0 AS (SELECT *, title_score AS t, artist_score AS a, popularity % 2 = 0 AS img, artist IS NOT NULL AS both_, artist_score >= 0.8 OR a_alias AS strong FROM sc),
+ev1 AS (SELECT *, CASE WHEN t >= 0.85 AND a >= 0.7 THEN 'EXACT_MATCH' WHEN a_alias AND t >= 0.75 THEN 'ARTIST_ALIAS_TITLE_MATCH' WHEN strong AND t < 0.75 AND api_rank = 1 AND both_ THEN 'ARTIST_STRONG_TITLE_WEAK'
+  WHEN api_rank = 1 AND both_ AND img THEN 'SEARCH_ENGINE_CONFIDENT' WHEN t >= 0.8 AND a < 0.3 AND NOT a_alias THEN 'TITLE_ONLY_MATCH' WHEN strong AND t < 0.3 AND api_rank >= 2 THEN 'ARTIST_ONLY_MATCH'
   WHEN t < 0.2 AND a < 0.2 AND api_rank >= 2 THEN 'INVALID' WHEN api_rank = 1 THEN 'SEARCH_RANK1_REVIEW' ELSE 'WEAK_EVIDENCE_REVIEW' END AS pattern FROM ev0),
-ev AS (SELECT *, CASE pattern WHEN 'EXACT_MATCH' THEN 'matched' WHEN 'ARTIST_ONLY_MATCH' THEN 'low_confidence' WHEN 'INVALID' THEN 'invalid_candidate' ELSE 'review_needed' END AS status,
-  round(CASE pattern WHEN 'EXACT_MATCH' THEN least(greatest(0.85 + 0.08 * t + 0.07 * a, 0.85), 1.0) WHEN 'ARTIST_STRONG_TITLE_WEAK' THEN 0.66 WHEN 'SEARCH_ENGINE_CONFIDENT' THEN 0.62 WHEN 'TITLE_ONLY_MATCH' THEN 0.5
+ev AS (SELECT *, CASE pattern WHEN 'EXACT_MATCH' THEN 'matched' WHEN 'ARTIST_ALIAS_TITLE_MATCH' THEN 'matched' WHEN 'ARTIST_ONLY_MATCH' THEN 'low_confidence' WHEN 'INVALID' THEN 'invalid_candidate' ELSE 'review_needed' END AS status,
+  round(CASE pattern WHEN 'EXACT_MATCH' THEN least(greatest(0.85 + 0.08 * t + 0.07 * a, 0.85), 1.0) WHEN 'ARTIST_ALIAS_TITLE_MATCH' THEN least(greatest(0.82 + 0.10 * t, 0.85), 1.0) WHEN 'ARTIST_STRONG_TITLE_WEAK' THEN 0.66 WHEN 'SEARCH_ENGINE_CONFIDENT' THEN 0.62 WHEN 'TITLE_ONLY_MATCH' THEN 0.5
     WHEN 'ARTIST_ONLY_MATCH' THEN CASE WHEN img THEN 0.52 ELSE 0.45 END WHEN 'INVALID' THEN 0.0 WHEN 'SEARCH_RANK1_REVIEW' THEN least(greatest(0.35 + 0.15 * t + 0.20 * a, 0.4), 0.6)
     ELSE least(greatest(0.25 * t + 0.25 * a + 0.10 * overlap, 0.2), 0.55) END, 4)::DOUBLE AS evidence_score FROM ev1),
 best AS (SELECT *, CASE WHEN status IN ('review_needed', 'low_confidence') AND evidence_score >= 0.6 THEN 'mid' WHEN status = 'review_needed' THEN 'low' WHEN status = 'matched' OR evidence_score >= 0.82 THEN 'high' WHEN evidence_score >= 0.7 THEN 'mid' ELSE 'low' END AS confidence_label, 'track:' || track_id AS uri
@@ -102,26 +131,28 @@ SELECT doc_id, group_rank, source, count(*) AS n, min(pos) AS first_pos FROM g G
     "alias_canonical": f"WITH a(i, n, c) AS (VALUES {', '.join(f'({i}, {_q(n)}, {_q(_CANON[n])})' for i, n in enumerate(_NAMES))}) SELECT p_partkey, n AS artist, c AS artist_canonical FROM part JOIN a ON p_partkey % {len(_NAMES)} = i",
     "token_overlap": """WITH n AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS t FROM part) SELECT a.p_name AS a, b.p_name AS b, round(len(list_intersect(a.t, b.t)) / greatest(len(list_distinct(a.t)), len(list_distinct(b.t)))::DOUBLE, 4) AS overlap
 FROM n a JOIN n b ON a.p_name < b.p_name AND len(list_intersect(a.t, b.t)) > 0""",
+    "similarity_full": f"""WITH RECURSIVE q AS (SELECT DISTINCT p_name AS x, reverse(p_name) AS y FROM part),{RATIO}, o AS (SELECT *, string_split(x, ' ') AS a, string_split(y, ' ') AS b FROM ro)
+SELECT x AS p_name, y AS other, {_similar("x", "y", "ratio", "round(len(list_intersect(a, b)) / greatest(len(list_distinct(a)), len(list_distinct(b)))::DOUBLE, 4)")} AS similarity FROM o""",
     "fuzzy_pairs": "WITH n AS (SELECT DISTINCT p_type, p_name || (p_partkey % 10) AS n FROM part) SELECT x.p_type, x.n AS a, y.n AS b FROM n x JOIN n y ON x.p_type = y.p_type AND x.n < y.n WHERE levenshtein(x.n, y.n) <= 1",
-    "candidate_topk": f"WITH {MATCH} SELECT song_id, track_id, block_score, CAST(api_rank AS INTEGER) AS api_rank FROM cand",
-    "weighted_score": f"WITH {MATCH} SELECT song_id, track_id, title_score, artist_score, overlap, suspicious, score FROM sc",
-    "pattern_tags": f"""WITH {MATCH} SELECT song_id, track_id, array_to_string(list_filter([CASE WHEN t >= 0.95 AND (artist IS NULL OR a >= 0.85) THEN 'exact' END, CASE WHEN t >= 0.9 OR a >= 0.9 THEN 'notation_difference' END, CASE WHEN a >= 0.85 AND t < 0.55 THEN 'artist_only_overconfidence' END,
+    "candidate_topk": f"WITH RECURSIVE {MATCH} SELECT song_id, track_id, block_score, CAST(api_rank AS INTEGER) AS api_rank FROM cand",
+    "weighted_score": f"WITH RECURSIVE {MATCH} SELECT song_id, track_id, title_score, artist_score, overlap, suspicious, score FROM sc",
+    "pattern_tags": f"""WITH RECURSIVE {MATCH} SELECT song_id, track_id, array_to_string(list_filter([CASE WHEN t >= 0.95 AND (artist IS NULL OR a >= 0.85) THEN 'exact' END, CASE WHEN t >= 0.9 OR a >= 0.9 THEN 'notation_difference' END, CASE WHEN a >= 0.85 AND t < 0.55 THEN 'artist_only_overconfidence' END,
 CASE WHEN t >= 0.85 AND a < 0.45 THEN 'title_only_overconfidence' END, CASE WHEN t < 0.4 AND a < 0.4 THEN 'weak_both' END, CASE WHEN api_rank = 1 AND (t >= 0.95 OR a >= 0.95) THEN 'top_rank_one_side_exact' END], lambda x: x IS NOT NULL), ',') AS tags FROM ev0""",
-    "evidence_pattern": f"WITH {MATCH} SELECT song_id, track_id, pattern, status, evidence_score FROM ev",
-    "best_candidate": f"WITH {MATCH} SELECT song_id, track_id, pattern, status, evidence_score, confidence_label FROM best",
-    "match_counters": f"WITH {MATCH} SELECT count(*) FILTER (WHERE confidence_label = 'high') AS high, count(*) FILTER (WHERE confidence_label IN ('mid', 'low')) AS needs_review, count(*) FILTER (WHERE confidence_label = 'failed') AS failed, count(*) AS candidates FROM best",
-    "playlist_routing": f"WITH {MATCH} SELECT song_id, uri, route FROM routes",
-    "playlist_counters": f"""WITH {MATCH}, c AS (SELECT count(*) AS total, count(DISTINCT CASE WHEN route = 'matched' THEN uri END) AS matched, count(*) FILTER (WHERE route = 'low_confidence_added') AS low_added, count(*) FILTER (WHERE route = 'low_confidence_skipped') AS low_skipped, count(*) FILTER (WHERE route = 'unmatched') AS unmatched FROM routes)
+    "evidence_pattern": f"WITH RECURSIVE {MATCH} SELECT song_id, track_id, pattern, status, evidence_score FROM ev",
+    "best_candidate": f"WITH RECURSIVE {MATCH} SELECT song_id, track_id, pattern, status, evidence_score, confidence_label FROM best",
+    "match_counters": f"WITH RECURSIVE {MATCH} SELECT count(*) FILTER (WHERE confidence_label = 'high') AS high, count(*) FILTER (WHERE confidence_label IN ('mid', 'low')) AS needs_review, count(*) FILTER (WHERE confidence_label = 'failed') AS failed, count(*) AS candidates FROM best",
+    "playlist_routing": f"WITH RECURSIVE {MATCH} SELECT song_id, uri, route FROM routes",
+    "playlist_counters": f"""WITH RECURSIVE {MATCH}, c AS (SELECT count(*) AS total, count(DISTINCT CASE WHEN route = 'matched' THEN uri END) AS matched, count(*) FILTER (WHERE route = 'low_confidence_added') AS low_added, count(*) FILTER (WHERE route = 'low_confidence_skipped') AS low_skipped, count(*) FILTER (WHERE route = 'unmatched') AS unmatched FROM routes)
 SELECT *, round((matched + low_added) / (matched + low_added + low_skipped + unmatched)::DOUBLE * 100, 1) AS match_rate FROM c""",
-    "playlist_chunks": f"""WITH {MATCH}, u AS (SELECT uri, min(song_id) AS first_at FROM routes WHERE route IN ('matched', 'low_confidence_added') GROUP BY uri), n AS (SELECT *, CAST(row_number() OVER (ORDER BY first_at, uri) - 1 AS INTEGER) AS position FROM u)
+    "playlist_chunks": f"""WITH RECURSIVE {MATCH}, u AS (SELECT uri, min(song_id) AS first_at FROM routes WHERE route IN ('matched', 'low_confidence_added') GROUP BY uri), n AS (SELECT *, CAST(row_number() OVER (ORDER BY first_at, uri) - 1 AS INTEGER) AS position FROM u)
 SELECT *, CAST(position // 100 AS INTEGER) AS chunk FROM n""",
-    "result_dedup": f"WITH {MATCH} SELECT song_id, track_id, evidence_score FROM best QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY evidence_score DESC, song_id) = 1",
-    "batch_enrich": f"WITH {MATCH} SELECT song_id, name AS display_title, artist_name AS display_artist FROM best",
-    "cube_matches": f"WITH {MATCH} SELECT pattern, confidence_label, count(*) AS n FROM best GROUP BY CUBE (pattern, confidence_label)",
+    "result_dedup": f"WITH RECURSIVE {MATCH} SELECT song_id, track_id, evidence_score FROM best QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY evidence_score DESC, song_id) = 1",
+    "batch_enrich": f"WITH RECURSIVE {MATCH} SELECT song_id, name AS display_title, artist_name AS display_artist FROM best",
+    "cube_matches": f"WITH RECURSIVE {MATCH} SELECT pattern, confidence_label, count(*) AS n FROM best GROUP BY CUBE (pattern, confidence_label)",
     "multi_artist_override": """WITH s AS (SELECT p_partkey // 3 AS doc_id, p_partkey AS line_no, p_type AS artist FROM part), g AS (SELECT doc_id, artist, count(*) AS n, min(line_no) AS f FROM s GROUP BY 1, 2),
 t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS named, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rk FROM g), c AS (SELECT doc_id, count(DISTINCT artist) AS artists FROM s WHERE line_no % 3 <> 1 GROUP BY 1)
 SELECT doc_id, CASE WHEN coalesce(artists, 0) < 2 THEN artist END AS artist, coalesce(artists, 0) AS artists, CASE WHEN coalesce(artists, 0) >= 2 THEN 'music_section_multi_artist_override' ELSE '' END AS reason FROM t LEFT JOIN c USING (doc_id) WHERE rk = 1 AND named >= 2 AND n / named::DOUBLE >= 0.7""",
-    "ocr_policy": f"""WITH {MATCH}, k AS (SELECT *, a < 0.5 OR artist IS NULL AS weak FROM best WHERE NOT (a < 0.3 AND len(string_split(title, ' ')) <= 2 AND evidence_score < 0.8)),
+    "ocr_policy": f"""WITH RECURSIVE {MATCH}, k AS (SELECT *, a < 0.5 OR artist IS NULL AS weak FROM best WHERE NOT (a < 0.3 AND len(string_split(title, ' ')) <= 2 AND evidence_score < 0.8)),
 p AS (SELECT CASE WHEN weak AND status = 'matched' THEN 'review_needed' ELSE status END AS status, weak, t, CASE WHEN a = 0 THEN least(evidence_score, 0.79) WHEN weak THEN least(evidence_score, 0.6) ELSE evidence_score END AS cap FROM k)
 SELECT status, count(*) AS n, max(round(CASE WHEN weak AND t >= 0.8 THEN greatest(cap, 0.55) ELSE cap END, 4))::DOUBLE AS top FROM p GROUP BY status""",
     "source_quality": f"WITH {SONGS} SELECT doc_id, CASE WHEN line_no % 2 = 0 THEN 'description' ELSE 'comments' END AS source, count(*) AS songs, count(*) AS complete, 1.0::DOUBLE AS avg_completeness FROM songs GROUP BY 1, 2",

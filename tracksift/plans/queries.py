@@ -61,7 +61,7 @@ def wanted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.scored(resolve.candidates(wanted(spark, sf), catalog(spark, sf)), resolve.plain_score)
+    return resolve.scored(resolve.candidates(wanted(spark, sf), catalog(spark, sf)))
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:

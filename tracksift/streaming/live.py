@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
@@ -26,3 +28,47 @@ def sessions(events: DataFrame, ts: str = "ts", key: str = "user_id", gap: str =
     """Sessions of a key that end after `gap` without rows."""
     out = _timed(events, ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def fresh_cache(events: DataFrame, key: str, ts: str = "ts", ttl: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """The first event of each key and `ttl` window: what is asked for again within it comes from the cache."""
+    return _timed(events, ts, late).groupBy(F.window(ts, ttl).alias("w"), key).agg(F.min(ts).alias("first_ts"), F.count("*").alias("asked")).select(key, "first_ts", "asked")
+
+
+class _States(StatefulProcessor):
+    """Keeps a key's state until its time to live is over; the first event starts it and gives fresh."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        n = sum(len(r) for r in rows)
+        before = self.seen.get()[0] if self.seen.exists() else 0
+        self.seen.update((before + n,))
+        yield pd.DataFrame({"key": [key[0]], "fresh": [before == 0], "asked": [before + n]})
+
+    def close(self) -> None:
+        pass
+
+
+def with_ttl(events: DataFrame, key: str, ttl_s: int) -> DataFrame:
+    """key, fresh, asked for each key of a batch: a state that expires ttl_s seconds after its last update (transformWithState)."""
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).transformWithStateInPandas(_States(ttl_s * 1000), f"key {kind}, fresh boolean, asked long", "Update", "processingTime")
+
+
+def lru(requests: DataFrame, key: str, ts: str = "ts", size: int = 100, ttl_s: int = 3600, within: tuple[str, ...] = ()) -> DataFrame:
+    """Batch form of a cache's answers: hit is whether the key was asked for at most ttl_s seconds and `size` requests before.
+
+    A bound on requests between is the cache's size where they are all different; `within` parts the requests by cache.
+    """
+    own = Window.partitionBy(*within, key).orderBy(ts)
+    nth = F.row_number().over(Window.partitionBy(*within).orderBy(ts)) if within else F.lit(None).cast("int")
+    rows = requests.withColumn("_nth", nth)
+    last, at = F.lag(ts).over(own), F.lag("_nth").over(own)
+    age = F.unix_timestamp(ts) - F.unix_timestamp(last)
+    near = (F.col("_nth") - at <= size) if within else F.lit(True)
+    return rows.withColumn("hit", F.coalesce((age <= ttl_s) & near, F.lit(False))).drop("_nth")
