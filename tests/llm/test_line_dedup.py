@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import duckdb
 
@@ -9,17 +10,18 @@ from tests.llm.conftest import SF
 
 def brute(rows, m):
     """Cleaned texts of distinct (id, text) rows in order."""
-    seen, out = set(), {}
-    for i, t in rows:
-        if t is None:
-            continue
-        ls = t.split("\n")
-        gone = set()
+    docs = [(i, t, t.split("\n")) for i, t in rows if t is not None]
+    seen, count, out = set(), Counter(), {}
+    for _, _, ls in docs:
+        count.update(tuple(ls[k : k + m]) for k in range(len(ls) - m + 1))
+    for i, t, ls in docs:
+        gone, stays = set(), set()
         for k in range(len(ls) - m + 1):
             w = tuple(ls[k : k + m])
-            if w in seen:
-                gone.update(range(k, k + m))
+            if count[w] > 1:
+                (gone if w in seen else stays).update(range(k, k + m))
             seen.add(w)
+        gone -= stays
         out[i, t] = "\n".join(x for k, x in enumerate(ls) if k not in gone), len(ls), len(gone)
     return out
 
@@ -61,3 +63,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert [(r.text, r.n_lines) for r in got if r.doc_id == 3] == [(None, 0)]
     assert {(r.doc_id, r.text) for r in got if r.text is not None} == {(i, v[0]) for (i, _), v in want.items()}
     assert L.dedup_lines(no_docs).collect() == []
+
+
+def test_first_copies_stay_whole(spark):
+    rows = [(1, "A\nA\nA"), (2, "B\nC"), (3, "x\nB\nC\nD\ny"), (4, "C\nD")]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # in 3, C stays: "C D" stands there for the first time
+    assert got == {1: "A\nA", 2: "B\nC", 3: "x\nC\nD\ny", 4: ""}
+
+
+def test_columns_with_any_name(spark):
+    df = spark.createDataFrame([(1, "a\nb", 1, 2, 3), (2, "a\nb", 1, 2, 3)], "doc_id long, text string, runs int, lost int, `_runs` int")
+    got = L.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"] and {(r.doc_id, r.text) for r in got.collect()} == {(1, "a\nb"), (2, "")}

@@ -7,8 +7,9 @@ sorted, by range over all partitions, so neither a hot line nor a large group of
 task; a suffix whose prefix no other shares has its final place and leaves the rounds.
 
 An interval of the suffix array whose longest common prefixes have m lines or more is a class of equal
-ranks by m lines: its first member stays, in the order of documents and lines, and the m lines of every other
-member are a later copy. Overlapping later copies make up the maximal runs, which are deleted.
+ranks by m lines: its first member stays whole, in the order of documents and lines, and the m lines of every other
+member are a later copy. Later copies, less lines that some first member needs, make up the maximal runs, which are
+deleted: of "A A A" the first "A A" stays, and a run that stands in full for the first time keeps all its lines.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracksift.session import cut
+from tracksift.session import cut, unused
 
 MIN_LINES = 2
 _DOC = ("doc", "th")
@@ -64,10 +65,13 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # first member of each class: map-side minima, so a hot class is no hot task
     order = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "th", "no")
     first = ranked.groupBy("rank").agg(F.min(order).alias("f"))
-    later = ranked.join(first, "rank").where(~(F.col("f.doc").eqNullSafe(F.col("doc")) & (F.col("f.th") == F.col("th")) & (F.col("f.no") == F.col("no"))))
-    w = Window.partitionBy(*_DOC).orderBy("no")
-    gap = F.coalesce(F.col("no") - F.lag("no").over(w) > min_lines, F.lit(True))
-    runs = later.select(*_AT).withColumn("run", F.sum(gap.cast("int")).over(w)).groupBy(*_DOC, "run").agg(F.min("no").alias("start"), (F.max("no") + min_lines - 1).alias("end"))
+    known = ranked.join(first, "rank")
+    is_first = F.col("f.doc").eqNullSafe(F.col("doc")) & (F.col("f.th") == F.col("th")) & (F.col("f.no") == F.col("no"))
+    # lines of later members, but for those that a first member of some class needs to stay whole
+    each = known.select(*_DOC, is_first.alias("stays"), F.explode(F.sequence("no", F.col("no") + min_lines - 1)).alias("no"))
+    gone = each.groupBy(*_AT).agg(F.bool_or("stays").alias("stays")).where("not stays")
+    run = F.col("no") - F.row_number().over(Window.partitionBy(*_DOC).orderBy("no"))
+    runs = gone.withColumn("run", run).groupBy(*_DOC, "run").agg(F.min("no").alias("start"), F.max("no").alias("end"))
     return runs.select(*_DOC, "start", "end", (F.col("end") - F.col("start") + 1).alias("n_lines"))
 
 
@@ -79,14 +83,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are one document and get one result. A null text stays null, with 0 lines; a text may become empty.
     Columns named n_lines or n_removed are replaced. An empty table gives no rows.
     """
-    runs = later_copies(docs, id_col, text_col, min_lines).groupBy(*_DOC).agg(F.collect_list(F.struct("start", "end")).alias("_runs"), F.sum("n_lines").alias("_gone"))
+    spans, lost = unused(docs, "runs"), unused(docs, "lost")
+    runs = later_copies(docs, id_col, text_col, min_lines).groupBy(*_DOC).agg(F.collect_list(F.struct("start", "end")).alias(spans), F.sum("n_lines").alias(lost))
     runs = cut(runs, "line-runs")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # runs grow with the documents: never broadcast
     joined = docs.join(runs.hint("merge"), docs[id_col].cast("long").eqNullSafe(runs["doc"]) & (F.xxhash64(docs[text_col]) == runs["th"]), "left")
     split = F.split(docs[text_col], "\n", -1)
-    kept = F.filter(split, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
-    text = F.when(F.col("_runs").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(split, lambda x, i: ~F.exists(runs[spans], lambda r: (i >= r["start"]) & (i <= r["end"])))
+    text = F.when(runs[spans].isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias(c) if c == text_col else docs[c] for c in names]
     count = F.when(docs[text_col].isNull(), 0).otherwise(F.size(split))
-    return joined.select(*columns, count.cast("long").alias("n_lines"), F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*columns, count.cast("long").alias("n_lines"), F.coalesce(runs[lost], F.lit(0)).cast("long").alias("n_removed"))

@@ -66,13 +66,14 @@ def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": OP1_SQL}
 
 
-#: Runs of two lines or more: each pair of neighbouring lines that stood before is deleted.
+#: Runs of two lines or more: a pair of neighbouring lines that stood before goes, but for lines of a pair that stands for the first time.
 OP1_SQL = """
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM cut),
 w AS (SELECT doc_id, no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY no) AS nxt FROM l),
-f AS (SELECT doc_id, no, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, no) AS k FROM w WHERE nxt IS NOT NULL),
-hit AS (SELECT doc_id, no FROM f WHERE k > 1 UNION SELECT doc_id, no + 1 FROM f WHERE k > 1),
+f AS (SELECT doc_id, no, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, no) AS k, count(*) OVER (PARTITION BY line, nxt) AS n FROM w WHERE nxt IS NOT NULL),
+each AS (SELECT doc_id, unnest([no, no + 1]) AS no, k = 1 AS stays FROM f WHERE n > 1),
+hit AS (SELECT doc_id, no FROM each GROUP BY doc_id, no HAVING NOT bool_or(stays)),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(hit.no) AS n_removed,
   coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE hit.no IS NULL), '') AS t
   FROM l LEFT JOIN hit ON l.doc_id = hit.doc_id AND l.no = hit.no GROUP BY l.doc_id)
