@@ -213,7 +213,9 @@ def mode_artist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hashtag_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return songs.hashtags(table(spark, sf, "documents"))
+    """Each name as a hashtag, three parts a document, among tags that name no artist."""
+    own = table(spark, sf, "part").select((F.col("p_partkey") % 700).alias("doc_id"), F.concat(F.lit("hear #"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" #playlist #x")).alias("text"))
+    return songs.hashtags(own)
 
 
 @query
@@ -261,7 +263,7 @@ def json_songs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def alias_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    names = [n for k, v in L.ARTIST_ALIASES.items() for n in v][:20]
+    names = [n for k, v in L.ARTIST_ALIASES.items() for n in v]
     pick = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
     own = table(spark, sf, "part").select("p_partkey", pick.alias("artist"))
     return resolve.canonical(own, resolve.alias_table(spark)).select("p_partkey", "artist", "artist_canonical")
@@ -269,18 +271,21 @@ def alias_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def token_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "part").select("p_name").distinct()
-    token = lambda c: F.explode(F.split(c, " "))
-    left = own.select(F.col("p_name").alias("a"), token(F.col("p_name")).alias("t"))
-    right = own.select(F.col("p_name").alias("b"), token(F.col("p_name")).alias("t"))
-    return left.join(right, "t").where("a < b").select("a", "b").distinct().withColumn("overlap", X.token_overlap(F.col("a"), F.col("b")))
+    """Each part's name against the next part's."""
+    own = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"))
+    after = own.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    return own.join(after, "p_partkey").select("p_partkey", X.token_overlap(F.col("a"), F.col("b")).alias("overlap"))
 
 
 @query
 def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of one type within one edit: such names share themselves with at most one letter left out, so only those meet."""
     own = table(spark, sf, "part").select("p_type", F.concat("p_name", (F.col("p_partkey") % 10).cast("string")).alias("n")).distinct()
-    a, b = own.select("p_type", F.col("n").alias("a")), own.select("p_type", F.col("n").alias("b"))
-    return a.join(b, "p_type").where((F.col("a") < F.col("b")) & X.edit_within_one(F.col("a"), F.col("b")))
+    cut = F.transform(F.sequence(F.lit(1), F.length("n")), lambda i: F.concat(F.left(F.col("n"), i - 1), F.substr(F.col("n"), i + 1)))
+    keyed = own.select("p_type", "n", F.explode(F.array_distinct(F.array_append(cut, F.col("n")))).alias("key"))
+    a, b = (keyed.select("p_type", "key", F.col("n").alias(c)) for c in "ab")
+    pairs = a.join(b, ["p_type", "key"]).where("a < b").select("p_type", "a", "b").distinct()
+    return pairs.where(X.edit_within_one(F.col("a"), F.col("b")))
 
 
 @query
@@ -325,7 +330,9 @@ def playlist_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def playlist_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return playlist.chunks(playlist.routed(matches(spark, sf)))
+    """Sixteen playlists."""
+    own = playlist.routed(matches(spark, sf)).withColumn("playlist_id", F.col("song_id") % 16)
+    return playlist.chunks(own, playlist="playlist_id")
 
 
 @query
