@@ -124,7 +124,7 @@ class WordEncoder:
     encoded once while the cache holds it; workers keep their cache from task to task.
     """
 
-    CACHE = 800_000
+    CACHE = 400_000
     AT_ONCE = 2048
     RECENT = 60_000
     _kept: dict[str, WordEncoder] = {}
