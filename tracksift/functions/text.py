@@ -6,6 +6,7 @@ Patterns write character classes out, so Spark's and other engines' regular expr
 from __future__ import annotations
 
 import difflib
+import math
 import re
 import unicodedata
 from functools import reduce
@@ -220,8 +221,9 @@ def similar(x: str, y: str) -> float:
     if x in y or y in x:
         return 0.92
     a, b = set(x.split()) - set(L.STOPWORDS), set(y.split()) - set(L.STOPWORDS)
-    overlap = round(len(a & b) / max(len(a), len(b)), 4) if a and b else 0.0
-    return max(overlap, round(difflib.SequenceMatcher(None, x, y).ratio() * 0.82, 4))
+    half_up = lambda v: math.floor(v * 10_000 + 0.5) / 10_000
+    overlap = half_up(len(a & b) / max(len(a), len(b))) if a and b else 0.0
+    return max(overlap, half_up(difflib.SequenceMatcher(None, x, y).ratio() * 0.82))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -71,7 +71,7 @@ def rule_parse(docs: DataFrame, key: str = "doc_id", trusted: DataFrame | None =
     others = lines.join(block_docs, lines[key] == block_docs["_of"], "left_anti")
     by_line = S.songs(S.parsed(others, key), key, trusted).select(key, "line_no", "timestamp", "artist", "title")
     by_block = blocks.select(key, (F.col("block") * 3).cast("int").alias("line_no"), "timestamp", X.blank_to_null(X.clean_side(F.col("artist"))).alias("artist"), X.blank_to_null(X.clean_side(F.col("title"))).alias("title"))
-    return S.dedup_songs(S.with_completeness(by_line.unionByName(by_block)), key)
+    return S.dedup_songs(S.with_completeness(by_line.unionByName(by_block).repartition(key, "line_no")), key)
 
 
 def with_title_only(rows: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def extract(docs: DataFrame, llm: DataFrame | None = None, key: str = "doc_id")
     chosen = verdict.join(model, key)
     method = F.when(F.col("rule_first") & F.col("success"), "rule_based").when(F.col("model_ok"), "llm").otherwise("rule_based")
     chosen = chosen.withColumn("method", method)
-    rows = rule.select(key, "line_no", "timestamp", "artist", "title", F.lit("rule_based").alias("method")).unionByName(given.select(key, "line_no", "timestamp", "artist", "title", F.lit("llm").alias("method")))
+    rows = rule.select(key, "line_no", "timestamp", "artist", "title", F.lit("rule_based").alias("method")).unionByName(given.select(key, "line_no", "timestamp", "artist", "title", F.lit("llm").alias("method"))).repartition(key, "line_no")
     return with_title_only(rows.join(chosen.select(key, "method"), [key, "method"], "left_semi")), chosen.drop("model_ok")
 
 

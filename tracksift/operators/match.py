@@ -200,7 +200,7 @@ def version_tags(rows: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "c_title", "c_artist")
     raw = F.concat_ws(" ", "name", "artist_name")
     return rows.withColumns({
-        "acceptable_version": _holds(ACCEPTABLE_WORDS, text), "non_original": _holds(NON_ORIGINAL_WORDS, text) | raw.rlike(NON_ORIGINAL_PHRASES),
+        "acceptable_version": _holds(ACCEPTABLE_WORDS, text) | (R.penalties()[1] > 0), "non_original": _holds(NON_ORIGINAL_WORDS, text) | raw.rlike(NON_ORIGINAL_PHRASES),
         "hard_non_original": F.arrays_overlap(F.split(text, " "), F.array(*[F.lit(w) for w in ("karaoke", "instrumental", "piano")])),
     })
 

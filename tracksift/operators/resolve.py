@@ -65,6 +65,12 @@ def candidates(songs: DataFrame, catalog: DataFrame, limit: int = LIMIT, groups:
     return pairs.withColumn("block_score", F.round(score, 4)).withColumn("api_rank", F.row_number().over(w)).where(F.col("api_rank") <= limit)
 
 
+def paired(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Rows that name a song (song_id, title, artist) and a candidate (name, artist_name), ready for scored()."""
+    own = _normal(_normal(rows, "title", "artist", "s"), "name", "artist_name", "c")
+    return own if groups is None else with_group_keys(own, groups)
+
+
 def with_group_keys(songs: DataFrame, groups: DataFrame) -> DataFrame:
     """s_akeys with the keys of all other names of the song's artists."""
     each = songs.select("song_id", F.explode("s_akeys").alias("alias_key")).join(groups, "alias_key")
