@@ -251,7 +251,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
                 w, row, h, weight = vectors(off, data, idf.value)
                 a, b = W.fold(w.hash, w.first)
                 at, keys, sig = sketch(row, h, weight)
-                total = np.bincount(row, weight, minlength=hi - lo)
+                total = np.bincount(row, weight, minlength=hi - lo).astype(np.float64)  # numpy gives integers for no rows
                 lists = np.zeros(hi - lo, np.int64)
                 lists[at] = BANDS
                 offsets = np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)
