@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each row of docs: its id (a long), class_id (the least id of its class) and class_size (rows).
 
     Words are compared with ASCII letters folded. Equal word sequences are of one class; rows without
-    words (null, empty, white space) each stay alone. Rows that share an id are judged each by its text; a null
+    words (null, empty, white space) each stay alone. Different texts under one id get the class of either; a null
     id has a null class and size 1. An empty table gives no rows; other columns are not read.
     """
     out = _classes(docs, id_col, text_col, threshold)
@@ -360,13 +360,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row of each class: that with the least id (of those with one id, the least hash of the text); rows with null ids stay.
+    """One row of each class: that with the least id; rows with null ids stay.
 
-    Rows equal in id and text are one; the one with the least hash of its other columns stays.
+    Rows equal in id and text are one; the one with the least hash of its other columns stays. Different texts under
+    one id all stay.
     """
     rows = _classes(docs, id_col, text_col, threshold).where("id is not null")
-    # texts without words are of no class
-    first = rows.groupBy("class_id", F.when(~F.col("has_words"), F.col("th"))).agg(F.min(F.struct("id", "th")).alias("f"))
+    # texts without words are of no class, and neither are the texts of an id that has several: classes are named by ids
+    several = rows.groupBy("id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select(F.col("id").alias("several"))
+    rows = rows.join(several, rows["id"] == several["several"], "left")
+    first = rows.groupBy("class_id", F.when(~F.col("has_words") | F.col("several").isNotNull(), F.col("th"))).agg(F.min(F.struct("id", "th")).alias("f"))
     kept = first.select(F.col("f.id").alias("id"), F.col("f.th").alias("th"))
     mine = (docs[id_col].cast("long") == kept["id"]) & (F.xxhash64(docs[text_col]) == kept["th"])
     # one exchange of the texts: the rest works on the partitioning of the join
