@@ -9,6 +9,7 @@ from tracksift.functions import text as X
 
 #: Segments of ten seconds, interval bounds, least score of a hit.
 SEGMENTS, INTERVAL, HIT_SCORE = 30, (30, 180), 60
+BLANK_SIGMA = 12
 DELIMITER = r"\s[-–—|/:~]\s"
 
 
@@ -19,8 +20,16 @@ def audio_plan(media: DataFrame, key: str = "doc_id", duration: str = "duration_
     return own.withColumn("start_s", (F.col("segment") * F.col("step")).cast("int")).where("start_s < d").select(key, "segment", "start_s")
 
 
-def frame_plan(media: DataFrame, every: int = 40, key: str = "doc_id", duration: str = "duration_s") -> DataFrame:
-    """Distinct seconds to read: every `every`, and each 15 in the first and last 90."""
+def blank(sigma: Column) -> Column:
+    """A frame whose grey levels hardly vary holds no text; an unknown spread counts as some."""
+    return F.coalesce(sigma < BLANK_SIGMA, F.lit(False))
+
+
+def frame_plan(media: DataFrame, every: int = 40, key: str = "doc_id", duration: str = "duration_s", cuts: DataFrame | None = None) -> DataFrame:
+    """Distinct seconds to read: every `every`, each 15 in the first and last 90, and the scene cuts (key, second) within the length."""
+    if cuts is not None:
+        inside = cuts.join(media.select(key, duration), key).where((F.col("second") >= 0) & (F.col("second") < F.col(duration)))
+        return frame_plan(media, every, key, duration).unionByName(inside.select(key, F.col("second").cast("int").alias("second"))).distinct()
     d = F.col(duration)
     top = F.greatest(d - 1, F.lit(0))
     seq = lambda a, b, s: F.sequence(a, F.greatest(a, b), F.lit(s))

@@ -54,3 +54,10 @@ def enriched(matches: DataFrame, tracks: DataFrame) -> DataFrame:
 def header(name, description):
     """Name and description in the lengths that a playlist may have."""
     return F.substring(name, 1, 100).alias("name"), F.substring(description, 1, 300).alias("description")
+
+
+def zipped(songs: DataFrame, results: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Songs beside the results at the same place of their document; either may be longer. songs: key, line_no, ...; results: key, ord, ..."""
+    a = songs.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("line_no")))
+    b = results.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("ord")))
+    return a.join(b, [key, "place"], "full")

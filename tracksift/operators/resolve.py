@@ -241,6 +241,9 @@ def with_audio_id(matches: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def dedup_results(rows: DataFrame) -> DataFrame:
-    """One result a track, the most confident, first on ties; results without a track all stay."""
+    """One result a track, the most confident, first on ties, and then one a URI (where rows have it), the first; results without one all stay."""
     w = Window.partitionBy("track_id").orderBy(F.col("evidence_score").desc(), "song_id")
-    return rows.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | F.col("track_id").isNull()).drop("_n")
+    own = rows.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | F.col("track_id").isNull())
+    if "uri" in rows.columns:
+        own = own.withColumn("_n", F.row_number().over(Window.partitionBy("uri").orderBy("song_id"))).where((F.col("_n") == 1) | F.col("uri").isNull())
+    return own.drop("_n")

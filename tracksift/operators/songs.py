@@ -219,3 +219,14 @@ def choose_source(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Of a document's sources (source, source_rank, success) the first that succeeded, else none."""
     ok = F.when(F.col("success"), F.col("source_rank"))
     return rows.groupBy(key).agg(F.coalesce(F.min_by("source", ok), F.lit("none")).alias("source"), F.count("*").alias("sources"))
+
+
+def cascade(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The songs of each document by source: the first source that succeeded; where none did, all partial sources merged.
+
+    rows: key, source, source_rank, success, line_no, artist, title, timestamp. Adds chosen: the source's name, or merged.
+    """
+    ok = F.min(F.when(F.col("success"), F.col("source_rank"))).over(Window.partitionBy(key))
+    own = rows.withColumn("_ok", ok).where(F.col("_ok").isNull() | (F.col("source_rank") == F.col("_ok"))).withColumn("chosen", F.when(F.col("_ok").isNull(), "merged").otherwise(F.col("source")))
+    names = own.groupBy(key).agg(F.first("chosen").alias("chosen"))
+    return merge_sources(own.drop("_ok", "chosen"), key).join(names, key)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracksift.functions import text as X
-from tracksift.operators import context, dedup, extract, feedback, match, media, resolve, songs
+from tracksift.operators import context, dedup, extract, feedback, match, media, playlist, resolve, songs
 from tracksift.plans import queries as base
 from tracksift.plans.oracle import MATCH
 from tracksift.session import table
@@ -387,3 +387,30 @@ def best_cases(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     rows = _part(spark, sf).select(k.alias("song_id"), F.explode(F.array(F.struct(F.lit(0).alias("case"), F.lit(0.5).alias("evidence_score")), F.struct(F.lit(1).alias("case"), F.when(k % 2 == 0, 0.9).otherwise(0.51).alias("evidence_score")))).alias("x"), F.lit(1).alias("popularity"))
     return context.best_case(rows.select("song_id", "x.*", "popularity")).select("song_id", F.col("case").alias("best"))
+
+
+@query("SELECT p_partkey // 10 AS doc_id, p_partkey % 10 + 1 AS place, p_name AS title, CASE WHEN p_partkey % 10 < 5 THEN p_partkey // 10 * 10 + (p_partkey % 10) * 2 END AS track_id FROM part")
+def zipped_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of ten beside the even ones, by place."""
+    k = F.col("p_partkey")
+    own = _part(spark, sf).select(F.floor(k / 10).cast("long").alias("doc_id"), k.alias("line_no"), F.col("p_name").alias("title"))
+    found = _part(spark, sf).where("p_partkey % 2 = 0").select(F.floor(k / 10).cast("long").alias("doc_id"), k.alias("ord"), k.alias("track_id"))
+    return playlist.zipped(own, found).select("doc_id", "place", "title", "track_id")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS doc_id, 60 + o_orderkey % 7200 AS d FROM orders), f AS (SELECT doc_id, unnest(range(0, d, 40)) AS s FROM m UNION SELECT doc_id, unnest(range(0, least(d - 1, 90) + 1, 15)) FROM m UNION SELECT doc_id, unnest(range(greatest(d - 90, 0), d, 15)) FROM m UNION SELECT doc_id, 7 FROM m UNION SELECT doc_id, 3601 FROM m WHERE d > 3601)
+SELECT doc_id, count(DISTINCT s) AS frames FROM f GROUP BY doc_id""")
+def frame_plan_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (60 + F.col("o_orderkey") % 7200).cast("int").alias("duration_s"))
+    cuts = m.select("doc_id", F.explode(F.array(F.lit(7), F.lit(3601))).alias("second"))
+    return media.frame_plan(m, cuts=cuts).groupBy("doc_id").agg(F.count("*").alias("frames"))
+
+
+@query("""WITH s AS (SELECT p_partkey // 10 AS doc_id, p_partkey % 2 AS rk, p_partkey AS n, p_name AS title, p_brand AS artist FROM part), c AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 1 END AS ok FROM s)
+SELECT doc_id, CASE WHEN max(ok) IS NULL THEN 'merged' WHEN max(ok) = 0 THEN 'description' ELSE 'comments' END AS chosen, count(DISTINCT lower(artist) || '|' || lower(title)) AS songs FROM c WHERE ok IS NULL OR rk = ok GROUP BY doc_id""")
+def source_songs(spark: SparkSession, sf: str) -> DataFrame:
+    """Even parts from the description, odd ones from comments: one succeeds, or both are merged."""
+    k = F.col("p_partkey")
+    doc, rank = F.floor(k / 10).cast("long"), (k % 2).cast("int")
+    own = _part(spark, sf).select(doc.alias("doc_id"), rank.alias("source_rank"), F.when(rank == 0, "description").otherwise("comments").alias("source"), (doc % 3 == rank).alias("success"), k.alias("line_no"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("timestamp"))
+    return songs.cascade(own).groupBy("doc_id").agg(F.first("chosen").alias("chosen"), F.count("*").alias("songs"))
