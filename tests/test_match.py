@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracksift.functions import text as X
 from tracksift.operators import dedup, extract, feedback, match, media, resolve, songs
+from tracksift.streaming import live
 
 ALIASES = [("한로로", "HANRORO"), ("김동률", "Kim Dong Ryul"), ("다비치", "DAVICHI"), ("검정치마", "The Black Skirts"), ("코르티스", "CORTIS")]
 PAIRS = [
@@ -108,3 +109,18 @@ def test_json_and_expiry(spark):
     text = "\n".join(["noise", "more noise"])
     frames = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(text.split("\n"))], "doc_id long, frame long, line_no int, line string")
     assert [(r.failure_reason, r.partial) for r in media.ocr_run(frames).collect()] == [("low_quality_frame", False)]
+
+
+def test_state_with_time_to_live(spark, tmp_path):
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set(key, store)
+    try:
+        spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, v int").write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k string, v int").parquet(str(tmp_path / "in"))
+        out = []
+        q = live.with_ttl(stream, "k", 3600).writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect()))
+        q = q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(200)
+        assert sorted((r.key, r.fresh, r.asked) for r in out) == [("a", True, 2), ("b", True, 1)]
+    finally:
+        spark.conf.unset(key)
