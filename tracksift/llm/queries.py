@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksift.llm import decontaminate, html_text, line_dedup, mixing, near_dup, passages, pii, quality, token_file, toxicity
+from tracksift.llm import decontaminate, fingerprint, html_text, line_dedup, mixing, near_dup, passages, pii, quality, token_file, toxicity
 from tracksift.session import table
 
 
@@ -58,6 +58,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("print")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        fingerprint.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
