@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksift.llm import decontaminate, fingerprint, html_text, line_dedup, mixing, near_dup, passages, pii, quality, spelling, token_file, toxicity
+from tracksift.llm import decontaminate, fingerprint, html_text, line_dedup, mixing, near_dup, passages, pii, quality, spelling, token_file, toxicity, whitening
 from tracksift.session import table
 
 
@@ -58,6 +58,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "e")
+    out = out.select("vec_id", "n", "deviation", "identity_error", each)
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("e.whitened").alias("whitened"), F.col("e.explained").alias("explained"), "identity_error")
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
