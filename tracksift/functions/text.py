@@ -9,15 +9,17 @@ import difflib
 import math
 import re
 import unicodedata
-from functools import reduce
+from collections import Counter
+from functools import lru_cache, reduce, wraps
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracksift.functions import lexicon as L
+from tracksift.session import ship
 
 TIME = r"\d{1,2}:\d{2}(?::\d{2})?"
 DECORATION = r"~*#>+\-–—•·‣\s"
@@ -149,6 +151,18 @@ def base_title(c: Column) -> Column:
     return spaces(F.regexp_replace(c, r"\([^)]*\)|\[[^\]]*\]", " "))
 
 
+def shipped(udf):
+    """A pandas UDF that makes sure, where it is used, that Python workers have this package."""
+
+    @wraps(udf.func)
+    def use(*cols: Column) -> Column:
+        ship(SparkSession.active())
+        return udf(*cols)
+
+    return use
+
+
+@shipped
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark has no function for."""
@@ -201,36 +215,68 @@ def overlap_of_tokens(x: Column, y: Column) -> Column:
     return F.when((F.size(x) < 1) | (F.size(y) < 1), F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)), 4))
 
 
+@shipped
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; the order of arguments matters."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def similar(x: str, y: str) -> float:
-    """similarity() of two normal forms, for use in tasks."""
+def _half_up(v: float) -> float:
+    return math.floor(v * 10_000 + 0.5) / 10_000
+
+
+@lru_cache(maxsize=1 << 16)
+def _form(x: str) -> tuple[str, frozenset[str], Counter[str]]:
+    """Of a normal form: without spaces, its tokens without stop words, its letters."""
+    return x.replace(" ", ""), frozenset(x.split()) - frozenset(L.STOPWORDS), Counter(x)
+
+
+@lru_cache(maxsize=1 << 16)
+def _sequence(x: str, y: str) -> float:
+    return _half_up(difflib.SequenceMatcher(None, x, y).ratio() * 0.82)
+
+
+def similar(x: str, y: str, least: float = 0.0) -> float:
+    """similarity() of two normal forms, for use in tasks; where it can't exceed `least`, any value up to that.
+
+    Letters in common bound the sequence ratio, first by length and then by their counts, so most pairs need no matching.
+    """
     if not x or not y:
         return 0.0
-    p, q = x.replace(" ", ""), y.replace(" ", "")
+    if x == y:
+        return 1.0
+    (p, a, own), (q, b, other) = _form(x), _form(y)
     if len(p) <= 2 or len(q) <= 2:
         if p == q:
             return 1.0
         return (0.55 if re.search("[가-힣]", p + q) else 0.75) if p in q or q in p else 0.0
-    if x == y or p == q:
+    if p == q:
         return 1.0
     if x in y or y in x:
         return 0.92
-    a, b = set(x.split()) - set(L.STOPWORDS), set(y.split()) - set(L.STOPWORDS)
-    half_up = lambda v: math.floor(v * 10_000 + 0.5) / 10_000
-    overlap = half_up(len(a & b) / max(len(a), len(b))) if a and b else 0.0
-    return max(overlap, half_up(difflib.SequenceMatcher(None, x, y).ratio() * 0.82))
+    best = max(least, _half_up(len(a & b) / max(len(a), len(b))) if a and b else 0.0)
+    total = len(x) + len(y)
+    if _half_up(2 * min(len(x), len(y)) / total * 0.82) <= best or _half_up(2 * (own & other).total() / total * 0.82) <= best:
+        return best
+    return max(best, _sequence(x, y))
 
 
+@shipped
 @F.pandas_udf(T.DoubleType())
 def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The highest similarity between two arrays of normal forms; 0 if one is empty, null if one is null."""
-    best = [None if x is None or y is None else max((similar(i, j) for i in x for j in y), default=0.0) for x, y in zip(a, b, strict=True)]
-    return pd.Series(best, dtype="float64")
+
+    def best(x, y) -> float:
+        top = 0.0
+        for i in x:
+            for j in y:
+                top = max(top, similar(i, j, top))
+                if top == 1.0:
+                    return top
+        return top
+
+    return pd.Series([None if x is None or y is None else best(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def quick_similarity(a: Column, b: Column) -> Column:

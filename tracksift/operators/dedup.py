@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracksift.functions import text as X
+from tracksift.session import ship
 
 #: Fixed values.
 FUZZY_MIN_ROWS = 10
@@ -39,6 +40,7 @@ def fuzzy_dedup(songs: DataFrame, key: str = "doc_id", order: str = "line_no") -
                 kept.setdefault(a, []).append(t)
         return pdf[keep].drop(columns=["_t", "_a"])
 
+    ship(own.sparkSession)
     return own.groupBy(key).applyInPandas(greedy, songs.schema)
 
 
@@ -82,6 +84,7 @@ def near_duplicates(songs: DataFrame, key: str = "doc_id", order: str = "line_no
         return pd.DataFrame(kept, columns=[*pdf.columns, "n_variants"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in songs.schema.fields)
+    ship(songs.sparkSession)
     return songs.groupBy(key).applyInPandas(greedy, f"{fields}, n_variants long")
 
 
@@ -127,6 +130,7 @@ def section_join(songs: DataFrame, cards: DataFrame, key: str = "doc_id", titles
         return pd.DataFrame(rows, columns=[*columns, "section_index", "card_artist", "how"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    ship(songs.sparkSession)
     return songs.groupBy(key).cogroup(cards.groupBy(key)).applyInPandas(match, f"{fields}, section_index int, card_artist string, how string")
 
 
@@ -191,6 +195,7 @@ def supplement(songs: DataFrame, extras: DataFrame, key: str = "doc_id", groups:
         return pd.DataFrame(out, columns=[*columns, "decision"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    ship(left.sparkSession)
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(decide, f"{fields}, decision string")
 
 
@@ -233,4 +238,5 @@ def merge_audio_hits(hits: DataFrame, key: str = "doc_id") -> DataFrame:
 
     own = hits.select(key, F.col("segment_index").cast("long"), "title", "artist", F.col("score").cast("long"))
     kind = hits.schema[key].dataType.simpleString()
+    ship(hits.sparkSession)
     return own.groupBy(key).applyInPandas(greedy, f"`{key}` {kind}, title string, artist string, max_score long, segments array<long>, n long")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracksift.functions import lexicon as L
 from tracksift.functions import text as X
 from tracksift.operators import resolve as R
+from tracksift.operators import retrieve
 
 #: Thresholds of the matching rules.
 EARLY_STOP, MIN_ARTIST, MIN_TITLE, REVIEW_SCORE = 0.85, 0.45, 0.45, 0.55
@@ -302,14 +303,16 @@ def search_tiers(rows: DataFrame) -> DataFrame:
 def searched(songs: DataFrame, catalog: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Scored candidates of every query of each song, with query_no, reliability and query_has_both.
 
-    The first query asks for title and artist together, so its candidates share both (a token of the title and an
-    artist, or a title and nothing else where there is no artist); the free query takes what the blocks find.
+    The first query asks for title and artist by field, so its candidates share something of both; the free query asks for
+    either. A song without an artist has the free query only.
     """
-    found = R.scored(R.candidates(songs, catalog, groups=groups))
+    free = R.candidates(songs, catalog, groups=groups)
+    fielded = R.candidates(songs, catalog, groups=groups, fields=retrieve.BOTH)
+    ranks = lambda f, mode: f.select("song_id", "track_id", "api_rank", F.lit(mode).alias("mode"))
+    # a pair that both find is scored once
+    found = R.scored(free.unionByName(fielded).dropDuplicates(["song_id", "track_id"])).drop("api_rank")
     each = cases(songs).select("song_id", "query_no", "mode", "query")
-    rows = found.join(each, "song_id").where((F.col("mode") == "query") | ((F.col("title_score") > 0) & (F.col("artist_score") > 0)))
-    rank = F.row_number().over(Window.partitionBy("song_id", "query_no").orderBy("api_rank"))
-    rows = rows.withColumn("api_rank", rank)
+    rows = ranks(free, "query").unionByName(ranks(fielded, "track_artist")).join(each, ["song_id", "mode"]).join(found, ["song_id", "track_id"])
     t, a = F.col("title"), F.col("artist")
     return rows.withColumns({"reliability": reliability(F.col("query"), t, a, F.col("query_no") == 0), "query_has_both": query_has_both(F.col("query"), t, a)})
 

@@ -1,8 +1,7 @@
 """Entity resolution: blocking, candidate ranks, scores, evidence patterns, labels. songs × catalogue.
 
 Songs: song_id, title, artist. Catalogue: track_id, name, artist_name, popularity, has_image.
-Candidates come from equi-joins on blocking keys, never from a cross join; keys that many tracks share are
-what the ranking is for, and Spark's adaptive execution splits them.
+Candidates come from the posting lists of retrieve, never from a cross join or from all pairs of a block.
 """
 
 from __future__ import annotations
@@ -12,23 +11,13 @@ from pyspark.sql import functions as F
 
 from tracksift.functions import lexicon as L
 from tracksift.functions import text as X
+from tracksift.operators import retrieve
 
 LIMIT = 5
 #: Labels and gates.
 MATCHED, REVIEW, LOW, INVALID = "matched", "review_needed", "low_confidence", "invalid_candidate"
 
 
-def song_blocks(by: str) -> Column:
-    """Blocking keys: the title's key, its first two tokens, each artist with each title token, each artist."""
-    tokens, keys = F.col(f"{by}_tokens"), F.col(f"{by}_akeys")
-    title = F.replace(F.col(f"{by}_title"), F.lit(" "), F.lit(""))
-    two = F.when(F.size(tokens) > 1, F.array(F.concat(F.lit("p:"), F.array_join(F.sort_array(F.slice(tokens, 1, 2)), " "))))
-    both = F.flatten(F.transform(keys, lambda k: F.transform(tokens, lambda t: F.concat(F.lit("at:"), k, F.lit(":"), t))))
-    one = F.when(F.length(title) > 0, F.array(F.concat(F.lit("t:"), title)))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.coalesce(one, none), F.coalesce(two, none), F.coalesce(both, none)))
-
-
 def _normal(rows: DataFrame, title: str, artist: str, by: str) -> DataFrame:
     """rows with normal forms, tokens, spellings and artist keys of both names, once a row rather than once a pair."""
     own = rows.withColumns({f"{by}_title": X.match_text(F.col(title)), f"{by}_artist": X.match_text(F.col(artist)), f"{by}_parts": X.artist_parts(F.col(artist))})
@@ -41,28 +30,17 @@ def _normal(rows: DataFrame, title: str, artist: str, by: str) -> DataFrame:
     return own.withColumn(f"{by}_akeys", F.coalesce(F.array_distinct(F.filter(F.transform(f"{by}_parts", X.artist_key), lambda k: k != "")), F.array().cast("array<string>"))).drop(f"{by}_parts")
 
 
-def candidates(songs: DataFrame, catalog: DataFrame, limit: int = LIMIT, groups: DataFrame | None = None) -> DataFrame:
-    """The first `limit` tracks of each song by token overlap of titles and artists; api_rank from 1.
+def candidates(songs: DataFrame, catalog: DataFrame, limit: int = LIMIT, groups: DataFrame | None = None, fields: str = retrieve.ANY) -> DataFrame:
+    """The first `limit` tracks of each song by token overlap of titles and artists, of all that share a token, the title or an artist; api_rank from 1.
 
-    Blocks hold tracks that share a title, its first tokens, or an artist and a title token with a song. Tracks that
-    share only the artist are equal but for popularity, so only the artist's first `limit` are candidates: pairs
-    grow with songs, not with their square. groups (match.alias_groups) lets an artist's other names find tracks.
-    Pairs carry ids only; names and tokens join back on them.
+    groups (match.alias_groups) lets an artist's other names find tracks. fields: which of title and artist a track must
+    match. Lists and hits carry ids only; names and tokens join back on the few that stay.
     """
     s, c = _normal(songs, "title", "artist", "s"), _normal(catalog, "name", "artist_name", "c")
     if groups is not None:
         s = with_group_keys(s, groups)
-    left = s.select("song_id", F.explode(F.concat(song_blocks("s"), F.transform("s_akeys", lambda k: F.concat(F.lit("a:"), k)))).alias("block"))
-    right = c.select("track_id", F.explode(song_blocks("c")).alias("block"))
-    each = c.select("track_id", "popularity", F.explode("c_akeys").alias("k"))
-    top = each.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.col("popularity").desc(), "track_id"))).where(F.col("n") <= limit)
-    right = right.unionByName(top.select("track_id", F.concat(F.lit("a:"), F.col("k")).alias("block")))
-    pairs = left.join(right, "block").select("song_id", "track_id").distinct().join(s, "song_id").join(c, "track_id")
-    # an artist under another name is the artist
-    same = F.when(F.arrays_overlap("s_akeys", "c_akeys"), 1.0).otherwise(0.0)
-    score = X.overlap_of_tokens(F.col("s_tokens"), F.col("c_tokens")) + F.greatest(F.coalesce(X.overlap_of_tokens(F.col("s_names"), F.col("c_names")), F.lit(0.0)), same)
-    w = Window.partitionBy("song_id").orderBy(F.col("block_score").desc(), F.col("popularity").desc(), "track_id")
-    return pairs.withColumn("block_score", F.round(score, 4)).withColumn("api_rank", F.row_number().over(w)).where(F.col("api_rank") <= limit)
+    ranks = retrieve.top(s, retrieve.index(c, limit), limit, fields).drop("popularity")
+    return ranks.join(s, "song_id").join(c, "track_id")
 
 
 def paired(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:

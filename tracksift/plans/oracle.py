@@ -52,8 +52,7 @@ own AS (SELECT p_name AS t0, p_brand AS brand, min(p_partkey) AS song_id FROM pa
 song AS (SELECT song_id, CASE WHEN song_id % 5 = 0 THEN t0 || ' live' ELSE t0 END AS title, CASE WHEN song_id % 3 > 0 THEN brand END AS artist, t0 FROM own),
 st AS (SELECT *, string_split(t0, ' ') AS t_tok, string_split(replace(lower(artist), '#', ' '), ' ') AS a_tok FROM song),
 ct AS (SELECT *, string_split(name, ' ') AS n_tok, string_split(replace(lower(artist_name), '#', ' '), ' ') AS c_tok FROM cat),
-cr AS (SELECT *, row_number() OVER (PARTITION BY artist_name ORDER BY popularity DESC, track_id) AS liked FROM ct),
-pairs AS (SELECT * FROM st JOIN cr ON replace(title, ' ', '') = replace(name, ' ', '') OR list_sort(t_tok) = list_sort(n_tok) OR (artist = artist_name AND (liked <= 5 OR len(list_intersect(t_tok, n_tok)) > 0))),
+pairs AS (SELECT * FROM st JOIN ct ON len(list_intersect(t_tok, n_tok)) > 0 OR len(list_intersect(a_tok, c_tok)) > 0),
 ov AS (SELECT *, round(len(list_intersect(t_tok, n_tok)) / greatest(len(list_distinct(t_tok)), len(list_distinct(n_tok)))::DOUBLE, 4) AS overlap,
   coalesce(round(len(list_intersect(a_tok, c_tok)) / greatest(len(list_distinct(a_tok)), len(list_distinct(c_tok)))::DOUBLE, 4), 0) AS aov FROM pairs),
 cand AS (SELECT *, round(overlap + aov, 4) AS block_score, row_number() OVER (PARTITION BY song_id ORDER BY round(overlap + aov, 4) DESC, popularity DESC, track_id) AS api_rank FROM ov QUALIFY api_rank <= 5),
