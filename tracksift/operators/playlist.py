@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksift.functions import text as X
+
 #: Gates of automatic and low-confidence adding, tracks a request.
 AUTO_GATE, LOW_GATE, CHUNK = 0.85, 0.6, 100
+#: The name of a playlist without one, and the error of one without tracks.
+DEFAULT_NAME, NO_TRACKS = "YouTube Playlist", "선택된 곡이 없습니다."
 
 
 def routed(matches: DataFrame, high_only: bool = False) -> DataFrame:
@@ -61,3 +65,31 @@ def zipped(songs: DataFrame, results: DataFrame, key: str = "doc_id") -> DataFra
     a = songs.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("line_no")))
     b = results.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("ord")))
     return a.join(b, [key, "place"], "full")
+
+
+def requests(rows: DataFrame, headers: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
+    """The requests that make playlists of chosen tracks: one to create each, and one for every `size` tracks; rows as the sink takes them.
+
+    rows: playlist_id, position, value (a URI, address or id). Values that name no track go, a track stays at its first
+    place, and deduped_count (on the creating request) says how many went. A playlist of no tracks has one request, with an
+    error. headers: playlist_id, name, description, cut to their lengths.
+    """
+    own = rows.select("playlist_id", "position", X.track_uri(F.col("value")).alias("uri"))
+    firsts = own.where("uri is not null").groupBy("playlist_id", "uri").agg(F.min("position").alias("at"))
+    nth = F.row_number().over(Window.partitionBy("playlist_id").orderBy("at", "uri")) - 1
+    placed = firsts.withColumn("nth", nth).withColumn("chunk", F.floor(F.col("nth") / size).cast("int"))
+    adds = placed.groupBy("playlist_id", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "uri"))), lambda x: x.uri).alias("uris"))
+    counts = own.groupBy("playlist_id").agg(F.count("*").alias("asked")).join(firsts.groupBy("playlist_id").agg(F.count("*").alias("kept")), "playlist_id", "left")
+    if headers is not None:
+        counts = counts.join(headers.select("playlist_id", "name", "description"), "playlist_id", "left")
+    else:
+        counts = counts.withColumns({"name": F.lit(None).cast("string"), "description": F.lit(None).cast("string")})
+    name, description = header(F.coalesce("name", F.lit(DEFAULT_NAME)), F.coalesce("description", F.lit("")))
+    none = F.array().cast("array<string>")
+    kept = F.coalesce("kept", F.lit(0))
+    creates = counts.select(
+        "playlist_id", F.when(kept > 0, "create").otherwise("error").alias("kind"), F.lit(None).cast("int").alias("chunk"), name, description, none.alias("uris"),
+        (F.col("asked") - kept).alias("deduped_count"), F.when(kept == 0, NO_TRACKS).alias("error"),
+    )
+    null = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    return creates.unionByName(adds.select("playlist_id", F.lit("add").alias("kind"), "chunk", null("string", "name"), null("string", "description"), "uris", null("long", "deduped_count"), null("string", "error")))

@@ -16,7 +16,6 @@ from tracksift.plans import queries as base
 from tracksift.plans.oracle import MATCH
 from tracksift.session import table
 from tracksift.sources import landed
-from tracksift.streaming import live
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -292,13 +291,13 @@ def filled_artists(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.fill_artists(own).select("p_partkey", "artist")
 
 
-@query("SELECT p_partkey // 10 AS doc_id, 'A' || (p_partkey // 10) AS title, 'x' AS artist, max(50 + p_partkey % 10) AS max_score, count(*) AS n FROM part GROUP BY 1")
+@query("SELECT p_partkey // 10 AS doc_id, 'A' || (p_partkey // 10) AS title, CASE WHEN max(p_partkey) % 2 = 1 THEN 'x' ELSE 'y feat. z' END AS artist, max(50 + p_partkey % 10) AS max_score, count(*) AS n FROM part GROUP BY 1")
 def audio_near_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten readings of one song a document, the artist spelt in two ways: one row with all segments and the best score."""
+    """Ten readings of one song a document, the artist spelt in two ways: one row with all segments, the best score and that reading's artist."""
     k = F.col("p_partkey")
     own = _part(spark, sf).select(F.floor(k / 10).cast("long").alias("doc_id"), (k % 10).alias("segment_index"), F.concat(F.lit("A"), F.floor(k / 10).cast("string")).alias("title"), F.when(k % 2 == 1, "x").otherwise("y feat. z").alias("artist"), (50 + k % 10).alias("score"))
     out = dedup.merge_audio_hits(own)
-    return out.select("doc_id", "title", F.when(F.col("max_score") % 2 == 1, "x").otherwise("x").alias("artist"), "max_score", "n")
+    return out.select("doc_id", "title", "artist", "max_score", "n")
 
 
 @query("SELECT doc_id, 0 AS frame, CAST(n AS BIGINT) AS songs FROM (SELECT p_partkey // 20 AS doc_id, count(*) FILTER (WHERE p_partkey % 2 = 0) AS n FROM part GROUP BY 1) WHERE n > 0")
@@ -362,12 +361,6 @@ def fuzzy_titles(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "line_no", F.regexp_replace("artist", "!.*$", "").alias("artist"), "title")
 
 
-@query("SELECT conv_id AS doc_id, count(*) AS n FROM conversations WHERE turn < 3 AND text IS NOT NULL GROUP BY 1")
-def first_comments(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where("turn < 3 and text is not null").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text")
-    return c.groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query("SELECT p_partkey, 0 AS section_index, p_name AS title, p_brand AS artist, 'high' AS confidence FROM part")
 def section_songs(spark: SparkSession, sf: str) -> DataFrame:
     body = F.to_json(F.struct(F.array(F.struct(F.lit("Music").alias("header"), F.array(F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))).alias("items"))).alias("sections")))
@@ -375,12 +368,6 @@ def section_songs(spark: SparkSession, sf: str) -> DataFrame:
     return context.songs_of_cards(cards).select(F.col("doc_id").alias("p_partkey"), F.col("line_no").alias("section_index"), "title", "artist", "confidence")
 
 
-@query("SELECT user_id, event_id, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 3600, false) AS hit FROM events")
-def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return live.lru(e, "user_id").select("user_id", "event_id", "hit")
-
-
 @query("SELECT song_id, CASE WHEN song_id % 2 = 0 THEN 1 ELSE 0 END AS best FROM (SELECT p_partkey AS song_id FROM part)")
 def best_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Two cases a song: the second counts if it is clearly better."""

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tracksift.session import ship
+
 
 def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
     """With a watermark; times without a zone count as the session's."""
@@ -57,6 +59,7 @@ class _States(StatefulProcessor):
 def with_ttl(events: DataFrame, key: str, ttl_s: int) -> DataFrame:
     """key, fresh, asked for each key of a batch: a state that expires ttl_s seconds after its last update (transformWithState)."""
     kind = events.schema[key].dataType.simpleString()
+    ship(events.sparkSession)
     return events.groupBy(key).transformWithStateInPandas(_States(ttl_s * 1000), f"key {kind}, fresh boolean, asked long", "Update", "processingTime")
 
 
@@ -72,3 +75,50 @@ def lru(requests: DataFrame, key: str, ts: str = "ts", size: int = 100, ttl_s: i
     age = F.unix_timestamp(ts) - F.unix_timestamp(last)
     near = (F.col("_nth") - at <= size) if within else F.lit(True)
     return rows.withColumn("hit", F.coalesce((age <= ttl_s) & near, F.lit(False))).drop("_nth")
+
+
+class _Windows(StatefulProcessor):
+    """A key's current window: when it opened and how many it has let through. A timer clears it when it is over."""
+
+    def __init__(self, limit: int, span_ms: int) -> None:
+        self.limit, self.span_ms = limit, span_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "opened long, n long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        opened, n = self.window.get() if self.window.exists() else (None, 0)
+        span = self.span_ms * 1000
+        for pdf in rows:
+            pdf = pdf.sort_values(["us", "id"], kind="stable")
+            allowed, wait = [], []
+            for us in pdf["us"]:
+                if opened is None or us - opened >= span:
+                    opened, n = us, 0
+                    self.handle.registerTimer(us // 1000 + self.span_ms)
+                n += 1
+                allowed.append(n <= self.limit)
+                wait.append(None if n <= self.limit else max(1, -(-(opened + span - us) // 1_000_000)))
+            yield pd.DataFrame({"key": [key[0]] * len(pdf), "id": pdf["id"].to_numpy(), "allowed": allowed, "retry_after": pd.array(wait, "Int32")})
+        self.window.update((opened, n))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        if self.window.exists() and self.window.get()[0] // 1000 + self.span_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.window.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def limited(requests: DataFrame, key: str, id_col: str, ts: str, limit: int, span_s: int = 60, late: str = "10 minutes") -> DataFrame:
+    """key, id, allowed, retry_after of each request of a stream, as operators.order.limited gives them in batch: `limit` a window of span_s that a key's first request opens.
+
+    Requests of a key must come in order of time from one step to the next; within a step they are put in order.
+    """
+    ship(requests.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    own = _timed(requests, ts, late).select(key, F.col(id_col).alias("id"), ts, F.unix_micros(ts).alias("us"))
+    out = f"key {kinds[key]}, id {kinds[id_col]}, allowed boolean, retry_after int"
+    return own.groupBy(key).transformWithStateInPandas(_Windows(limit, span_s * 1000), out, "Append", "eventTime")
