@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksift.functions import hangul as H
 from tracksift.functions import lexicon as L
 from tracksift.functions import text as X
 from tracksift.operators import resolve as R
@@ -17,7 +18,8 @@ from tracksift.operators import retrieve
 
 #: Thresholds of the matching rules.
 EARLY_STOP, MIN_ARTIST, MIN_TITLE, REVIEW_SCORE = 0.85, 0.45, 0.45, 0.55
-ARTIST_ID_SCORE, ROMANISED, ROMANISED_TOKENS = 0.78, 0.55, 0.3
+ARTIST_ID_SCORE, ROMANISED = 0.78, 0.55
+MISMATCH_TITLE, MISMATCH_ARTIST = 0.45, 0.85
 ACCEPTABLE_WORDS = ["live", "remaster", "remastered", "acoustic", "duet", "explicit", "radio edit", "edit"]
 NON_ORIGINAL_WORDS = ["mr", "karaoke", "noraebang", "노래방", "금영", "ky", "tj", "cover", "piano cover", "remix", "prod by", "produced by", "performance", "instrumental", "inst", "tribute", "lullaby", "nightcore", "vocal version", "backing track", "sing along", "sing-along", "in the style of"]
 NON_ORIGINAL_PHRASES = r"(?i)made\s+popular\s+by|as\s+(?:performed|recorded|made)\s+by|originally\s+(?:performed|recorded)\s+by|in\s+the\s+style\s+of|vocal\s+version|backing\s+track|sing[\s-]along"
@@ -119,12 +121,21 @@ def artist_ids(names: DataFrame, artists: DataFrame, limit: int = R.LIMIT) -> Da
     return best.where(F.col("b.score") >= ARTIST_ID_SCORE).select("artist", F.col("b.artist_id").alias("artist_id"), F.col("b.score").alias("score"))
 
 
-def romanised(artist: Column, resolved: Column, names: Column) -> Column:
-    """A Hangul artist may be one of the Latin names: its known other name is like one, or their keys are the same."""
-    like = X.best_similarity(F.array(X.match_text(resolved)), F.transform(names, X.match_text)) >= ROMANISED
-    differs = X.artist_key(resolved) != X.artist_key(artist)
+def romanised(artist: Column, names: Column, resolved: Column | None = None) -> Column:
+    """A Hangul artist may be one of the Latin names: it is like one when written in Latin letters, or its known other name (resolved) is, or their keys are the same."""
+    asked = X.has_hangul(artist) & F.exists(names, X.has_latin)
+    latin = F.transform(names, X.match_text)
+    spelt = F.transform(H.name_spellings(artist), X.match_text)
+    if resolved is not None:
+        spelt = F.when(X.artist_key(resolved) != X.artist_key(artist), F.array_append(spelt, X.match_text(resolved))).otherwise(spelt)
+    like = X.best_similarity(F.when(asked, spelt), F.when(asked, latin)) >= ROMANISED  # other rows need no matching
     same = F.exists(names, lambda n: X.artist_key(n) == X.artist_key(artist))
-    return X.has_hangul(artist) & F.exists(names, X.has_latin) & F.coalesce((differs & like) | same, F.lit(False))
+    return F.coalesce(asked & (like | same), F.lit(False))
+
+
+def with_romanised(rows: DataFrame) -> DataFrame:
+    """rows with whether the candidate's artist may be the song's in Latin letters, found once."""
+    return rows if "romanised" in rows.columns else rows.withColumn("romanised", romanised(F.col("artist"), F.array("artist_name")))
 
 
 def notation(rows: DataFrame) -> DataFrame:
@@ -183,7 +194,8 @@ def signal(rows: DataFrame) -> DataFrame:
 
 def evidence_gate(rows: DataFrame) -> DataFrame:
     """rows with matched_evidence (array) and no_evidence: nothing ties the candidate to the song."""
-    latin = X.has_hangul(F.col("artist")) & X.has_latin(F.col("artist_name")) & (F.col("artist_score") >= 0.72)
+    rows = with_romanised(rows)
+    latin = X.has_hangul(F.col("artist")) & X.has_latin(F.col("artist_name")) & ((F.col("artist_score") >= 0.72) | F.col("romanised"))
     found = F.filter(F.array(
         F.when(F.col("artist_alias"), F.lit("artist_alias_match")), F.when(latin, F.lit("artist_romanization_match")),
         F.when(F.col("title_score") >= 0.55, F.lit("title_direct_match")), F.when(F.col("overlap") > 0, F.lit("token_overlap")),
@@ -245,12 +257,14 @@ def adjusted(rows: DataFrame) -> DataFrame:
 
 def reason(rows: DataFrame) -> DataFrame:
     """rows with reason: the first thing that speaks against a candidate, or matched."""
+    rows = with_romanised(rows)
     t, a, given, s = F.col("title_score"), F.col("artist_score"), F.col("artist").isNotNull(), F.col("evidence_score")
     why = (
         F.when(F.col("status") == R.INVALID, "invalid_candidate").when(F.col("suspicious") > 0, "version_candidate").when(F.col("non_original"), "non_original_audio")
         .when(given & (a >= 0.85) & (t < 0.55), "artist_only_overconfidence").when(given & (t >= 0.85) & (a < MIN_ARTIST), "title_only_overconfidence").when(F.col("short_title"), "short_title_false_positive")
         .when(F.col("acceptable_version"), "version_candidate").when(s >= 0.82, "matched").when(given & (t >= 0.95) & (a < MIN_ARTIST), "title_matched_artist_alias_candidate")
-        .when(given & (a >= 0.95) & (t < MIN_TITLE), "artist_matched_title_mismatch").when((t < 0.4) & (~given | (a < 0.4)), "weak_title_and_artist").when(t < MIN_TITLE, "title_mismatch")
+        .when(given & (a >= 0.95) & (t < MIN_TITLE), "artist_matched_title_mismatch").when(given & (F.col("api_rank") == 1) & (t < MISMATCH_TITLE) & F.col("romanised") & ~((a >= MISMATCH_ARTIST) | F.col("artist_alias")), "top_candidate_artist_romanization_title_mismatch")
+        .when((t < 0.4) & (~given | (a < 0.4)), "weak_title_and_artist").when(t < MIN_TITLE, "title_mismatch")
         .when(given & (a < MIN_ARTIST), "artist_mismatch").when(s >= REVIEW_SCORE, "partial_match_needs_review").otherwise("low_score")
     )
     return rows.withColumn("reason", why)
