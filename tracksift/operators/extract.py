@@ -14,6 +14,7 @@ from tracksift.operators import context as C
 from tracksift.operators import direction as D
 from tracksift.operators import media as M
 from tracksift.operators import songs as S
+from tracksift.session import cut
 
 #: Caps of what a model is shown.
 MODEL_BLOCKS, MODEL_PAIRS = 20, 40
@@ -90,16 +91,19 @@ def extract(docs: DataFrame, llm: DataFrame | None = None, key: str = "doc_id")
     """
     signal = S.signals(docs, key)
     route = docs.select(key).distinct().join(signal.select(key, rule_first().alias("rule_first")), key, "left").withColumn("rule_first", F.coalesce("rule_first", F.lit(False)))
-    rule = rule_parse(docs, key, route.where("not rule_first"))
+    # both tables are read several times below, and are small against the texts
+    route = cut(route, "routes")
+    rule = cut(rule_parse(docs, key, route.where("not rule_first")), "rules")
     verdict = S.validity(docs, S.song_metrics(rule, key), signal, key).join(route, key)
     if llm is None:
         out = verdict.withColumn("method", F.lit("rule_based"))
         return with_title_only(rule).withColumn("method", F.lit("rule_based")), out
-    given = normalised(S.grounded(llm, docs, key).select(key, "line_no", F.lit(None).cast("string").alias("timestamp"), "artist", "title"), key, trusted=True)
+    given = cut(normalised(S.grounded(llm, docs, key).select(key, "line_no", F.lit(None).cast("string").alias("timestamp"), "artist", "title"), key, trusted=True), "replies")
     model = S.validity(docs, S.song_metrics(given, key), signal, key).select(key, F.col("success").alias("model_ok"))
     chosen = verdict.join(model, key)
     method = F.when(F.col("rule_first") & F.col("success"), "rule_based").when(F.col("model_ok"), "llm").otherwise("rule_based")
-    chosen = chosen.withColumn("method", method)
+    # a reply that stands is a success, whatever the rules found
+    chosen = chosen.withColumn("method", method).withColumn("success", F.col("success") | (F.col("method") == "llm"))
     rows = rule.select(key, "line_no", "timestamp", "artist", "title", F.lit("rule_based").alias("method")).unionByName(given.select(key, "line_no", "timestamp", "artist", "title", F.lit("llm").alias("method"))).repartition(key, "line_no")
     return with_title_only(rows.join(chosen.select(key, "method"), [key, "method"], "left_semi")), chosen.drop("model_ok")
 
