@@ -16,7 +16,7 @@ def test_kinds_and_formats():
     assert kinds == ["email", "ip", "card", "phone", "secret", "ssn", "surname", "given_f", "surname", "surname"]
     out, found = P.rewrite(TEXT, P.KEY, {})
     # given names become names that aren't in the lexicon, so nothing else has them
-    assert found == kinds and [k for _, _, k in P.find(out)] == [*kinds[:7], "surname"]
+    assert found == kinds and [k for _, _, k in P.find(out)] == [*kinds[:7], "surname", "surname"]  # the given name is no longer one, its surname is still Mr X's
     shape = lambda t: re.sub(r"\d+(?=\.)|(?<=\.)\d+", "N", re.sub(r"[A-Z]", "A", t))
     assert len(shape(out)) > 0
     card = re.sub(r"\D", "", re.search(r"card ([\d ]+)", out)[1])
@@ -91,3 +91,52 @@ def test_given_names_meet_no_other_persons():
 def test_columns_with_any_name(spark):
     df = spark.createDataFrame([(1, "Mr Smith came", "a", "b", "c")], "doc_id long, text string, over string, of string, `_over` string")
     assert P.surrogates(df).columns == [*df.columns, "n_entities", "kinds"] and P.surrogates(df).count() == 1
+
+
+def test_a_persons_every_mention():
+    """By given name, by surname, titled, introduced, before and after: no part stays, and each part has one surrogate."""
+    out, kinds = P.rewrite("Felix rang. Call John Smith and Mr Felix now. Felix said hi to John; Smith’s line, d'John.", P.KEY, {})
+    assert not re.search("Felix|John|Smith", out) and len(kinds) == 8
+    felix, john, smith = re.match(r"(\w+) rang. Call (\w+) (\w+)", out).groups()
+    assert out == f"{felix} rang. Call {john} {smith} and Mr {felix} now. {felix} said hi to {john}; {smith}’s line, d'{john}."
+    out, _ = P.rewrite("Aisha Khan wrote. My name is Aisha Khan. Dear Wei, ask Wei Chen or Khan.", P.KEY, {})
+    assert not re.search("Aisha|Khan|Wei", out)
+    out, kinds = P.rewrite("Mr Smith, smith, Smithson, Smith-Jones, SMITH and smith@mail.example.com of Smith", P.KEY, {})
+    assert "smith, " in out and "Smithson" in out and "Smith-Jones" in out and kinds == ["surname", "email", "surname"]
+    assert P.rewrite("Felix and Wei rang.", P.KEY, {})[1] == []  # names that nothing marks as a person's
+    key = "sk-live-abcDEF0123456789abcDEF01"
+    out, kinds = P.rewrite(f"use {key}.", P.KEY, {})
+    assert kinds == ["secret"] and re.fullmatch(r"use sk-[a-z]{4}-[a-zA-Z0-9]{24}\.", out) and key not in out
+
+
+def test_mentions_by_brute_force():
+    """Random texts of marked and unmarked names: the words replaced are those equal to a part of a marked name."""
+    rng = random.Random(12)
+    surnames, given = ["Smith", "Khan", "Müller", "Brown", "Li-Wong"], ["John", "Mary", "Aisha", "Wei"]
+    for _ in range(200):
+        marked, words = set(), []
+        for _ in range(rng.randrange(1, 25)):
+            kind, s, g = rng.randrange(6), rng.choice(surnames), rng.choice(given)
+            if kind == 0:
+                marked.add(s)
+                words += ["Mr", s, ","]
+            elif kind == 1 and g in ("John", "Mary"):
+                marked |= {g, s}
+                words += [g, s, ","]
+            elif kind == 2:
+                marked |= {g, s}
+                words += ["My name is", g, s, ","]
+            else:
+                words += [rng.choice((s, g, "bread", "smith")), ","]
+        text = " ".join(words)
+        out, _ = P.rewrite(text, P.KEY, {})
+        for w, o in zip(words, re.findall(r"My name is|[^ ]+", out), strict=True):
+            assert (w != o) == (w in marked), (text, out)
+
+
+def test_mentions_in_the_query_leave_no_found_name(spark):
+    for r in Q.op3_pii(spark, SF).select("doc_id", "text").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumnRenamed("text", "before"), "doc_id").collect():
+        names = {r.before[a:b] for a, b, k in P.find(r.before or "") if k == "surname" or k.startswith("given")}
+        new = {r.text[a:b] for a, b, k in P.find(r.text or "") if k == "surname" or k.startswith("given")}
+        for n in names - new:
+            assert not re.search(rf"(?<![\w-]){re.escape(n)}(?!\w|-\w|['’][A-Z])", r.text), (r.doc_id, n)

@@ -48,7 +48,7 @@ _GIVEN = {**{n: "m" for n in MALE}, **{n: "f" for n in FEMALE}}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*[\wа-яё]"
 _ENTITY = re.compile(
     r"(?P<email>[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36}\b|\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b|(?<=password=)[^\s\"',;]{6,}|(?<=password: )[^\s\"',;]{6,}|(?<=passwd=)[^\s\"',;]{6,}|(?<=secret=)[^\s\"',;]{6,}|(?<=token=)[^\s\"',;]{6,}|(?<=api_key=)[^\s\"',;]{6,})"
+    r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36}\b|\bsk-(?:[0-9A-Za-z]+[-_])*[0-9A-Za-z]{20,}\b|\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b|(?<=password=)[^\s\"',;]{6,}|(?<=password: )[^\s\"',;]{6,}|(?<=passwd=)[^\s\"',;]{6,}|(?<=secret=)[^\s\"',;]{6,}|(?<=token=)[^\s\"',;]{6,}|(?<=api_key=)[^\s\"',;]{6,})"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -59,10 +59,20 @@ _NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES_M + TITLES_F + TITLES_N)})
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities in order, none inside another."""
+    """(start, end, kind) of the entities in order, none inside another.
+
+    A person is found by a title, by a given name of the lexicon with a surname, or by a phrase that introduces a
+    name. Every other place in the text where a part of a found name stands as a word is the same person: mentions by
+    the given name or the surname alone, before or after.
+    """
     out = [(m.start(), m.end(), m.lastgroup) for m in _ENTITY.finditer(text)] if _HINT.search(text) else []
     if _CUE.search(text):
         taken = [(a, b) for a, b, _ in out]
+        known: dict[str, str] = {}
+        for m in _INTRODUCED.finditer(text):
+            for part in ("first", "second"):
+                if m[part] and m[part] not in _TITLES:
+                    known[m[part]] = f"given_{_GIVEN[m[part]]}" if m[part] in _GIVEN else "surname"
         for m in _NAME.finditer(text):
             if m["given"]:
                 g = m["given"].rstrip()
@@ -71,14 +81,35 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 if m[part]:
                     kind = f"given_{_GIVEN[m[part]]}" if m[part] in _GIVEN else "surname"
                     out.append((m.start(part), m.end(part), kind))
-        out = [x for x in out if "given" not in x[2] and x[2] != "surname" or not any(a < x[1] and x[0] < b for a, b in taken)]
-        out.sort()
+        known |= {text[a:b]: kind for a, b, kind in out[len(taken) :]}
+        if known:
+            mention = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?!\w|-\w|['’][A-Z])")
+            out += [(m.start(), m.end(), known[m[0]]) for m in mention.finditer(text)]
+        out.sort(key=lambda x: (x[0], -x[1]))
+        # what was found first stands: an entity over a name in it, a longer name over a shorter one
+        kept: list[tuple[int, int, str]] = []
+        ends = 0
+        spans = iter(taken)
+        here = next(spans, None)
+        for a, b, kind in out:
+            while here and here[1] <= a:
+                here = next(spans, None)
+            if a < ends or (here and here[0] < b and (a, b) != here):
+                continue
+            kept.append((a, b, kind))
+            ends = b
+        return kept
     return out
 
 
+_TITLES = {*TITLES_M, *TITLES_F, *TITLES_N}
+#: Fixed phrases that introduce a name, and the one or two words of it.
+INTRODUCTIONS = ["My name is", "my name is", "I am called", "Mein Name ist", "mein Name ist", "ich heiße", "Ich heiße", "Je m'appelle", "je m'appelle", "Mi nombre es", "mi nombre es", "me llamo", "Me llamo", "Dear", "Lieber", "Liebe", "Cher", "Chère", "Querido", "Querida"]
+_INTRODUCED = re.compile(rf"\b(?:{'|'.join(INTRODUCTIONS)})[ \t]+(?P<first>{_CAP})(?:[ \t]+(?P<second>{_CAP}))?")
+
 #: A text without any of these has no entity of _ENTITY; one without a cue has no name.
-_HINT = re.compile(r"@|\d[\d. ()-]{5}|[0-9a-f]{32}|AKIA|gh[pousr]_|password|passwd|secret=|token=|api_key=|[A-Z]{2}\d{2}")
-_CUE = re.compile(rf"\b(?:{'|'.join([*TITLES_M, *TITLES_F, *TITLES_N, *_GIVEN])})\b")
+_HINT = re.compile(r"@|\d[\d. ()-]{5}|[0-9a-f]{32}|AKIA|gh[pousr]_|sk-|password|passwd|secret=|token=|api_key=|[A-Z]{2}\d{2}")
+_CUE = re.compile(rf"\b(?:{'|'.join([*TITLES_M, *TITLES_F, *TITLES_N, *_GIVEN, *INTRODUCTIONS])})\b")
 
 #: Fixed character classes; a character of none stays.
 _CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöüőűåæøœãõýÿ", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜŐŰÅÆØŒÃÕÝŸ", "çñßłńśźżćčďđěğřšşťžņ", "ÇÑŁŃŚŹŻĆČĎĐĚĞŘŠŞŤŽŅ", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩΆΈΉΊΌΎΏ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ")
@@ -181,7 +212,7 @@ def once(kind: str, entity: str, key: bytes) -> str:
             return "AKIA" + by_pattern(entity[4:], [_ALNUM] * (len(entity) - 4), key, "akia")
         if re.fullmatch(r"[0-9a-f]+", entity):
             return by_pattern(entity, [_HEX] * len(entity), key, "hex")
-        head = entity[:4] if re.match(r"gh[pousr]_", entity) else ""
+        head = re.match(r"gh[pousr]_|sk-|", entity)[0]
         return head + by_pattern(entity[len(head) :], [_CLASS_OF.get(c) for c in entity[len(head) :]], key, kind + head)
     if kind.startswith("given_"):
         names, to = (MALE, TO_MALE) if kind == "given_m" else (FEMALE, TO_FEMALE)
