@@ -6,7 +6,10 @@ Each runs within one document's group; groups are a document's songs, cards or f
 from __future__ import annotations
 
 import difflib
+from array import array
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from tracksift.session import ship
 #: Fixed values.
 FUZZY_MIN_ROWS = 10
 SECTION_RATIO = 0.8
+TITLE_RATIO, WHOLE_RATIO = 0.8, 0.9
 
 
 def fuzzy_dedup(songs: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
@@ -31,13 +35,16 @@ def fuzzy_dedup(songs: DataFrame, key: str = "doc_id", order: str = "line_no") -
         pdf = pdf.sort_values(order, kind="stable")
         if len(pdf) < FUZZY_MIN_ROWS:
             return pdf.drop(columns=["_t", "_a"])
-        kept: dict[str, list[str]] = {}
+        # titles within one edit share themselves or what is left without one letter
+        kept: dict[tuple[str, str], list[str]] = {}
         keep = []
         for t, a in zip(pdf["_t"], pdf["_a"], strict=True):
-            near = any(_within_one(t, k) for k in kept.get(a, ()))
+            keys = {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
+            near = any(_within_one(t, k) for x in keys for k in kept.get((a, x), ()))
             keep.append(not near)
             if not near:
-                kept.setdefault(a, []).append(t)
+                for x in keys:
+                    kept.setdefault((a, x), []).append(t)
         return pdf[keep].drop(columns=["_t", "_a"])
 
     ship(own.sparkSession)
@@ -59,6 +66,59 @@ def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def _pairs(text: str) -> list[tuple[str, int]]:
+    """A text's pairs of neighbouring letters, each with its number among equal ones."""
+    seen: Counter[str] = Counter()
+    out = []
+    for i in range(len(text) - 1):
+        x = text[i : i + 2]
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
+class NearTexts:
+    """Texts by number, and which of them may have a sequence ratio of `ratio` or more with another text: none that has is missed.
+
+    Texts of T letters in all with M of them matched in runs have 3M - T - 1 pairs of neighbouring letters in common at least:
+    two runs are parted by a letter of one side that isn't matched. So pairs in common are counted by an inverted index,
+    and lengths bound the ratio too; short texts go by length alone.
+    """
+
+    def __init__(self, ratio: float) -> None:
+        self.ratio = ratio
+        self.by_pair: dict[tuple[str, int], array] = {}
+        self.numbers, self.lengths = array("i"), array("i")
+
+    def add(self, number: int, text: str) -> None:
+        for x in _pairs(text):
+            self.by_pair.setdefault(x, array("i")).append(len(self.numbers))
+        self.numbers.append(number)
+        self.lengths.append(len(text))
+
+    def near(self, text: str) -> list[int]:
+        lists = [np.frombuffer(self.by_pair[x], np.int32) for x in _pairs(text) if x in self.by_pair]
+        shared = np.bincount(np.concatenate(lists) if lists else np.zeros(0, np.int32), minlength=len(self.numbers))
+        lengths = np.frombuffer(self.lengths, np.int32) if self.lengths else np.zeros(0, np.int32)
+        total = lengths + len(text)
+        may = (2 * np.minimum(lengths, len(text)) >= self.ratio * total - 1e-9) & (shared >= (1.5 * self.ratio - 1) * total - 1 - 1e-9)
+        return sorted({self.numbers[i] for i in np.flatnonzero(may)})
+
+
+def _may_reach(a: str, b: str, ratio: float) -> bool:
+    """Whether letters in common allow a sequence ratio that high."""
+    total = len(a) + len(b)
+    return 2 * min(len(a), len(b)) >= ratio * total - 1e-9 and 2 * (Counter(a) & Counter(b)).total() >= ratio * total - 1e-9
+
+
+def _same_song(kt: str, ka: str, t: str, a: str) -> bool:
+    """Equal artists and titles at 0.86, or titles at 0.95, or titles at 0.80 with artists at 0.35."""
+    if not _may_reach(kt, t, TITLE_RATIO):
+        return False
+    rt = _ratio(kt, t)
+    return (ka == a and rt >= 0.86) or rt >= 0.95 or (rt >= TITLE_RATIO and _ratio(ka, a) >= 0.35)
+
+
 def near_duplicates(songs: DataFrame, key: str = "doc_id", order: str = "line_no", full_rule: bool = True) -> DataFrame:
     """Near-equal readings of a song as one: the longest title stays, n_variants counts them.
 
@@ -68,18 +128,26 @@ def near_duplicates(songs: DataFrame, key: str = "doc_id", order: str = "line_no
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
+        fold = lambda r: ((r["title"] or "").lower(), (r["artist"] or "").lower())
+        whole = lambda t, a: f"{a} {t}"
+        rows = pdf.to_dict("records")
+        folded = [fold(r) for r in rows]
+        titles, wholes = NearTexts(TITLE_RATIO), NearTexts(WHOLE_RATIO)
         kept: list[dict] = []
-        for r in pdf.to_dict("records"):
-            t, a = (r["title"] or "").lower(), (r["artist"] or "").lower()
-            for k in kept:
-                kt, ka = (k["title"] or "").lower(), (k["artist"] or "").lower()
-                rt, ra = _ratio(kt, t), _ratio(ka, a)
-                if (ka == a and rt >= 0.86) or rt >= 0.95 or (rt >= 0.8 and ra >= 0.35) or (full_rule and _ratio(f"{ka} {kt}", f"{a} {t}") >= 0.9):
+        for r, (t, a) in zip(rows, folded, strict=True):
+            for i in sorted({*titles.near(t), *(wholes.near(whole(t, a)) if full_rule else ())}):
+                k = kept[i]
+                kt, ka = fold(k)
+                if _same_song(kt, ka, t, a) or (full_rule and _may_reach(whole(kt, ka), whole(t, a), WHOLE_RATIO) and _ratio(whole(kt, ka), whole(t, a)) >= WHOLE_RATIO):
                     k["n_variants"] += 1
                     if len(r["title"] or "") > len(k["title"] or ""):
                         k["title"] = r["title"]
+                        titles.add(i, t)
+                        wholes.add(i, whole(t, ka))
                     break
             else:
+                titles.add(len(kept), t)
+                wholes.add(len(kept), whole(t, a))
                 kept.append(r | {"n_variants": 1})
         return pd.DataFrame(kept, columns=[*pdf.columns, "n_variants"])
 
@@ -217,21 +285,27 @@ def merge_audio_hits(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [r | {"title": (r["title"] or "").strip(), "artist": (r["artist"] or "").strip()} for r in pdf.sort_values("segment_index", kind="stable").to_dict("records")]
+        titles = NearTexts(TITLE_RATIO)
         kept: list[dict] = []
-        for r in pdf.sort_values("segment_index", kind="stable").to_dict("records"):
-            t, a = (r["title"] or "").strip(), (r["artist"] or "").strip()
+        for r in rows:
+            t, a = r["title"], r["artist"]
             if not t:
                 continue
-            for k in kept:
-                rt, ra = _ratio(t.lower(), k["title"].lower()), _ratio(a.lower(), k["artist"].lower())
-                if (a.lower() == k["artist"].lower() and rt >= 0.86) or rt >= 0.95 or (rt >= 0.8 and ra >= 0.35):
+            for i in titles.near(t.lower()):
+                k = kept[i]
+                if _same_song(t.lower(), a.lower(), k["title"].lower(), k["artist"].lower()):
                     if r["score"] > k["max_score"]:
                         k.update(title=t, artist=a, max_score=r["score"])
+                        titles.add(i, t.lower())
                     if r["segment_index"] not in k["segments"]:
-                        k["segments"].append(r["segment_index"])
+                        k["segments"][r["segment_index"]] = None
                     break
             else:
-                kept.append({key: r[key], "title": t, "artist": a, "max_score": r["score"], "segments": [r["segment_index"]]})
+                titles.add(len(kept), t.lower())
+                kept.append({key: r[key], "title": t, "artist": a, "max_score": r["score"], "segments": {r["segment_index"]: None}})
+        for k in kept:
+            k["segments"] = list(k["segments"])
         out = pd.DataFrame(kept, columns=[key, "title", "artist", "max_score", "segments"])
         out["n"] = out["segments"].map(len).astype("int64") if len(out) else pd.Series(dtype="int64")
         return out
