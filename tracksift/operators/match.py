@@ -256,14 +256,14 @@ def adjusted(rows: DataFrame) -> DataFrame:
 
 
 def reason(rows: DataFrame) -> DataFrame:
-    """rows with reason: the first thing that speaks against a candidate, or matched."""
-    rows = with_romanised(rows)
+    """rows with reason: the first thing that speaks against a candidate, or matched. evidence_gate() finds romanised artists; without it none is known."""
+    like = F.col("romanised") if "romanised" in rows.columns else F.lit(False)
     t, a, given, s = F.col("title_score"), F.col("artist_score"), F.col("artist").isNotNull(), F.col("evidence_score")
     why = (
         F.when(F.col("status") == R.INVALID, "invalid_candidate").when(F.col("suspicious") > 0, "version_candidate").when(F.col("non_original"), "non_original_audio")
         .when(given & (a >= 0.85) & (t < 0.55), "artist_only_overconfidence").when(given & (t >= 0.85) & (a < MIN_ARTIST), "title_only_overconfidence").when(F.col("short_title"), "short_title_false_positive")
         .when(F.col("acceptable_version"), "version_candidate").when(s >= 0.82, "matched").when(given & (t >= 0.95) & (a < MIN_ARTIST), "title_matched_artist_alias_candidate")
-        .when(given & (a >= 0.95) & (t < MIN_TITLE), "artist_matched_title_mismatch").when(given & (F.col("api_rank") == 1) & (t < MISMATCH_TITLE) & F.col("romanised") & ~((a >= MISMATCH_ARTIST) | F.col("artist_alias")), "top_candidate_artist_romanization_title_mismatch")
+        .when(given & (a >= 0.95) & (t < MIN_TITLE), "artist_matched_title_mismatch").when(given & (F.col("api_rank") == 1) & (t < MISMATCH_TITLE) & like & ~((a >= MISMATCH_ARTIST) | F.col("artist_alias")), "top_candidate_artist_romanization_title_mismatch")
         .when((t < 0.4) & (~given | (a < 0.4)), "weak_title_and_artist").when(t < MIN_TITLE, "title_mismatch")
         .when(given & (a < MIN_ARTIST), "artist_mismatch").when(s >= REVIEW_SCORE, "partial_match_needs_review").otherwise("low_score")
     )
