@@ -15,6 +15,7 @@ from tracksift.functions import lexicon as L
 from tracksift.functions import text as X
 from tracksift.operators import resolve as R
 from tracksift.operators import retrieve
+from tracksift.session import cut
 
 #: Thresholds of the matching rules.
 EARLY_STOP, MIN_ARTIST, MIN_TITLE, REVIEW_SCORE = 0.85, 0.45, 0.45, 0.55
@@ -320,13 +321,15 @@ def searched(songs: DataFrame, catalog: DataFrame, groups: DataFrame | None = No
     The first query asks for title and artist by field, so its candidates share something of both; the free query asks for
     either. A song without an artist has the free query only.
     """
-    free = R.candidates(songs, catalog, groups=groups)
-    fielded = R.candidates(songs, catalog, groups=groups, fields=retrieve.BOTH)
-    ranks = lambda f, mode: f.select("song_id", "track_id", "api_rank", F.lit(mode).alias("mode"))
+    s, c = R.named(songs, catalog, groups)
+    postings = cut(retrieve.index(c, R.LIMIT), "postings")  # both queries read it
+    found = lambda fields, mode: retrieve.top(s, postings, R.LIMIT, fields).select("song_id", "track_id", "block_score", "api_rank", F.lit(mode).alias("mode"))
+    ranks = cut(found(retrieve.ANY, "query").unionByName(found(retrieve.BOTH, "track_artist")), "ranks")
     # a pair that both find is scored once
-    found = R.scored(free.unionByName(fielded).dropDuplicates(["song_id", "track_id"])).drop("api_rank")
+    pairs = ranks.groupBy("song_id", "track_id").agg(F.max("block_score").alias("block_score"))
+    scored = R.scored(pairs.join(s, "song_id").join(c, "track_id"))
     each = cases(songs).select("song_id", "query_no", "mode", "query")
-    rows = ranks(free, "query").unionByName(ranks(fielded, "track_artist")).join(each, ["song_id", "mode"]).join(found, ["song_id", "track_id"])
+    rows = ranks.drop("block_score").join(each, ["song_id", "mode"]).join(scored, ["song_id", "track_id"])
     t, a = F.col("title"), F.col("artist")
     return rows.withColumns({"reliability": reliability(F.col("query"), t, a, F.col("query_no") == 0), "query_has_both": query_has_both(F.col("query"), t, a)})
 

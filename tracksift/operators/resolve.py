@@ -36,13 +36,17 @@ def candidates(songs: DataFrame, catalog: DataFrame, limit: int = LIMIT, groups:
     groups (match.alias_groups) lets an artist's other names find tracks. fields: which of title and artist a track must
     match. Lists and hits carry ids only; names and tokens join back on the few that stay.
     """
-    s, c = _normal(songs, "title", "artist", "s"), _normal(catalog, "name", "artist_name", "c")
-    if groups is not None:
-        s = with_group_keys(s, groups)
+    s, c = named(songs, catalog, groups)
     ranks = retrieve.top(s, retrieve.index(c, limit), limit, fields).drop("popularity")
     return ranks.join(s, "song_id").join(c, "track_id")
 
 
+def named(songs: DataFrame, catalog: DataFrame, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Songs and tracks with the normal forms that searching and scoring need."""
+    s, c = _normal(songs, "title", "artist", "s"), _normal(catalog, "name", "artist_name", "c")
+    return (s if groups is None else with_group_keys(s, groups)), c
+
+
 def paired(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Rows that name a song (song_id, title, artist) and a candidate (name, artist_name), ready for scored()."""
     own = _normal(_normal(rows, "title", "artist", "s"), "name", "artist_name", "c")
