@@ -8,9 +8,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracksift.plans import branches, flows, more, oracle, queries
+from tracksift.plans import branches, details, flows, more, oracle, queries
 
-QUERIES, ORACLES = queries.queries() | more.queries() | flows.queries() | branches.queries(), oracle.oracle_sql() | more.SQL | flows.SQL | branches.SQL
+QUERIES, ORACLES = queries.queries() | more.queries() | flows.queries() | branches.queries() | details.queries(), oracle.oracle_sql() | more.SQL | flows.SQL | branches.SQL | details.SQL
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -51,6 +51,13 @@ KNOWN_GROUPS = ["shinee", "bigbang", "2ne1", "girls generation", "girls' generat
 NOISE_WORDS = ["official", "audio", "video", "lyrics", "lyric", "mv", "ost", "remix", "version", "ver", "remaster", "remastered", "prod", "produced"]
 SUSPICIOUS_WORDS = ["karaoke", "cover", "tribute", "inst", "instrumental", "mr", "live", "concert", "remix", "sped up", "slowed", "8d", "nightcore"]
 
+# Fixed values. Words of a version that isn't taken for the song unless the song names one too; words of noise in a frame.
+BLOCKING_WORDS = ["cover", "cover ver", "remix", "live", "instrumental", "inst", "karaoke", "acoustic", "piano", "piano version"]
+FRAME_NOISE = ["subscribe", "youtube", "instagram", "comment", "playlist", "tracklist", "official", "cover", "lyrics"]
+
+# Fixed values. Headers of a list of music cards.
+MUSIC_HEADERS = ["곡", "song", "songs", "music", "음악", "노래", "트랙", "track", "tracks"]
+
 # Fixed values. Pronouns after "with" that belong to a title.
 WITH_PRONOUNS = ["me", "you", "us", "him", "her", "them", "it", "myself", "yourself"]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracksift.functions import lexicon as L
@@ -20,6 +20,13 @@ def _alias_keys() -> list[str]:
     return sorted({"".join(ch for ch in n.lower() if ch.isalnum()) for n in names})
 
 
+def known_artists(spark: SparkSession, aliases: DataFrame | None = None) -> DataFrame:
+    """alias_key of every artist that is known: the seed list, and a table of aliases (alias_key) where there is one."""
+    groups = ["".join(ch for ch in g if ch.isalnum()) for g in L.KNOWN_GROUPS]
+    seed = spark.createDataFrame([(k,) for k in sorted({*_alias_keys(), *groups})], "alias_key string")
+    return seed if aliases is None else seed.union(aliases.select("alias_key")).distinct()
+
+
 def _sum(*terms: tuple[Column, float]) -> Column:
     out = F.lit(0.0)
     for cond, weight in terms:
@@ -73,19 +80,24 @@ def _features(raw: Column, f: dict[str, Column], level: int) -> dict[str, Column
     return {"known": known, "title_phrase": title_phrase, "short_title": short, "artist_like": F.round(artist, 3), "title_like": F.round(title, 3), "title_evidence": evidence}
 
 
-def with_votes(rows: DataFrame, left: str = "left", right: str = "right", into: str = "vote") -> DataFrame:
-    """rows with the vote of each pair: artist_title, title_artist or unknown; null where a side is null.
-
-    Likeness and evidence of both sides are columns, each computed once, in levels.
-    """
-    sides = {"_l": left, "_r": right}
+def with_features(rows: DataFrame, sides: dict[str, str], levels: int = 3) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
+    """rows with the features of columns up to a level, and those features by side; sides name a prefix and a column each."""
     have: dict[str, dict[str, Column]] = {k: {} for k in sides}
     own = rows
-    for level in range(_LEVELS + 1):
+    for level in range(levels + 1):
         new = {(k, n): c for k, raw in sides.items() for n, c in _features(F.col(raw), have[k], level).items()}
         own = own.withColumns({f"{k}_{n}": c for (k, n), c in new.items()})
         for k, n in new:
             have[k][n] = F.col(f"{k}_{n}")
+    return own, have
+
+
+def with_votes(rows: DataFrame, left: str = "left", right: str = "right", into: str = "vote") -> DataFrame:
+    """rows with the vote of each pair: artist_title, title_artist or unknown; null where a side is null.
+
+    Likeness and evidence of both sides are columns, each computed once, in levels.
+    """
+    own, have = with_features(rows, {"_l": left, "_r": right}, _LEVELS)
     a, b, raw_a, raw_b = have["_l"], have["_r"], F.col(left), F.col(right)
     signal = b["known"] | b["connector"]
     one = b["name_phrase"] & (b["words"] == 1) & ~b["connector"] & (a["title_evidence"] >= 1.2)

@@ -211,7 +211,7 @@ def _holds(words: list[str], text: Column) -> Column:
 
 def version_tags(rows: DataFrame) -> DataFrame:
     """rows with acceptable_version, non_original, hard_non_original: what kind of recording the candidate names."""
-    text = F.concat_ws(" ", "c_title", "c_artist")
+    text = F.concat_ws(" ", "c_title", *(["c_album"] if "c_album" in rows.columns else []), "c_artist")
     raw = F.concat_ws(" ", "name", "artist_name")
     return rows.withColumns({
         "acceptable_version": _holds(ACCEPTABLE_WORDS, text) | (R.penalties()[1] > 0), "non_original": _holds(NON_ORIGINAL_WORDS, text) | raw.rlike(NON_ORIGINAL_PHRASES),
@@ -359,13 +359,19 @@ def match_batch(songs: DataFrame, catalog: DataFrame, aliases: DataFrame | None
 
     Songs with one match key are matched once (the one with the least id) and share the result. A song that isn't one
     (no title, or the artist's name as title) is suspicious and isn't searched for. audio_ids (song_id, track_id)
-    raise the recognised track. aliases: canonical, alias.
+    raise the recognised track. aliases: canonical, alias. Where the catalogue has albums, they count as metadata.with_detail() says.
     """
     own = songs.withColumn("_key", match_key(F.col("title"), F.col("artist"))).withColumn("suspicious_song", suspicious_song(F.col("title"), F.col("artist")))
     firsts = own.where("not suspicious_song").groupBy("_key").agg(F.min("song_id").alias("_first"))
     asked = own.join(firsts, (own["_key"] == firsts["_key"]) & (own["song_id"] == firsts["_first"])).select("song_id", "title", "artist")
     groups = alias_groups(aliases) if aliases is not None else None
-    rows = R.with_evidence(signal(evidence_gate(searched(asked, catalog, groups))))
+    rows = signal(evidence_gate(searched(asked, catalog, groups)))
+    if "album" in catalog.columns:
+        from tracksift.operators import metadata  # it builds on this module
+
+        rows = metadata.with_detail(rows)
+    else:
+        rows = R.with_evidence(rows)
     if audio_ids is not None:
         rows = R.with_audio_id(rows, audio_ids)
     best = choose(final_status(search_tiers(rows)))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksift.functions import lexicon as L
 from tracksift.functions import text as X
 
 #: Segments of ten seconds, interval bounds, least score of a hit.
 SEGMENTS, INTERVAL, HIT_SCORE = 30, (30, 180), 60
 BLANK_SIGMA = 12
 DELIMITER = r"\s[-–—|/:~]\s"
+STANDALONE = rf"^\s*{X.TIME}\s*$"
 
 
 def audio_plan(media: DataFrame, key: str = "doc_id", duration: str = "duration_s") -> DataFrame:
@@ -40,9 +42,9 @@ def frame_plan(media: DataFrame, every: int = 40, key: str = "doc_id", duration:
 
 
 def broken(c: Column) -> Column:
-    """Less than 45 % letters and digits."""
+    """Less than two characters, or less than 45 % letters and digits."""
     t = F.regexp_replace(c, r"\s", "")
-    return (F.length(t) == 0) | (F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")) / F.greatest(F.length(t), F.lit(1)) < 0.45)
+    return (F.length(t) < 2) | (F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")) / F.greatest(F.length(t), F.lit(1)) < 0.45)
 
 
 def song_line(c: Column) -> Column:
@@ -60,14 +62,32 @@ def song_runs(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def frame_scores(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """score of each frame: 5 a time, 3 a delimiter, 4 a song line, 3 density, 4 consistency (over its song lines)."""
-    timed, pair, hit = F.col("line").rlike(rf"^\s*{X.TIME}\s+"), F.col("line").rlike(DELIMITER), song_line(F.col("line"))
-    own = lines.select(key, timed.alias("timed"), pair.alias("pair"), hit.alias("hit")).groupBy(key).agg(
-        F.count_if(F.col("hit") & F.col("timed")).alias("ts"), F.count_if(F.col("hit") & F.col("pair")).alias("delims"), F.count_if("hit").alias("songs"), F.count("*").alias("n")
+    """score of each frame: 5 a time, 3 a delimiter and 4 a line of its song lines, 3 density, 4 consistency, less 1 for words of an overlay.
+
+    The song lines that count are the longest run of them, the first on ties; if no two stand together, all. Density is the
+    share of all song lines in n lines; blank lines and times that stand alone don't count. Columns: ts, delims, songs (those
+    that count), n, consistency, overlay, score. One exchange, on the key.
+    """
+    own = lines.where((F.trim("line") != "") & ~F.col("line").rlike(STANDALONE))
+    words = F.lower("line").rlike(X.any_of(L.FRAME_NOISE))
+    own = own.select(key, "line_no", F.col("line").rlike(rf"^\s*{X.TIME}\s+").alias("timed"), F.col("line").rlike(DELIMITER).alias("pair"), song_line(F.col("line")).alias("hit"), words.alias("noise"))
+    own = own.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("line_no")))
+    own = own.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(key, "hit").orderBy("line_no")))
+    runs = own.groupBy(key, "hit", F.when(F.col("hit"), F.col("run")).alias("run")).agg(
+        F.count("*").alias("n"), F.count_if("timed").alias("ts"), F.count_if("pair").alias("delims"), F.min("at").alias("start"), F.bool_or("noise").alias("noise")
+    )
+    of_hits = lambda c: F.sum(F.when(F.col("hit"), F.col(c)).otherwise(0))
+    longest = F.max(F.when(F.col("hit"), F.struct(F.col("n").alias("songs"), (-F.col("start")).alias("at"), "ts", "delims")))
+    out = runs.groupBy(key).agg(longest.alias("b"), of_hits("n").alias("hits"), of_hits("ts").alias("all_ts"), of_hits("delims").alias("all_delims"), F.sum("n").alias("n"), F.bool_or("noise").alias("noise"))
+    run = F.coalesce(F.col("b.songs") >= 2, F.lit(False))
+    out = out.select(
+        key, F.when(run, F.col("b.ts")).otherwise(F.col("all_ts")).alias("ts"), F.when(run, F.col("b.delims")).otherwise(F.col("all_delims")).alias("delims"),
+        F.when(run, F.col("b.songs")).otherwise(F.col("hits")).alias("songs"), "hits", "n", F.when(F.col("noise"), 1.0).otherwise(0.0).alias("overlay"),
     )
     even = F.when(F.col("songs") > 0, F.round(0.45 * F.col("ts") / F.col("songs") + 0.55 * F.col("delims") / F.col("songs"), 4)).otherwise(0.0)
-    own = own.withColumn("consistency", even)
-    return own.withColumn("score", F.round(5.0 * F.col("ts") + 3.0 * F.col("delims") + 4.0 * F.col("songs") + 3.0 * F.col("songs") / F.col("n") + 4.0 * even, 4))
+    out = out.withColumn("consistency", even)
+    total = 5.0 * F.col("ts") + 3.0 * F.col("delims") + 4.0 * F.col("songs") + 3.0 * F.col("hits") / F.col("n") + 4.0 * F.col("consistency") - F.col("overlay")
+    return out.withColumn("score", F.round(total, 4)).drop("hits")
 
 
 def distinct_lines(frames: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,6 +9,8 @@ from tracksift.functions import text as X
 
 #: Gates of automatic and low-confidence adding, tracks a request.
 AUTO_GATE, LOW_GATE, CHUNK = 0.85, 0.6, 100
+#: Fixed value: tracks that one request fetches.
+FETCH = 50
 #: The name of a playlist without one, and the error of one without tracks.
 DEFAULT_NAME, NO_TRACKS = "YouTube Playlist", "선택된 곡이 없습니다."
 
@@ -55,6 +57,17 @@ def enriched(matches: DataFrame, tracks: DataFrame) -> DataFrame:
     return matches.join(t, "track_id", "left").withColumn("display_title", F.coalesce("_n", "title")).withColumn("display_artist", F.coalesce("_a", "artist")).drop("_n", "_a")
 
 
+def fetched(requests: DataFrame, tracks: DataFrame, size: int = FETCH) -> DataFrame:
+    """Each requested track (request_id, position, track_id) at its place in the request, with the chunk of `size` that asks for it.
+
+    place counts from 0 in the order of positions; ids that name no track keep their place, with nulls and found false.
+    Repeated ids are answered each time. tracks have one row a track_id.
+    """
+    w = Window.partitionBy("request_id").orderBy("position", "track_id")
+    own = requests.withColumn("place", F.row_number().over(w) - 1).withColumn("chunk", F.floor(F.col("place") / size).cast("int"))
+    return own.join(tracks.withColumn("_found", F.lit(True)), "track_id", "left").withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
+
+
 def header(name, description):
     """Name and description in the lengths that a playlist may have."""
     return F.substring(name, 1, 100).alias("name"), F.substring(description, 1, 300).alias("description")

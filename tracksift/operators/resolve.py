@@ -136,26 +136,32 @@ def tags() -> Column:
     return F.array_join(F.filter(out, lambda x: x.isNotNull()), ",")
 
 
-def with_evidence(rows: DataFrame) -> DataFrame:
-    """pattern, status and evidence_score: the first row of the ordered table that holds.
+#: Patterns whose score has a floor.
+SURE = ["EXACT_MATCH", "ARTIST_ALIAS_TITLE_MATCH", "TRANSLATED_TITLE_ARTIST_STRONG"]
+
+
+def pattern_of(version: Column, reliable: Column | None = None, high: Column | None = None) -> Column:
+    """A struct of pattern, status and value (before penalties): the first row of the ordered table that holds.
 
-    Needs scored()'s columns and has_image.
+    version: whether the candidate is another version. reliable, high: whether the query names title and artist and is to be
+    trusted for a differing title, or for anything; every query is, where they aren't given. Needs scored()'s columns and has_image.
     """
     t, a, rank = F.col("title_score"), F.col("artist_score"), F.col("api_rank")
     alias = F.coalesce("artist_alias", F.lit(False))
+    reliable, high = (F.lit(True) if c is None else c for c in (reliable, high))
     image, both = F.coalesce("has_image", F.lit(False)), F.col("artist").isNotNull() & F.col("title").isNotNull()
     hangul_to_latin = X.has_hangul(F.concat_ws(" ", "title", "artist")) & ~X.has_hangul(F.concat_ws(" ", "name", "artist_name"))
     official = (rank == 1) & both & hangul_to_latin & image
     strong = (a >= 0.8) | alias | official
     clamp = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     table = [
-        (F.col("suspicious") > 0, "VERSION_REVIEW", REVIEW, clamp(0.35 * t + 0.25 * a, 0.5, 0.64)),
+        (version, "VERSION_REVIEW", REVIEW, clamp(0.35 * t + 0.25 * a, 0.5, 0.64)),
         ((t >= 0.85) & (a >= 0.7), "EXACT_MATCH", MATCHED, clamp(0.85 + 0.08 * t + 0.07 * a, 0.85, 1.0)),
         (alias & (t >= 0.75), "ARTIST_ALIAS_TITLE_MATCH", MATCHED, clamp(0.82 + 0.10 * t, 0.85, 1.0)),
-        (strong & (t < 0.75) & (rank == 1) & both & official & (alias | (a >= 0.7)), "TRANSLATED_TITLE_ARTIST_STRONG", MATCHED, F.lit(0.86)),
-        (strong & (t < 0.75) & (rank == 1) & both, "ARTIST_STRONG_TITLE_WEAK", REVIEW, F.lit(0.66)),
-        ((rank == 1) & both & image & official & ((a >= 0.3) | alias), "SEARCH_ENGINE_CONFIDENT", MATCHED, F.lit(0.85)),
-        ((rank == 1) & both & image, "SEARCH_ENGINE_CONFIDENT", REVIEW, F.lit(0.62)),
+        (strong & (t < 0.75) & (rank == 1) & both & reliable & high & official & (alias | (a >= 0.7)), "TRANSLATED_TITLE_ARTIST_STRONG", MATCHED, F.lit(0.86)),
+        (strong & (t < 0.75) & (rank == 1) & both & reliable, "ARTIST_STRONG_TITLE_WEAK", REVIEW, F.lit(0.66)),
+        ((rank == 1) & both & high & image & official & ((a >= 0.3) | alias), "SEARCH_ENGINE_CONFIDENT", MATCHED, F.lit(0.85)),
+        ((rank == 1) & both & high & image, "SEARCH_ENGINE_CONFIDENT", REVIEW, F.lit(0.62)),
         ((t >= 0.8) & (a < 0.3) & ~alias, "TITLE_ONLY_MATCH", REVIEW, F.lit(0.5)),
         (strong & (t < 0.3) & (rank >= 2), "ARTIST_ONLY_MATCH", LOW, F.when(image, 0.52).otherwise(0.45)),
         ((t < 0.2) & (a < 0.2) & ~alias & (rank >= 2), "INVALID", INVALID, F.lit(0.0)),
@@ -166,8 +172,13 @@ def with_evidence(rows: DataFrame) -> DataFrame:
     for cond, name, status, value in reversed(table):
         row = F.struct(F.lit(name).alias("pattern"), F.lit(status).alias("status"), value.cast("double").alias("value"))
         out = row if out is None else F.when(cond, row).otherwise(out)
-    own = rows.withColumn("_e", out)
-    keeps = F.col("_e.pattern").isin("EXACT_MATCH", "ARTIST_ALIAS_TITLE_MATCH", "TRANSLATED_TITLE_ARTIST_STRONG")
+    return out
+
+
+def with_evidence(rows: DataFrame) -> DataFrame:
+    """pattern, status and evidence_score by pattern_of(), less what a version costs."""
+    own = rows.withColumn("_e", pattern_of(F.col("suspicious") > 0))
+    keeps = F.col("_e.pattern").isin(SURE)
     penalty = F.when(F.col("suspicious") > 0, 0.25).otherwise(0.0)
     value = F.when(F.col("_e.pattern") == "INVALID", 0.0).when(keeps, F.greatest(F.col("_e.value") - penalty, F.lit(0.85))).otherwise(F.greatest(F.col("_e.value") - penalty, F.lit(0.0)))
     return own.select(*rows.columns, F.col("_e.pattern").alias("pattern"), F.col("_e.status").alias("status"), F.round(value, 4).alias("evidence_score"))

@@ -29,8 +29,77 @@ def pair_parts(body: Column) -> Column:
     return F.struct(left.alias("left"), right.alias("right"), sep.alias("separator"))
 
 
-def parsed(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Valid lines with their time, track number, sides and vote; the rest is dropped.
+def _angle(text: Column) -> tuple[Column, Column]:
+    """What stands before and within the angle of "artist <title>"."""
+    at = F.position(F.lit(" <"), text)
+    inner = F.regexp_replace(F.trim(F.substr(text, at + 2)), r"[>\s]+$", "")
+    return F.trim(F.left(text, at - 1)), inner
+
+
+def resplit(rows: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pairs (key, line_no, body, left, right, separator) parted again where their sides hold more than one name each.
+
+    - "before - artist <title>", and "artist <title>" without a separator: the artist and the title of the angle count, if
+      the one looks like an artist's name (without a separator, a Hangul name with another spelling in brackets will do).
+    - "before - artist title" (a compilation's line): where the left side is a known artist, up to four first words of the
+      right one are the artist, the most that are known, or several in capitals before a title that can be nothing else. So
+      "A - KING KONG" stays.
+    - "artist - title _ note": a note of two words at most that looks like an artist and not like a title goes.
+
+    known: alias_key, from direction.known_artists(). Only lines that may be such are exploded, into five rows at most, and
+    only they are shuffled; what they give comes back by key and line.
+    """
+    own, row = rows, [key, "line_no"]
+    right = F.col("right")
+    cand = own.select(*row, "left", "right", "separator", "body").withColumns({
+        "in_right": F.coalesce(F.contains(right, F.lit(" <")), F.lit(False)),
+        "in_body": F.col("separator").isNull() & F.contains("body", F.lit(" <")),
+        "left_key": X.artist_key(X.clean_text(F.col("left"))),
+        "noted": F.coalesce((F.col("separator") != " _ ") & F.contains(right, F.lit(" _ ")), F.lit(False)),
+    })
+    masked = F.when(right.rlike(r"[(\[{]"), X.mask_brackets(right)).otherwise(right)
+    angle = F.when(F.col("in_right"), right).when(F.col("in_body"), F.col("body"))
+    in_angle = cand.where("in_right or in_body").select(*row, "in_body", *[c.alias(n) for n, c in zip(("artist", "title"), _angle(angle), strict=True)], F.lit(9).alias("end"))
+    # a line's words are taken from the text before the note, as the note goes in any case
+    words = cand.where("not in_right and separator is not null").join(known.withColumnRenamed("alias_key", "left_key"), "left_key", "left_semi")
+    words = words.withColumn("tokens", F.filter(F.split(masked, r"\s+"), lambda w: w != "")).where(F.size("tokens") >= 2)
+    words = words.withColumn("end", F.explode(F.sequence(F.lit(1), F.least(F.size("tokens") - 1, F.lit(4)))))
+    text = lambda c: F.when(right.rlike(r"[(\[{]"), X.unmask_brackets(c, right)).otherwise(c)
+    words = words.select(
+        *row, F.lit(False).alias("in_body"), text(F.array_join(F.slice("tokens", 1, F.col("end")), " ")).alias("artist"),
+        text(F.array_join(F.slice("tokens", F.col("end") + 1, F.size("tokens")), " ")).alias("title"), "end",
+    )
+    notes = F.regexp_extract("right", r"^.*? _ (.*)$", 1)
+    note = cand.where("noted").select(*row, F.lit(False).alias("in_body"), notes.alias("artist"), notes.alias("title"), F.lit(0).alias("end"))
+    every, f = D.with_features(in_angle.unionByName(words).unionByName(note), {"_a": "artist", "_t": "title"})
+    every = every.withColumn("alias_key", X.artist_key(F.col("_a_clean"))).join(known.withColumn("_known", F.lit(True)), "alias_key", "left")
+    a, t, is_known = f["_a"], f["_t"], F.coalesce("_known", F.lit(False))
+    capitals = (a["words"] >= 2) & F.forall(F.slice(F.split(a["clean"], r"\s+"), 1, 2), lambda w: w.rlike("^[A-Z0-9]+$"))
+    sure_title = t["clean"].rlike(r"^[가-힣一-鿿\x{3040}-\x{30FF}]") | (t["words"] >= 2)
+    bare = F.regexp_replace(F.regexp_replace("artist", r"\s*\([^)]*\)\s*", ""), " ", "")
+    hangul = F.col("in_body") & bare.rlike("^[가-힣]{2,15}$")
+    looks = a["artist_shape"] | is_known
+    good = (
+        F.when(F.col("end") == 0, (a["words"] <= 2) & looks & ~t["title_shape"])
+        .when(F.col("end") == 9, (F.trim("artist") != "") & (F.trim("title") != "") & (looks | hangul))
+        .otherwise((is_known | (capitals & sure_title)) & looks & F.col("artist").rlike("^[A-Za-z]") & t["title_shape"])
+    )
+    kept = every.where(good).select(*row, "end", "artist", "title")
+    # the note's end is 0, so it never beats a name
+    best = F.max(F.when(F.col("end") > 0, F.struct("end", "artist", "title")))
+    hits = kept.groupBy(*row).agg(best.alias("_b"), F.bool_or(F.col("end") == 0).alias("_noted"))
+    joined = own.join(hits, row, "left")
+    new_right = F.coalesce("_b.title", "right")
+    new_right = F.when(F.col("_noted"), F.regexp_replace(new_right, r" _ .*$", "")).otherwise(new_right)
+    joined = joined.withColumns({
+        "left": F.coalesce("_b.artist", "left"), "right": new_right,
+        "separator": F.coalesce("separator", F.when(F.col("_b").isNotNull(), F.lit(" <"))),
+    })
+    return joined.select(*rows.columns)
+
+
+def parsed(lines: DataFrame, key: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
+    """Valid lines with their time, track number, sides and vote; the rest is dropped. known (alias_key) lets resplit() part sides again.
 
     A line that ends in an ellipsis is dropped. Where a document has three timed pairs or more, lines
     without time or number go.
@@ -40,6 +109,8 @@ def parsed(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     body = X.strip_timestamps(F.regexp_replace("line", X.LEAD_TIME, ""))
     own = own.withColumn("track_prefix", X.track_prefix(body)).withColumn("body", X.without_track_prefix(body))
     own = own.withColumn("parts", pair_parts(F.col("body"))).select("*", "parts.*").drop("parts")
+    if known is not None:
+        own = resplit(own, known, key)
     timed = F.sum(F.when(F.col("timestamp").isNotNull() & F.col("separator").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(key))
     own = own.withColumn("timed_pairs", timed).where((F.col("timed_pairs") < 3) | F.col("timestamp").isNotNull() | F.col("track_prefix").isNotNull())
     return D.with_votes(own)

@@ -161,8 +161,10 @@ SELECT doc_id, count(DISTINCT s) AS frames, CAST(sum(s) AS BIGINT) AS total FROM
     "audio_recognition": """WITH h AS (SELECT user_id AS doc_id, count(*) AS segments, count(*) FILTER (WHERE event_id % 101 > 60) AS recognised FROM events GROUP BY 1), r AS (SELECT *, round(recognised / segments::DOUBLE, 4) AS rate FROM h)
 SELECT *, CASE WHEN rate = 0 THEN 'not_in_db' WHEN rate < 0.35 THEN 'transition' ELSE '' END AS reason FROM r""",
     "audio_merge": "SELECT user_id AS doc_id, event_type AS title, 'x' AS artist, count(*) AS n, max(event_id % 101) AS max_score, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS segments FROM events WHERE event_id % 101 > 60 GROUP BY 1, 2",
-    "ocr_frame_scores": f"""WITH {TL}, f AS (SELECT doc_id, count(*) FILTER (WHERE line_no <> 50 AND ts IS NOT NULL) AS ts, count(*) FILTER (WHERE line_no <> 50) AS delims, count(*) FILTER (WHERE line_no <> 50) AS songs, count(*) AS n FROM tl GROUP BY doc_id),
-e AS (SELECT *, CASE WHEN songs > 0 THEN round(0.45 * ts / songs::DOUBLE + 0.55 * delims / songs::DOUBLE, 4) ELSE 0.0 END AS consistency FROM f) SELECT *, round(5.0 * ts + 3.0 * delims + 4.0 * songs + 3.0 * songs / n::DOUBLE + 4.0 * consistency, 4) AS score FROM e""",
+    "ocr_frame_scores": f"""WITH {TL}, h AS (SELECT doc_id, line_no, ts, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM tl WHERE line_no <> 50),
+g AS (SELECT doc_id, count(*) AS songs, count(ts) AS ts, min(line_no) AS start FROM h GROUP BY doc_id, run), b AS (SELECT doc_id, ts, songs AS delims, songs FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY songs DESC, start) = 1),
+e AS (SELECT b.*, n, hits, round(0.45 * ts / songs::DOUBLE + 0.55 * delims / songs::DOUBLE, 4) AS consistency FROM b JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE line_no <> 50) AS hits FROM tl GROUP BY doc_id) USING (doc_id))
+SELECT doc_id, ts, delims, songs, n, consistency, round(5.0 * ts + 3.0 * delims + 4.0 * songs + 3.0 * hits / n::DOUBLE + 4.0 * consistency, 4) AS score FROM e""",
     "best_song_run": f"""WITH {TL}, h AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM tl WHERE line_no <> 50), g AS (SELECT doc_id, run, count(*) AS n_lines, min(line_no) AS start FROM h GROUP BY 1, 2)
 SELECT doc_id, start, n_lines FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_lines DESC, start) = 1""",
     "rating_stats": f"""WITH {RATINGS}, l AS (SELECT max(created_at) AS last FROM ratings) SELECT count(*) AS n, round(avg(score), 2) AS average, round(avg(score) FILTER (WHERE created_at >= last - INTERVAL 7 DAY), 2) AS recent_average, round(avg(CASE WHEN trim(comment) <> '' THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS comment_rate,
