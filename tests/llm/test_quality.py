@@ -148,6 +148,22 @@ def test_lots_meet_their_answers(spark, monkeypatch):
     check(rows, texts)
 
 
+def test_a_lot_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    n, vocab = 1_000_000, np.arange(1, 200_001, dtype=np.uint64)
+    x, inner = rng.integers(0, len(vocab), n).astype(np.uint32), np.ones(n, bool)
+    tracemalloc.start()
+    lot = K.lot_of(vocab, x, inner, 48)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pair = np.stack([lot.w, lot.v])[:, lot.back]
+    assert (np.diff(lot.w * len(vocab) + lot.v) > 0).all() and pair.shape[1] == n - 1
+    assert (lot.vocab[pair[0]] == vocab[x[1:]]).all() and (lot.vocab[pair[1]] == vocab[x[:-1]]).all()
+    assert most < 45 * n
+
+
 def test_bands_reject_labelled_junk_and_no_clean_text(spark):
     rows = Q.op7_quality_rules(spark, SF).where("not base_failed").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     assert sum(not r.kept for r in rows if r.quality == 0) >= 11
