@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tracksift.llm import near_dup as N
 from tracksift.llm import queries as Q
 from tracksift.llm import words as W
@@ -133,3 +135,11 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 300: 100}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_slots_pass_over_what_is_not_wanted(spark):
+    """Before, the texts of all documents were exchanged for the vectors of the few that share a bucket."""
+    bits = N._slots(spark.range(0, 3000, 3).select("id"))
+    slot = np.array([r[0] for r in spark.range(3000).select(N._slot(F.col("id"))).collect()])
+    hit = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
+    assert hit[::3].all() and hit.sum() < 1010 and len(bits) == N.SLOTS // 8

@@ -40,6 +40,8 @@ LEADERS = 2
 #: Members of a block of the last step.
 BLOCK = 512
 IDF_SLOTS = 1 << 17
+#: Bits of the table by which most texts that need no vector are passed over before the exchange; a hit decides nothing.
+SLOTS = 1 << 24
 _TABLE = 1 << 16
 
 
@@ -186,6 +188,19 @@ def _verified(pairs: DataFrame, vec: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb").mapInArrow(test, "a long, b long, same double")
 
 
+def _slots(ids: DataFrame) -> np.ndarray:
+    """Which of SLOTS hashed slots (see _slot) hold one of the ids of a one-column frame: bytes of bits, of a fixed size."""
+    slot = _slot(F.col(ids.columns[0]))
+    table = ids.select((slot / 8).cast("int").alias("at"), F.pow(F.lit(2), slot % 8).cast("int").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(SLOTS // 8, np.uint8)
+    out[table["at"].to_numpy()] = table["bits"].to_numpy()
+    return out
+
+
+def _slot(c: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+
+
 _SIDE = ("key", "node", "class", "major", "weight", "lo", "hi", "keys", "v")
 
 
@@ -274,6 +289,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     drop_paths(member)
     def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((held_slots.value[slot >> 3] >> (slot & 7) & 1).astype(bool)))
             for lo, hi, off, data in W.blocks(batch.column(1)):
                 _, row, h, weight = vectors(off, data, idf.value)
                 # 32 bits tell the shingles of two documents apart; sorted by them
@@ -285,7 +302,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
 
     # vectors of the nodes that share a bucket, once
     wanted = member2.select("node").distinct()
-    vec = cut(docs.join(wanted, docs.id == wanted.node, "left_semi").mapInArrow(blob, "node long, v binary").dropDuplicates(["node"]), "near-vectors")
+    held_slots = spark.sparkContext.broadcast(_slots(wanted))
+    made = docs.select("id", "text", _slot(F.col("id")).alias("slot")).mapInArrow(blob, "node long, v binary")
+    vec = cut(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-vectors")
     sig = nodes.select("node", "sig")
 
     def tested(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
