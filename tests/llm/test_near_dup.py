@@ -143,3 +143,18 @@ def test_slots_pass_over_what_is_not_wanted(spark):
     slot = np.array([r[0] for r in spark.range(3000).select(N._slot(F.col("id"))).collect()])
     hit = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
     assert hit[::3].all() and hit.sum() < 1010 and len(bits) == N.SLOTS // 8
+
+
+def test_star_shaped_links_take_few_stages(spark):
+    """Before, each round had seven exchanges and a last round only confirmed the one before, so classes took hundreds of stages."""
+    sc = spark.sparkContext
+    edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(50, 60), (50, 70)], "a long, b long")
+    sc.setJobGroup("star-shaped", "links")
+    try:
+        got = {r.node: r.label for r in components(edges).collect()}
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("star-shaped") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        sc._jsc.clearJobGroup()
+    assert got == {**dict.fromkeys(range(40), 0), 50: 50, 60: 50, 70: 50}
+    assert len(stages) <= 30, len(stages)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksift.llm import words as W
-from tracksift.llm.components import components
+from tracksift.llm.components import nearer, stars
 from tracksift.session import cut, drop_paths, ship
 
 SHINGLE = 5
@@ -162,30 +162,26 @@ def _most_similar(agree: int) -> float:
     return hi
 
 
-def _compared(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """Pairs (a, b) with most: the similarity that their samples allow, but for one in a million."""
+def _tested(pairs: DataFrame, vec: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with bounds (least, most) of their weighted Jaccard similarity.
+
+    Where the samples allow the threshold, but for one pair in a million, both bounds are the similarity;
+    else least is 0 and most what the samples allow.
+    """
     table = np.array([_most_similar(k) for k in range(SAMPLES + 1)])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SAMPLES) for i in (2, 3))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(table[(x == y).sum(axis=1)])], ["a", "b", "most"])
-
-    left, right = (sig.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, most double")
-
-
-def _verified(pairs: DataFrame, vec: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their weighted Jaccard similarity."""
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, va, vb = (batch.column(i) for i in range(4))
-            same = [similarity(*_vector(va[i].as_buffer()), *_vector(vb[i].as_buffer())) for i in range(len(a))]
-            yield pa.record_batch([a, b, pa.array(same, pa.float64())], ["a", "b", "same"])
+            most = table[(x == y).sum(axis=1)]
+            least, va, vb = np.zeros(len(most)), batch.column(4), batch.column(5)
+            for i in np.flatnonzero(most >= threshold).tolist():
+                least[i] = most[i] = similarity(*_vector(va[i].as_buffer()), *_vector(vb[i].as_buffer()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(least), pa.array(most)], ["a", "b", "least", "most"])
 
-    left, right = (vec.select(F.col("node").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb").mapInArrow(test, "a long, b long, same double")
+    left, right = (vec.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"), F.col("v").alias(f"v{c}")) for c in "ab")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb", "va", "vb")
+    return both.mapInArrow(test, "a long, b long, least double, most double")
 
 
 def _slots(ids: DataFrame) -> np.ndarray:
@@ -285,93 +281,94 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = cut(banded.join(sizes, "key").select("key", "node", "n"), "near-member")
     popular = member.groupBy("node").agg(F.sum("n").alias("pop"))
-    member2 = cut(member.join(popular, "node").select("key", "node", "pop"), "near-popular")
+    # the nodes that share a bucket; of an id with several texts, one of them
+    own = nodes.groupBy("node").agg(F.min(F.struct("h1", "h2", "sig", "weight")).alias("own"))
+    core = cut(own.join(popular, "node").select("node", "pop", "own.*"), "near-core")
+    member2 = cut(member.join(core.select("node", "pop", "weight"), "node").select("key", "node", "pop", "weight"), "near-popular")
     drop_paths(member)
+
     def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((held_slots.value[slot >> 3] >> (slot & 7) & 1).astype(bool)))
             for lo, hi, off, data in W.blocks(batch.column(1)):
-                _, row, h, weight = vectors(off, data, idf.value)
+                w, row, h, weight = vectors(off, data, idf.value)
+                a, b = W.fold(w.hash, w.first)
                 # 32 bits tell the shingles of two documents apart; sorted by them
                 h = (h >> np.uint64(32)).astype(np.uint32)
                 first = np.searchsorted(row, np.arange(hi - lo + 1))
                 weight = np.minimum(weight, 60000).astype(np.float16)
                 out = [h[i:j].tobytes() + weight[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["node", "v"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), W.longs(a), W.longs(b), pa.array(out, pa.binary())], ["node", "h1", "h2", "v"])
 
     # vectors of the nodes that share a bucket, once
-    wanted = member2.select("node").distinct()
-    held_slots = spark.sparkContext.broadcast(_slots(wanted))
-    made = docs.select("id", "text", _slot(F.col("id")).alias("slot")).mapInArrow(blob, "node long, v binary")
-    vec = cut(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-vectors")
-    sig = nodes.select("node", "sig")
-
-    def tested(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links, and for every pair the bounds (least, most) of its similarity."""
-        by_samples = cut(_compared(pairs, sig), "near-compared")
-        exact = cut(_verified(by_samples.where(F.col("most") >= threshold).select("a", "b"), vec), "near-exact")
-        bounds = exact.select("a", "b", F.col("same").alias("least"), F.col("same").alias("most"))
-        bounds = bounds.unionByName(by_samples.where(F.col("most") < threshold).select("a", "b", F.lit(0.0).alias("least"), "most"))
-        return exact.where(F.col("same") >= threshold).select("a", "b"), bounds
-
-    def mixed(label: DataFrame | None) -> DataFrame:
+    held_slots = spark.sparkContext.broadcast(_slots(core.select("node")))
+    made = docs.select("id", "text", _slot(F.col("id")).alias("slot")).mapInArrow(blob, "node long, h1 long, h2 long, v binary")
+    vec = made.join(core.select("node", "h1", "h2", "sig"), ["node", "h1", "h2"]).dropDuplicates(["node", "h1", "h2"])
+    vec = cut(vec.select("node", "sig", "v"), "near-vectors")
+
+    def mixed(label: DataFrame) -> DataFrame:
         """Members of the buckets that hold several classes yet."""
-        held = member2
-        if label is None:
-            return held.withColumn("class", F.col("node"))
-        held = held.join(label, "node", "left").select("key", "node", "pop", F.coalesce("label", "node").alias("class"))
+        held = member2.join(label.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left")
+        held = held.select("key", "node", "pop", "weight", F.coalesce("label", "node").alias("class"))
         several = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
         return held.join(several, "key")
 
     pair = F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+    # label: (a, b), the class a of every other node b of a link; links: edges with the same components
     label = links = done = bounds = first = None
     for turn in range(LEADERS):
-        held = cut(mixed(label), "near-held")
+        held = member2.withColumn("class", F.col("node")) if turn == 0 else cut(mixed(label), "near-held")
         # at first the member that shares the most buckets with others, then one by chance in each bucket
         rank = -F.col("pop") if turn == 0 else F.xxhash64(F.lit(turn), "key", "node")
-        lead = held.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "class")).alias("top"))
-        lead = lead.select("key", F.col("top.node").alias("leader"), F.col("top.class").alias("own"))
+        lead = held.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "class", "weight")).alias("top"))
+        lead = lead.select("key", F.col("top.node").alias("leader"), F.col("top.class").alias("own"), F.col("top.weight").alias("lw"))
+        if turn == 0:
+            lead = first = cut(lead, "near-first")
         pairs = held.join(lead, "key").where("class <> own").select(*pair).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "near-star")
-        if pairs.isEmpty():
+        near = cut(_tested(pairs, vec, threshold), "near-tested")
+        if near.isEmpty():
+            label = None if links is None else stars(links)
             break
-        found, near = tested(pairs)
         if turn == 0:
-            bounds, first = near, cut(lead.select("key", "leader"), "near-first")
-        drop_paths(held)
+            bounds = near
+        else:
+            drop_paths(held)
+        done = near.select("a", "b") if done is None else done.unionByName(near.select("a", "b"))
+        found = near.where(F.col("least") >= threshold).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        label = components(links)
+        if turn + 1 < LEADERS:
+            # not whole classes yet: parts of them do, to find what the next leader is compared with
+            links = nearer(links)
+            label = links.groupBy("b").agg(F.min("a").alias("a"))
+        else:
+            links = label = stars(links)
     # buckets that still hold several classes: every pair between classes that may reach the threshold
     if label is not None:
-        held = cut(mixed(label), "near-mixed")
+        held = mixed(label)
+        major = held.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("class", F.struct("n", (-F.col("class")).alias("c"))).alias("major"), F.sum("n").alias("members"))
+        held = held.join(major, "key").join(first.select("key", "leader", "lw"), "key")
         # each node's weight and its overlap with the bucket's first leader, from bounds on their similarity
-        size = nodes.select("node", "weight")
-        held = held.select("key", "node", "class").join(first, "key").join(size, "node").join(size.select(F.col("node").alias("leader"), F.col("weight").alias("lw")), "leader")
         held = held.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(bounds, ["a", "b"], "left")
         shared = lambda c, other: F.when(F.col("node") == F.col("leader"), F.col("weight")).otherwise(F.coalesce(F.col(c) * (F.col("weight") + F.col("lw")) / (1 + F.col(c)), other))
-        held = held.select("key", "node", "class", "weight", shared("least", F.lit(0.0)).alias("lo"), shared("most", F.least("weight", "lw")).alias("hi"))
-        keys = held.groupBy("node").agg(F.collect_set("key").alias("keys"))
-        major = held.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("class", F.struct("n", (-F.col("class")).alias("c"))).alias("major"), F.sum("n").alias("members"))
-        held = cut(held.join(keys, "node").join(major, "key"), "near-rest-sides")
         # the members outside a bucket's largest class against all, in blocks: a task gets two blocks and their
         # vectors, not pairs, and gives back links; a hot bucket is many tasks
         bins = F.ceil(F.col("members") / BLOCK).cast("long")
-        held = held.join(vec, "node").withColumns({"minor": F.col("class") != F.col("major"), "bins": bins, "bin": F.pmod(F.xxhash64("node"), bins)})
-        span = F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)
-        x = held.where("minor").select(*_SIDE, F.col("bin").alias("i"), F.explode(span).alias("j"), F.lit(True).alias("is_x"))
-        y = held.select(*_SIDE, F.explode(span).alias("i"), F.col("bin").alias("j"), F.lit(False).alias("is_x"))
-        # blocks without a minor member on the left have nothing to compare
-        live = held.where("minor").select("key", F.col("bin").alias("i")).distinct()
-        sides = x.unionByName(y.join(live, ["key", "i"], "left_semi"))
-        more = sides.groupBy("key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long").distinct()
-        more = cut(more, "near-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            label = components(links)
+        held = held.select("key", "node", "class", "major", "weight", shared("least", F.lit(0.0)).alias("lo"), shared("most", F.least("weight", "lw")).alias("hi"), (F.col("class") != F.col("major")).alias("minor"), bins.alias("bins"), F.pmod(F.xxhash64("node"), bins).alias("bin"))
+        held = cut(held, "near-rest")
+        if not held.isEmpty():
+            # blocks without a minor member on the left have nothing to compare
+            live = held.where("minor").groupBy("key").agg(F.collect_set("bin").alias("live"))
+            keys = held.groupBy("node").agg(F.collect_set("key").alias("keys"))
+            sides = held.join(live, "key").join(keys, "node").join(vec.select("node", "v"), "node")
+            x = sides.where("minor").select(*_SIDE, F.col("bin").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("j"), F.lit(True).alias("is_x"))
+            y = sides.select(*_SIDE, F.explode("live").alias("i"), F.col("bin").alias("j"), F.lit(False).alias("is_x"))
+            more = cut(x.unionByName(y).groupBy("key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long"), "near-links")
+            if not more.isEmpty():
+                label = stars(label.unionByName(more))
+        label = label.select(F.col("b").alias("node"), F.col("a").alias("label"))
     else:
         label = nodes.select("node", F.col("node").alias("label")).limit(0)
     named = nodes.select("h1", "h2", "node").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
