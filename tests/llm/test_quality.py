@@ -168,3 +168,21 @@ def test_bands_reject_labelled_junk_and_no_clean_text(spark):
     rows = Q.op7_quality_rules(spark, SF).where("not base_failed").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     assert sum(not r.kept for r in rows if r.quality == 0) >= 11
     assert all(r.kept for r in rows if r.quality == 1)
+
+
+def test_contexts_of_pairs_are_counted_in_little_memory():
+    """Before, np.unique held a second copy of the longest array, and every list went on in eight bytes a number."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    group, n = rng.integers(0, 50_000, 200_000).astype(np.uint32), rng.integers(1, 4, 200_000).astype(np.uint16)
+    cell = rng.integers(0, 1 << K.CONTEXT_BITS, int(n.sum())).astype(np.uint16)
+    want = np.bincount(np.unique(np.repeat(group, n).astype(np.int64) << K.CONTEXT_BITS | cell) >> K.CONTEXT_BITS, minlength=50_000)
+    tracemalloc.start()
+    got = K._pair_contexts(group, n, cell, 50_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 20 * len(cell)
+    assert len(K._pair_contexts(group[:0], n[:0], cell[:0], 0)) == 0
+    parts = [cell[:7], cell[7:7], cell[7:20]]
+    assert (K._joined(parts) == cell[:20]).all() and not parts

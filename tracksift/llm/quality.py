@@ -269,11 +269,33 @@ def _planes(x: np.ndarray) -> list[tuple[int, bytes]]:
     return [(len(x), _packed(raw[:, i])) for i in range(width)]
 
 
-def _of_planes(planes: list[tuple[int, bytes]]) -> np.ndarray:
+def _of_planes(planes: list[tuple[int, bytes]], kind: type = np.int64) -> np.ndarray:
     out = np.zeros((planes[0][0], 4), np.uint8)
     for i, (n, raw) in enumerate(planes):
         out[:, i] = _unpacked(raw, n)
-    return out.view("<u4").reshape(-1).astype(np.int64)
+    return out.view("<u4").reshape(-1).astype(kind, copy=False)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts, one after another; they go as they are copied."""
+    out = np.empty(sum(map(len, parts)), parts[0].dtype)
+    at = len(out)
+    while parts:
+        part = parts.pop()
+        out[at - len(part) : at] = part
+        at -= len(part)
+    return out
+
+
+def _pair_contexts(group: np.ndarray, n: np.ndarray, cell: np.ndarray, n_pairs: int) -> np.ndarray:
+    """Different cells of each pair: the pairs' numbers, how many cells each has, the cells. In a sort in place: np.unique takes a copy more."""
+    both = np.repeat(group, n).astype(np.int64)
+    both <<= CONTEXT_BITS
+    both |= cell
+    both.sort()
+    new = np.append(True, both[1:] != both[:-1]) if len(both) else np.zeros(0, bool)
+    both >>= CONTEXT_BITS
+    return np.bincount(both[new], minlength=n_pairs)
 
 
 def log_perplexity(own: DataFrame) -> DataFrame:
@@ -312,25 +334,26 @@ def log_perplexity(own: DataFrame) -> DataFrame:
                 lots.append(lot)
                 words.append(_of_hashes(w))
                 befores.append(_of_hashes(v))
-                at_w.append(_of_planes(n))
-                at_v.append(_of_planes(at))
-                ns.append(_of_planes(n_before))
-                cells.append(_of_planes(cell).astype(np.uint16))
+                at_w.append(_of_planes(n, np.uint32))
+                at_v.append(_of_planes(at, np.uint32))
+                ns.append(_of_planes(n_before, np.uint16))
+                cells.append(_of_planes(cell, np.uint16))
                 checks.append(check)
         sizes = [len(x) for x in at_v]
-        vocab, of_w = np.unique(np.concatenate(words), return_inverse=True)
-        before, of_v = np.unique(np.concatenate(befores), return_inverse=True)
-        pair, w_first, v_first = [], 0, 0
+        vocab, of_w = _unique(np.concatenate(words))
+        before, of_v = _unique(np.concatenate(befores))
+        pair, i, w_first, v_first = np.empty(sum(sizes), np.int64), 0, 0, 0
         wide = max(len(before), 1)
-        for w, n, v, at in zip(words, at_w, befores, at_v, strict=True):
-            pair.append(np.repeat(of_w[w_first : w_first + len(w)], n) * wide + of_v[v_first : v_first + len(v)][at])
-            w_first, v_first = w_first + len(w), v_first + len(v)
-        del at_v, befores
-        pair, group = _unique(np.concatenate(pair))
-        both = np.unique((np.repeat(group, np.concatenate(ns)).astype(np.int64) << CONTEXT_BITS) | np.concatenate(cells))
-        del cells
-        c = estimate(np.bincount(both >> CONTEXT_BITS, minlength=len(pair)))
-        del both
+        for k, (w, n, v) in enumerate(zip(words, at_w, befores, strict=True)):
+            own = pair[i : i + sizes[k]]
+            own[:] = np.repeat(of_w[w_first : w_first + len(w)], n)
+            own *= wide
+            own += of_v[v_first : v_first + len(v)][at_v[k]]
+            at_v[k] = None
+            i, w_first, v_first = i + sizes[k], w_first + len(w), v_first + len(v)
+        del at_v, at_w, befores, of_v, own
+        pair, group = _unique(pair)
+        c = estimate(_pair_contexts(group, _joined(ns), _joined(cells), len(pair)))
         n_w = np.bincount(pair // wide, minlength=len(vocab))
         v = pair % wide
         out, i, w_first = [], 0, 0
