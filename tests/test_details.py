@@ -76,3 +76,23 @@ def test_frames_count_the_longest_run_or_all_lines(spark):
     assert (out["a"].songs, out["a"].ts, out["a"].n, out["a"].overlay, out["a"].score) == (2, 2, 4, 0, 10 + 6 + 8 + 2.25 + 4)
     assert (out["b"].songs, out["b"].overlay, out["b"].score) == (2, 1, 6 + 8 + 2 + 2.2 - 1)
     assert (out["c"].songs, out["c"].score) == (0, 0)
+
+
+def test_frame_plan_with_cuts_exchanges_lengths_and_cuts_alone(spark):
+    """Odd rows as the plain union of seconds; the seconds themselves, some hundred a key, aren't dealt out."""
+    lengths = [(1, 7000), (2, 61), (3, None), (4, 0), (5, -7), (6, 300), (6, 1234), (6, None), (6, 300), (7, 1), (None, 100), (8, 90)]
+    cuts = [(1, 7.0), (1, 7.9), (1, 3601.5), (1, 6999.9), (1, 7000.0), (1, 1e12), (1, float("nan")), (1, None), (1, -0.5), (2, 60.0), (2, 61.0), (3, 0.0), (3, 5.0), (4, 0.0), (5, 0.0), (6, 299.0), (6, 1233.0), (7, 0.0), (7, 0.0), (None, 50.0), (9, 5.0)]
+    want = set()
+    for k, d in lengths:
+        top = max((d or 0) - 1, 0)
+        seconds = {*range(0, top + 1, 40), *range(0, min(top, 90) + 1, 15), *range(max((d or 0) - 90, 0), top + 1, 15)}
+        seconds |= {int(s) for c, s in cuts if k is not None and c == k and s is not None and s >= 0 and s < (d or 0)}
+        want |= {(k, s) for s in seconds}
+    own = spark.createDataFrame(lengths, "doc_id long, duration_s int")
+    out = media.frame_plan(own, cuts=spark.createDataFrame(cuts, "doc_id long, second double"))
+    assert out.dtypes == [("doc_id", "bigint"), ("second", "int")]
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    counted = out.groupBy("doc_id").count()
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.doc_id, r.second) for r in media.frame_plan(own).collect()} <= want

@@ -28,17 +28,26 @@ def blank(sigma: Column) -> Column:
 
 
 def frame_plan(media: DataFrame, every: int = 40, key: str = "doc_id", duration: str = "duration_s", cuts: DataFrame | None = None) -> DataFrame:
-    """Distinct seconds to read: every `every`, each 15 in the first and last 90, and the scene cuts (key, second) within the length."""
-    if cuts is not None:
-        inside = cuts.join(media.select(key, duration), key).where((F.col("second") >= 0) & (F.col("second") < F.col(duration)))
-        return frame_plan(media, every, key, duration).unionByName(inside.select(key, F.col("second").cast("int").alias("second"))).distinct()
-    d = F.col(duration)
-    top = F.greatest(d - 1, F.lit(0))
+    """Distinct seconds to read: every `every`, each 15 in the first and last 90, and the scene cuts (key, second) within the length.
+
+    With cuts, rows of one key are planned together. Lengths and cuts are exchanged, not the seconds, which are many more.
+    """
     seq = lambda a, b, s: F.sequence(a, F.greatest(a, b), F.lit(s))
-    head = seq(F.lit(0), F.least(top, F.lit(90)), 15)
-    tail = seq(F.greatest(d - 90, F.lit(0)), top, 15)
-    all_ = F.concat(seq(F.lit(0), top, every), head, tail)
-    return media.select(key, F.explode(F.array_distinct(F.transform(all_, lambda s: F.greatest(F.least(s, top), F.lit(0))))).alias("second"))
+    top = lambda d: F.greatest(d - 1, F.lit(0))
+    tail = lambda d: seq(F.greatest(d - 90, F.lit(0)), top(d), 15)
+    plan = lambda d: F.concat(seq(F.lit(0), top(d), every), seq(F.lit(0), F.least(top(d), F.lit(90)), 15), tail(d))
+    if cuts is None:
+        return media.select(key, F.explode(F.array_distinct(plan(F.col(duration)))).alias("second"))
+    # an unknown length has second 0 alone, as the length 0 has
+    own = media.select(key, F.coalesce(F.col(duration), F.lit(0)).alias("length"))
+    own = own.unionByName(cuts.where(F.col(key).isNotNull() & (F.col("second") >= 0)).select(key, "second"), allowMissingColumns=True)
+    own = own.groupBy(key).agg(F.collect_set("length").alias("lengths"), F.collect_set("second").alias("cuts")).where(F.size("lengths") > 0)
+    longest = F.array_max("lengths")
+    inside = F.transform(F.filter("cuts", lambda s: s < longest), lambda s: s.cast("int"))
+    # of a key's shorter lengths only the last seconds aren't those of the longest
+    seconds = F.array_distinct(F.concat(plan(longest), F.flatten(F.transform("lengths", tail)), inside))
+    # a column first: inside explode the array's functions would be interpreted
+    return own.select(key, seconds.alias("seconds")).select(key, F.explode("seconds").alias("second"))
 
 
 def broken(c: Column) -> Column:
