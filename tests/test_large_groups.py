@@ -95,3 +95,60 @@ def test_a_group_of_many_rows(spark):
         began = time.time()
         assert f(rows).count() > 9000
         assert time.time() - began < 100, f.__name__
+
+
+def plain_supplement(songs, cards):
+    """Rows of (doc, place, title, artist), songs with confirmed and sure: the decision on each card, by all pairs."""
+    low = lambda x: (x or "").lower().strip()
+    last = lambda r: (r[1] is None, r[1] or 0)
+    out = []
+    for doc in {r[0] for r in cards}:
+        have = [(low(t), low(a), c, s) for _, _, t, a, c, s in sorted((r for r in songs if r[0] == doc), key=last)]
+        for _, at, title, artist in sorted((r for r in cards if r[0] == doc), key=last):
+            t, a, why = low(title), low(artist), "added" if low(title) and low(artist) else "missing_title_or_artist"
+            for i, (ht, ha, confirmed, sure) in enumerate(have if why == "added" else ()):
+                if ht and dedup._same_title(ht, t):
+                    if ha == a or confirmed:
+                        why = "duplicate_title_artist" if ha == a else "duplicate_music_section_title"
+                        break
+                elif at == i and sure and (ha == a or (min(len(ha), len(a)) >= 4 and (ha in a or a in ha))):
+                    why = "duplicate_music_section_artist_position"
+                    break
+            if why == "added":
+                have.append((t, a, True, False))
+            out.append((doc, at, title, artist, why))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_supplement_is_that_of_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    word, name = lambda: rng.choice(("sky", "Blue", "moonrise", "곡", "", " ", None)), lambda: rng.choice(("zed", "Zeds", "Somebody", "somebodyelse", "가수", "", None))
+    title = lambda: rng.choice((word(), f"{word()}{rng.randrange(30)}"))
+    doc = lambda: rng.choice((None, *range(40)))
+    places = lambda n: rng.sample(range(n * 2), n)
+    songs = [(doc(), i, title(), name(), rng.random() < 0.4, rng.random() < 0.7) for i in places(300)]
+    cards, taken = [], set()
+    for _ in range(300):
+        d, i = doc(), rng.choice((None, *range(9)))
+        if (d, i) not in taken:
+            taken.add((d, i))
+            cards.append((d, i, title(), name()))
+    own = spark.createDataFrame([(d, i, t, a, 0 if c else None, "high" if s else None) for d, i, t, a, c, s in songs], "doc_id long, line_no int, title string, artist string, section_index int, confidence string")
+    extras = spark.createDataFrame(cards, "doc_id long, section_index int, title string, artist string")
+    out = dedup.supplement(own, extras)
+    assert out.columns == [*extras.columns, "decision"]
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == plain_supplement(songs, cards)
+    assert len({r[-1] for r in got}) == 5
+
+
+def test_supplement_of_many_small_documents(spark):
+    """Twelve thousand documents of two songs and two cards: rows cost, not documents."""
+    k = spark.range(24_000)
+    own = k.selectExpr("id div 2 AS doc_id", "CAST(id % 2 AS int) AS line_no", "concat('곡', id) AS title", "concat('가수', id) AS artist")
+    cards = k.selectExpr("id div 2 AS doc_id", "CAST(id % 2 AS int) AS section_index", "concat('song ', id) AS title", "CASE WHEN id % 2 = 0 THEN concat('가수', id) ELSE 'Somebody else' END AS artist")
+    began = time.time()
+    got = {(r.section_index, r.decision): r["count"] for r in dedup.supplement(own, cards).groupBy("section_index", "decision").count().collect()}
+    assert time.time() - began < 40
+    assert got == {(0, "duplicate_music_section_artist_position"): 12_000, (1, "added"): 12_000}

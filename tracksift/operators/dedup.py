@@ -8,9 +8,11 @@ from __future__ import annotations
 import difflib
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,41 +232,53 @@ def supplement(songs: DataFrame, extras: DataFrame, key: str = "doc_id", groups:
 
     Out go extras without title or artist, those whose title stands with the same artist or under a confirmed song, and
     those at whose place in the document a song by the same artist stands (a translated title). Songs may have section_index
-    (not null: confirmed) and confidence (only high ones hold their place); groups: match.alias_groups().
+    (not null: confirmed) and confidence (only high ones hold their place); groups: match.alias_groups(). Documents pass through
+    a task as a sorted stream, songs before extras: small ones cost no more than their rows.
     """
     flag = lambda c, v: F.col(c).isNotNull() if c in songs.columns else F.lit(v)
     sure = F.col("confidence") == "high" if "confidence" in songs.columns else F.lit(True)
-    left = _with_artist_keys(songs.select(key, "line_no", "title", "artist", flag("section_index", False).alias("confirmed"), F.coalesce(sure, F.lit(False)).alias("sure")), groups)
-    columns, schema = extras.columns, extras.schema
-    right = _with_artist_keys(extras, groups)
-
-    def decide(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    own = songs.select(key, "title", "artist", F.col("line_no").alias("_line"), flag("section_index", False).alias("_confirmed"), F.coalesce(sure, F.lit(False)).alias("_sure"))
+    own = _with_artist_keys(own.unionByName(extras, allowMissingColumns=True), groups)
+    columns = extras.columns
+    # keys hold letters and digits only; extras are the rows without _confirmed
+    own = own.withColumn("_akeys", F.array_join("_akeys", "\n")).repartition(key)
+    own = own.sortWithinPartitions(key, F.col("_confirmed").isNull(), F.asc_nulls_last("_line"), F.asc_nulls_last("section_index"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = lambda x: (x or "").lower().strip()
-        have = [(low(r["title"]), low(r["artist"]), list(r["_akeys"]), r["confirmed"], r["sure"]) for r in left.sort_values("line_no", kind="stable").to_dict("records")]
-        out = []
-        for r in right.sort_values("section_index", kind="stable").to_dict("records"):
-            t, a, why = low(r["title"]), low(r["artist"]), "added"
-            if not t or not a:
-                why = "missing_title_or_artist"
-            for i, (ht, ha, keys, confirmed, sure) in enumerate(have if why == "added" else ()):
-                if not (ht and _same_title(ht, t)):
-                    if r["section_index"] == i and sure and _same_artist(keys, list(r["_akeys"])):
-                        why = "duplicate_music_section_artist_position"
+        last: object = decide  # no key
+        have: list[tuple] = []
+        for b in batches:
+            decisions = []
+            for k, title, artist, akeys, place, known, high in zip(*(b.column(c).to_pylist() for c in (key, "title", "artist", "_akeys", "section_index", "_confirmed", "_sure")), strict=True):
+                if k != last:
+                    last, have = k, []
+                t, a, why = low(title), low(artist), "added"
+                if known is not None:
+                    have.append((t, a, akeys, known, high))
+                    continue
+                if not t or not a:
+                    why = "missing_title_or_artist"
+                for i, (ht, ha, keys, confirmed, sure) in enumerate(have if why == "added" else ()):
+                    if not (ht and _same_title(ht, t)):
+                        if place == i and sure and _same_artist(keys.split(), akeys.split()):
+                            why = "duplicate_music_section_artist_position"
+                            break
+                    elif ha == a:
+                        why = "duplicate_title_artist"
                         break
-                elif ha == a:
-                    why = "duplicate_title_artist"
-                    break
-                elif confirmed:
-                    why = "duplicate_music_section_title"
-                    break
-            if why == "added":
-                have.append((t, a, list(r["_akeys"]), True, False))
-            out.append({c: r[c] for c in columns} | {"decision": why})
-        return pd.DataFrame(out, columns=[*columns, "decision"])
+                    elif confirmed:
+                        why = "duplicate_music_section_title"
+                        break
+                if why == "added":
+                    have.append((t, a, akeys, True, False))
+                decisions.append(why)
+            cards = b.filter(b.column("_confirmed").is_null())
+            yield pa.RecordBatch.from_arrays([*(cards.column(c) for c in columns), pa.array(decisions, pa.string())], names=[*columns, "decision"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    ship(left.sparkSession)
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(decide, f"{fields}, decision string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*columns).schema.fields)
+    ship(own.sparkSession)
+    return own.mapInArrow(decide, f"{fields}, decision string")
 
 
 def _with_artist_keys(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
